@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,9 @@ def joined_back(big: DataFrame, side: DataFrame, on: list[str], how: str, rows:
     The second way shuffles on the keys; adaptive execution splits its skewed partitions.
     """
     return big.join(F.broadcast(side) if small(side, rows) else side, on, how)
+
+
+def record_batch(rows: Sequence[tuple], types: Mapping[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as one Arrow batch of these columns."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))

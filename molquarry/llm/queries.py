@@ -1,4 +1,4 @@
-"""The queries of this package and, where SQL can express them, the same in DuckDB's SQL."""
+"""The queries of this package, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,8 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from molquarry.llm.chat import chat_format
 from molquarry.llm.common import table
 from molquarry.llm.exact_dedup import exact_dedup
+from molquarry.llm.mixing import mixed
+from molquarry.llm.oracles import ORACLES as ORACLES
+from molquarry.llm.quality import quality_rules
+from molquarry.llm.secret_scan import secret_scan
+from molquarry.llm.urls import syndicated_keys, url_filter
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages, syndicated_keys(pages))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The host's rate is a long fraction; its verdict is what the result needs.
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op5_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), weights={"lang=en": 3.0, "domain=d1": 2.0})
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +43,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_mixed_sources": op5_mixed_sources,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
-
-ORACLES: dict[str, str] = {
-    "op10_exact_dedup": r"""
-        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-        FROM d""",
-}
