@@ -11,6 +11,7 @@ from molquarry.llm.common import table
 from molquarry.llm.exact_dedup import exact_dedup
 from molquarry.llm.mixing import mixed
 from molquarry.llm.oracles import ORACLES as ORACLES
+from molquarry.llm.packing import pack
 from molquarry.llm.quality import quality_rules
 from molquarry.llm.secret_scan import secret_scan
 from molquarry.llm.urls import syndicated_keys, url_filter
@@ -30,6 +31,12 @@ def op5_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), weights={"lang=en": 3.0, "domain=d1": 2.0})
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixed_sources": op5_mixed_sources,
+    "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
