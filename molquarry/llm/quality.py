@@ -30,10 +30,10 @@ def _repeated(ws: str, wh: str) -> Column:
     return F.aggregate(starts, start, step, lambda acc: acc["covered"])
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, host and the measures of every whole text, with the counts that the soft rules need."""
+def measures(docs: DataFrame, kept: Column, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``kept`` as id, host and the measures of every whole text, with the counts that the soft rules need."""
     w = F.col("ws")
-    base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
+    base = docs.select(kept.alias("id"), F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     split = base.withColumn("ws", words(F.col("t")))
     counted = split.select(
         "id",
@@ -56,6 +56,27 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return sorted_.select("id", "host", *MEASURES[:4], covered.cast("long").alias("n_repeat_words"), "n_upper", "n_lines")
 
 
+def _failures() -> tuple[Column, Column]:
+    """Whether a measured document fails the base rules, and whether it fails any rule."""
+    n, chars = F.col("n_words"), F.col("word_chars")
+    base = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
+    soft = (10 * F.col("n_symbols") > n) | ((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))) | (chars < 2 * n) | (chars > 15 * n) | (2 * F.col("n_upper") > chars)
+    return base, base | soft
+
+
+def host_verdicts(judged: DataFrame, max_rate: float = 0.5, min_hosts: int = 2) -> DataFrame:
+    """host, host_rate and host_ok from judged documents (host, failed): their failure rates, shrunk."""
+    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("failed").alias("host_failed"))
+    rate = F.col("host_failed") / F.col("host_docs")
+    m, v = F.col("m"), F.col("v")
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.count(F.lit(1)).alias("hosts")).select("m", F.when((F.col("hosts") >= min_hosts) & (v > 0) & (v < m * (1 - m)), m * (1 - m) / v - 1).alias("strength"))
+    # One row, read as two scalars.
+    alpha = F.coalesce(prior.select(m * F.col("strength")).scalar(), F.lit(1.0))
+    beta = F.coalesce(prior.select((1 - m) * F.col("strength")).scalar(), F.lit(1.0))
+    shrunk = hosts.select("host", ((F.col("host_failed") + alpha) / (F.col("host_docs") + alpha + beta)).alias("host_rate"))
+    return durable(shrunk.withColumn("host_ok", F.col("host_rate") <= max_rate))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, min_hosts: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, the measures, base_failed, kept, and what the verdict rests on.
 
@@ -68,16 +89,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts are empty and so fail; null hosts count as the host ''. Repeated rows are judged each; an
     empty table gives no rows; other columns are not looked at.
     """
-    n, chars = F.col("n_words"), F.col("word_chars")
-    base = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
-    soft = (10 * F.col("n_symbols") > n) | ((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))) | (chars < 2 * n) | (chars > 15 * n) | (2 * F.col("n_upper") > chars)
-    judged = durable(measures(docs, id_col, text_col, host_col).select("id", "host", *MEASURES, base.alias("base_failed"), (base | soft).alias("failed")))
-    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("failed").alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.count(F.lit(1)).alias("hosts")).select("m", F.when((F.col("hosts") >= min_hosts) & (F.col("v") > 0) & (F.col("v") < F.col("m") * (1 - F.col("m"))), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).alias("strength"))
-    # One row, read as two scalars.
-    alpha = F.coalesce(prior.select(F.col("m") * F.col("strength")).scalar(), F.lit(1.0))
-    beta = F.coalesce(prior.select((1 - F.col("m")) * F.col("strength")).scalar(), F.lit(1.0))
-    shrunk = hosts.select("host", ((F.col("host_failed") + alpha) / (F.col("host_docs") + alpha + beta)).alias("host_rate"))
-    verdicts = durable(shrunk.withColumn("host_ok", F.col("host_rate") <= max_rate))
+    base, failed = _failures()
+    judged = durable(measures(docs, docs[id_col], text_col, host_col).select("id", "host", *MEASURES, base.alias("base_failed"), failed.alias("failed")))
+    verdicts = host_verdicts(judged, max_rate, min_hosts)
     return joined_back(judged, verdicts, ["host"], "left").select(F.col("id").alias(id_col), *MEASURES, "base_failed", (~F.col("failed") & F.col("host_ok")).alias("kept"), "host", "host_rate", "host_ok")
+
+
+def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, min_hosts: int = 2) -> DataFrame:
+    """The rows of ``docs`` that quality_rules keeps, whole.
+
+    The texts are measured twice, for the hosts' verdicts and for their own, and so are never shuffled.
+    """
+    _, failed = _failures()
+    judged = durable(measures(docs, F.lit(None), text_col, host_col).select("host", failed.alias("failed")))
+    verdicts = host_verdicts(judged, max_rate, min_hosts)
+    whole = measures(docs, F.struct(*[docs[c] for c in docs.columns]), text_col, host_col).where(~failed)
+    return joined_back(whole.select("id", "host"), verdicts.where("host_ok"), ["host"], "left_semi").select("id.*")

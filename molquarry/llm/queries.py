@@ -10,13 +10,24 @@ from molquarry.llm.chat import chat_format
 from molquarry.llm.common import table
 from molquarry.llm.exact_dedup import exact_dedup
 from molquarry.llm.mixing import mixed
+from molquarry.llm.near_dedup import near_dedup
 from molquarry.llm.oracles import ORACLES as ORACLES
 from molquarry.llm.packing import pack
 from molquarry.llm.quality import quality_rules
 from molquarry.llm.secret_scan import secret_scan
+from molquarry.llm.substring_dedup import substring_dedup
+from molquarry.llm.suffix_dedup import suffix_dedup
 from molquarry.llm.urls import syndicated_keys, url_filter
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter(pages, syndicated_keys(pages))
@@ -41,6 +52,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
@@ -50,11 +65,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixed_sources": op5_mixed_sources,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_near_dedup": op8_near_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
