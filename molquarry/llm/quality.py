@@ -103,5 +103,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     _, failed = _failures()
     judged = durable(measures(docs, F.lit(None), text_col, host_col).select("host", failed.alias("failed")))
     verdicts = host_verdicts(judged, max_rate, min_hosts)
-    whole = measures(docs, F.struct(*[docs[c] for c in docs.columns]), text_col, host_col).where(~failed)
+    # A row number keeps the filter above the measures; pushed down, it would compute each of them many times over.
+    measured = measures(docs, F.struct(*[docs[c] for c in docs.columns]), text_col, host_col).withColumn("__row", F.monotonically_increasing_id())
+    whole = measured.where(~failed & (F.col("__row") >= 0))
     return joined_back(whole.select("id", "host"), verdicts.where("host_ok"), ["host"], "left_semi").select("id.*")
