@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.functions import strings
+from molquarry.functions.acidity import ACIDITY
+from molquarry.functions.electronegativity import ELECTRONEGATIVITY
+from molquarry.functions.tokens import TOKEN_CLOSED, plane_statistics
 
 #: Decimals of doubles in query results, so that engines which sum in another order agree.
 DIGITS = 6
@@ -30,5 +33,14 @@ def text_query(family, table: str) -> None:
     ORACLES[name] = family.sql(table, [key], text, digits=DIGITS)
 
 
-for _family in (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES):
+for _family in (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, ELECTRONEGATIVITY, ACIDITY):
     text_query(_family, "documents")
+text_query(TOKEN_CLOSED, "part")
+
+
+def token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
+    return plane_statistics(rows, F.col("__text")).drop("__text")
+
+
+QUERIES["token_planes_part"] = token_planes
