@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from molquarry.functions.dialect import Dialect
 from molquarry.functions.family import Family
 from molquarry.functions.tables import COUNTS, OVERLAPS, PATTERN_FRACTIONS, PATTERNS
@@ -148,3 +154,44 @@ STRING_PATTERNS = Family("string_patterns", "SmilesText", _patterns)
 STRING_RATIOS = Family("string_ratios", "SmilesText", _ratios, (_ratio_stage, _position_stage, _mean_stage))
 CHAR_FRACTIONS = Family("char_fractions", "SmilesFraction", _fractions)
 PATTERN_SHARES = Family("pattern_fractions", "SmilesFraction", _pattern_fractions)
+
+
+def _forked_carbons(s: str) -> float:
+    """Carbons before a branch from which on three branches open at their depth, up to the end of the text."""
+    found = 0
+    for i in range(len(s) - 1):
+        if s[i] == "C" and s[i + 1] == "(" and ")" in s[i + 1 :]:
+            depth = branches = 0
+            for c in s[i + 1 :]:
+                branches += c == "(" and depth == 0
+                depth += (c == "(") - (c == ")")
+                if branches == 3:
+                    found += 1
+                    break
+    return float(found)
+
+
+def _other_backbone(s: str) -> float:
+    """Share of the capitals outside all branches that are not C."""
+    depth = capitals = others = 0
+    for c in s:
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and "A" <= c <= "Z":
+            capitals += 1
+            others += c != "C"
+    return others / capitals if capitals else 0.0
+
+
+#: Descriptors that follow the depth of branches.
+SCANS: dict[str, Callable[[str], float]] = {"SmilesTertiaryCarbonCount": _forked_carbons, "SmilesNonCarbonBackboneRatio": _other_backbone}
+
+
+def add_scans(df: DataFrame, text: Column, names: Sequence[str] = tuple(SCANS)) -> DataFrame:
+    """``df`` with the descriptors that follow the depth of branches."""
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in texts:
+            yield pd.DataFrame([[SCANS[n](s) for n in names] for s in series], columns=list(names), dtype=float)
+
+    return df.withColumn("__scans", scanned(F.coalesce(text, F.lit("")))).select(*df.columns, "__scans.*")

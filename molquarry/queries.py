@@ -7,40 +7,213 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.functions import strings
+from molquarry import catalog
+from molquarry.functions import bits, elements, molecules, strings
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
+from molquarry.functions.family import Family
+from molquarry.functions.smiles import Molecule, SmilesError
 from molquarry.functions.tokens import TOKEN_CLOSED, plane_statistics
+from molquarry.operators.profile import profile
+from molquarry.streaming.streams import windowed_profile
 
 #: Decimals of doubles in query results, so that engines which sum in another order agree.
 DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Texts that string descriptors are total over: table, keys, text column.
-TEXTS = {"documents": ("doc_id", "text"), "part": ("p_partkey", "p_type")}
+#: Molecules of many kinds, and texts that are none: chains, rings, fused and spiro rings, halides, charges, salts.
+SMILES = (
+    "C", "CCO", "CC(=O)O", "c1ccccc1", "Cc1ccccc1", "Oc1ccccc1", "Nc1ccccc1", "c1ccncc1", "c1c[nH]cn1", "C1CC1", "C1CCC2(CC1)CCCC2", "c1ccc2ccccc2c1", "c1ccc2[nH]ccc2c1", "ClC(Cl)(Cl)Cl", "CCI", "N[C@@H](C)C(=O)[O-]", "[Na+].[Cl-]",
+    "C%10CCCC%10", "F/C=C/F", "CC#N", "C#C", "CC(=O)Nc1ccc(O)cc1", "CC(=O)Oc1ccccc1C(=O)O", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "CC(C)Cc1ccc(cc1)C(C)C(=O)O", "O=S(=O)(N)c1ccc(N)cc1", "OP(=O)(O)O", "C1CC2CCC1C2", "FC(F)(F)c1ccccc1", "CN(C)C",
+    "C1=CC=CC=C1", "O=C1CCC(=O)N1", "S1C=CC=C1", "BrCCBr", "CSC", "CC(C)(C)C", "[NH4+]", "C1CCCCCCC1", "OC[C@H]1OC(O)[C@H](O)[C@@H](O)[C@@H]1O", "[O-][N+](=O)c1ccccc1", "", "C1", "not a smiles",
+)
 
 
-def text_query(family, table: str) -> None:
-    key, text = TEXTS[table]
+def molecule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, s) for k, s in enumerate(SMILES, 1)], "mol_id long, smiles string")
 
+
+_MOLECULE_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(SMILES, 1)) + ") AS v(mol_id, smiles))"
+
+
+def text_query(family: Family, name: str, table: str, key: str, text: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, F.col(text).alias("__text"))
         return family.add_to(rows, F.col("__text"), digits=DIGITS).drop("__text")
 
-    name = family.name if table == "documents" else f"{family.name}_{table}"
-    QUERIES[name] = query
-    ORACLES[name] = family.sql(table, [key], text, digits=DIGITS)
+    QUERIES[name], ORACLES[name] = query, family.sql(table, [key], text, digits=DIGITS)
+
+
+def molecule_text_query(family: Family) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return family.add_to(molecule_table(spark), F.col("smiles"), digits=DIGITS).drop("smiles")
+
+    QUERIES[f"{family.name}_molecules"], ORACLES[f"{family.name}_molecules"] = query, family.sql(_MOLECULE_SQL, ["mol_id"], "smiles", digits=DIGITS)
 
 
 for _family in (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, ELECTRONEGATIVITY, ACIDITY):
-    text_query(_family, "documents")
-text_query(TOKEN_CLOSED, "part")
+    text_query(_family, _family.name, "documents", "doc_id", "text")
+    molecule_text_query(_family)
+text_query(TOKEN_CLOSED, "token_closed_part", "part", "p_partkey", "p_type")
+molecule_text_query(TOKEN_CLOSED)
 
 
-def token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def token_planes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
     return plane_statistics(rows, F.col("__text")).drop("__text")
 
 
-QUERIES["token_planes_part"] = token_planes
+@query
+def token_planes_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_statistics(molecule_table(spark), F.col("smiles")).drop("smiles")
+
+
+@query
+def string_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strings.add_scans(molecule_table(spark), F.col("smiles")).drop("smiles")
+
+
+def _molecule_query(family: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = molecules.add_molecules(molecule_table(spark), F.col("smiles"), molecules.NAMES[family]).drop("smiles")
+        return rows.select("mol_id", "parse_ok", *[F.round(n, DIGITS).alias(n) for n in molecules.NAMES[family]])
+
+    QUERIES[f"molecule_{family}"] = run
+
+
+for _name in molecules.NAMES:
+    _molecule_query(_name)
+
+#: Descriptors that SQL works out from tables of atoms and bonds.
+_BOND_NAMES = ("BondCount", "SingleBondCount", "DoubleBondCount", "TripleBondCount", "AromaticBondCount", "MaxBondOrder", "MinBondOrder", "UniqueBondOrderCount", "MostCommonBondOrder", "FractionCCBonds", "FractionRingBonds", "FractionBondsToHeteroatoms", "FractionBondsBetweenHeteroatoms", "DoubleToSingleBondRatio", "ZagrebIndexM2", "RandicIndex", "MeanBondDegreeSum")
+_ATOM_NAMES = ("NumAtoms", "NumHeavyAtomsGraph", "MinAtomDegree", "MaxAtomDegree", "MeanAtomDegree", "VarianceAtomDegree", "ZagrebIndexM1", "FractionAtomsInRings", "NumTerminalNodes", "NumBranchingNodes", "KierAlpha")
+_PATH_NAMES = ("WienerIndex", "HararyIndex", "GraphDiameter", "GraphRadius", "MeanAtomEccentricity", "ATSdz1", "ATSdz2", "ATSdd3")
+
+
+def _graph_query(name: str, names: tuple[str, ...]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = molecules.add_molecules(molecule_table(spark), F.col("smiles"), names).where("parse_ok")
+        return rows.select("mol_id", *[F.round(n, DIGITS).alias(n) for n in names])
+
+    QUERIES[name] = run
+
+
+def _graph_values() -> tuple[str, str]:
+    """Atoms and bonds of the molecules as SQL; what SQL computes from them is independent of the library's formulas."""
+    atoms, bonds = [], []
+    for k, s in enumerate(SMILES, 1):
+        try:
+            m = Molecule(s)
+        except SmilesError:
+            continue
+        atoms += [f"({k}, {i}, {a.z}, {a.degree}, {a.in_ring})" for i, a in enumerate(m.atoms)]
+        bonds += [f"({k}, {b.a}, {b.b}, {b.order}::DOUBLE, {b.rings})" for b in m.bonds]
+    return f"atoms(mol_id, i, z, degree, in_ring) AS (VALUES {', '.join(atoms)})", f"bonds(mol_id, a, b, ord, rings) AS (VALUES {', '.join(bonds)})"
+
+
+def _graph_oracles() -> None:
+    atoms, bonds = _graph_values()
+    r = lambda e, n: f"round(CAST({e} AS DOUBLE), {DIGITS}) AS {n}"
+    share = lambda c: f"coalesce(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) FILTER (WHERE ord IS NOT NULL), 0)"
+    count = lambda o: f"count(*) FILTER (WHERE ord = {o})"
+    exprs = ("count(ord)", count(1), count(2), count(3), count(1.5), "coalesce(max(ord), 0)", "coalesce(min(ord), 0)", "count(DISTINCT ord)", "coalesce(max(common), 0)", share("za = 6 AND zb = 6"), share("rings > 0"), share("za NOT IN (1, 6) OR zb NOT IN (1, 6)"), share("za NOT IN (1, 6) AND zb NOT IN (1, 6)"),
+             f"CASE WHEN {count(1)} = 0 THEN 0 ELSE {count(2)} / {count(1)} END", "coalesce(sum(da * db), 0)", "coalesce(sum(1 / sqrt(da * db)), 0)", "coalesce(avg(da + db), 0)")
+    ORACLES["graph_bonds"] = f"""
+        WITH {atoms}, {bonds}, tally AS (SELECT mol_id, ord, count(*) AS c FROM bonds GROUP BY ALL), modes AS (SELECT mol_id, arg_min(ord, (-c) * 1000 + ord) AS common FROM tally GROUP BY mol_id),
+        j AS (SELECT m.mol_id, ord, rings, x.z AS za, y.z AS zb, x.degree AS da, y.degree AS db, common FROM (SELECT DISTINCT mol_id FROM atoms) m LEFT JOIN bonds USING (mol_id) LEFT JOIN modes USING (mol_id)
+              LEFT JOIN atoms x ON x.mol_id = m.mol_id AND x.i = a LEFT JOIN atoms y ON y.mol_id = m.mol_id AND y.i = b)
+        SELECT mol_id, {', '.join(r(e, n) for e, n in zip(exprs, _BOND_NAMES, strict=True))} FROM j GROUP BY mol_id"""
+    exprs = ("count(*)", "count(*) FILTER (WHERE z > 1)", "min(degree)", "max(degree)", "avg(degree)", "var_pop(degree)", "sum(degree * degree)", "avg(CASE WHEN in_ring THEN 1.0 ELSE 0.0 END)", "count(*) FILTER (WHERE z > 1 AND degree = 1)", "count(*) FILTER (WHERE z > 1 AND degree > 2)",
+             "sum(CASE z WHEN 6 THEN 0.05 WHEN 7 THEN 0.15 WHEN 8 THEN 0.2 WHEN 16 THEN 0.25 ELSE 0.1 END)")
+    ORACLES["graph_atoms"] = f"WITH {atoms} SELECT mol_id, {', '.join(r(e, n) for e, n in zip(exprs, _ATOM_NAMES, strict=True))} FROM atoms GROUP BY mol_id"
+    ats = lambda p, lag: f"coalesce(avg((x{p} - m{p}) * (y{p} - m{p})) FILTER (WHERE d = {lag} AND i < j), 0)"
+    exprs = ("coalesce(sum(d) FILTER (WHERE i < j), 0)", "coalesce(sum(1.0 / d) FILTER (WHERE i < j), 0)", "coalesce(max(d), 0)", "coalesce(min(e) FILTER (WHERE e > 0), 0)", "coalesce(max(mean_e), 0)", ats("z", 1), ats("z", 2), ats("d", 3))
+    ORACLES["graph_paths"] = f"""
+        WITH RECURSIVE {atoms}, {bonds}, step AS (SELECT mol_id, a, b FROM bonds UNION ALL SELECT mol_id, b, a FROM bonds),
+        walk(mol_id, i, j, d) AS (SELECT mol_id, i, i, 0 FROM atoms UNION SELECT w.mol_id, i, s.b, d + 1 FROM walk w JOIN step s ON s.mol_id = w.mol_id AND s.a = w.j WHERE d < 14),
+        near AS (SELECT mol_id, i, j, min(d) AS d FROM walk GROUP BY ALL), ecc AS (SELECT mol_id, i, max(d) AS e FROM near GROUP BY ALL), mean_ecc AS (SELECT mol_id, avg(e) AS mean_e FROM ecc GROUP BY mol_id),
+        means AS (SELECT mol_id, avg(z) AS mz, avg(degree) AS md FROM atoms GROUP BY mol_id),
+        p AS (SELECT near.mol_id, near.i, near.j, nullif(d, 0) AS d, e, mean_e, mz, md, x.z AS xz, y.z AS yz, x.degree AS xd, y.degree AS yd FROM near JOIN ecc USING (mol_id, i) JOIN mean_ecc USING (mol_id) JOIN means USING (mol_id)
+              JOIN atoms x ON x.mol_id = near.mol_id AND x.i = near.i JOIN atoms y ON y.mol_id = near.mol_id AND y.i = near.j)
+        SELECT mol_id, {', '.join(r(e, n) for e, n in zip(exprs, _PATH_NAMES, strict=True))} FROM p GROUP BY mol_id"""
+
+
+for _name, _names in (("graph_bonds", _BOND_NAMES), ("graph_atoms", _ATOM_NAMES), ("graph_paths", _PATH_NAMES)):
+    _graph_query(_name, _names)
+_graph_oracles()
+
+
+@query
+def bit_kernels_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("__text"))
+    return bits.add_bits(rows, F.col("__text")).drop("__text")
+
+
+@query
+def bit_similarity_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
+    return bits.compare_bits(rows, F.col("p_brand"), F.col("p_type")).select("p_partkey", *[F.round(n, DIGITS).alias(n) for n in bits.PAIR_NAMES])
+
+
+_PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+
+
+@query
+def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", _PROFILED)
+    return rows.select("column_name", "n", F.round("variance", 2).alias("variance"), "zero_variance", F.round("correlation", DIGITS).alias("correlation"), F.round("pairwise_correlation", DIGITS).alias("pairwise_correlation"))
+
+
+ORACLES["profile_lineitem"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n, round(var_pop({c}), 2) AS variance, abs(var_pop({c})) < 1e-10 AS zero_variance, round(corr({c}, l_extendedprice), {DIGITS}) AS correlation, round(corr({c}, l_extendedprice), {DIGITS}) AS pairwise_correlation FROM lineitem" for c in _PROFILED
+)
+
+
+@query
+def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profile(spark.read.parquet(f"{sf_dir}/orders.parquet"), None, ("o_totalprice", "o_custkey", "o_orderstatus"))
+    return rows.select("column_name", "n", F.round("variance", 2).alias("variance"), "zero_variance")
+
+
+ORACLES["profile_orders"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(TRY_CAST({c} AS DOUBLE)) AS n, CASE WHEN count(TRY_CAST({c} AS DOUBLE)) > 1 THEN round(var_pop(TRY_CAST({c} AS DOUBLE)), 2) END AS variance, CASE WHEN count(TRY_CAST({c} AS DOUBLE)) > 1 THEN abs(var_pop(TRY_CAST({c} AS DOUBLE))) < 1e-10 END AS zero_variance FROM orders" for c in ("o_totalprice", "o_custkey", "o_orderstatus")
+)
+
+
+@query
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming profile's plan over a finished table."""
+    rows = windowed_profile(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "value", ["event_type"], "1 hour")
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("mean", DIGITS).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+ORACLES["windowed_events"] = f"""
+    SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(value) AS n, round(avg(value), {DIGITS}) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY ALL"""
+
+
+@query
+def element_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element properties as a table to join by atomic number."""
+    tables = {"mass_kg": elements.MASS, "pauling": elements.PAULING, "allred_rochow": elements.ALLRED_ROCHOW, "ionization": elements.IONIZATION, "affinity": elements.AFFINITY, "r_cov": elements.COVALENT_RADIUS, "r_vdw": elements.VDW_RADIUS, "polarizability": elements.POLARIZABILITY, "density": elements.DENSITY, "thermal": elements.THERMAL_CONDUCTIVITY, "specific_heat": elements.SPECIFIC_HEAT, "molar_volume": elements.MOLAR_VOLUME}
+    flags = {"main_group": elements.is_main_group, "transition_metal": elements.is_transition_metal, "alkali": elements.is_alkali_metal, "alkaline_earth": elements.is_alkaline_earth, "noble_gas": elements.is_noble_gas, "metal": elements.is_metal}
+    rows = [(z, s, elements.group(z), elements.period(z), *(float(t.get(z, 0.0)) for t in tables.values()), z in elements.HALOGENS, *(f(z) for f in flags.values())) for s, z in elements.ATOMIC_NUMBER.items()]
+    schema = "z int, symbol string, grp int, period int, " + ", ".join(f"{n} double" for n in tables) + ", halogen boolean, " + ", ".join(f"{n} boolean" for n in flags)
+    return spark.createDataFrame(rows, schema)
+
+
+@query
+def descriptor_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.listing(spark)
+
+
+@query
+def describe_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descriptor of every family in one plan."""
+    return catalog.describe(molecule_table(spark), F.col("smiles"))
