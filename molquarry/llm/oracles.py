@@ -1,6 +1,22 @@
 """The queries of this package in DuckDB's SQL, where SQL can express them."""
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), wins AS (
+            SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS win FROM d
+        ), source AS (
+            SELECT win, min(doc_id) AS least FROM wins GROUP BY win
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM wins JOIN source USING (win) WHERE least < doc_id
+        ), lists AS (
+            SELECT doc_id, list(pos) AS g, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS n_spans
+            FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(g, i), false)), ' ')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+        FROM d LEFT JOIN lists USING (doc_id)""",
     "op3_url_filter": r"""
         WITH p AS (
             SELECT page_id, coalesce(url, '') AS u, instr(coalesce(url, ''), '://') AS pos FROM pages
@@ -57,6 +73,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND host_ok AS kept, host, host_ok
         FROM k JOIN verdicts USING (host)""",
+    "op8_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS x FROM d
+        ), named AS (
+            SELECT doc_id, len(x) AS n, CASE WHEN len(x) > 0 THEN min(doc_id) OVER (PARTITION BY x) ELSE doc_id END AS class_id, x FROM s
+        ), c AS (
+            SELECT doc_id, n, unnest(x) AS x FROM named WHERE doc_id = class_id AND n > 0
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM c AS a JOIN c AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach(a, b) AS (
+            SELECT DISTINCT class_id, class_id FROM named UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON pairs.a = reach.b
+        ), least AS (
+            SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept, class_id FROM named JOIN least USING (class_id)""",
     "op9_chat_format": r"""
         WITH t AS (
             SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
