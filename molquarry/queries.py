@@ -100,7 +100,7 @@ _PATH_NAMES = ("WienerIndex", "HararyIndex", "GraphDiameter", "GraphRadius", "Me
 def _graph_query(name: str, names: tuple[str, ...]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = molecules.add_molecules(molecule_table(spark), F.col("smiles"), names).where("parse_ok")
-        return rows.select("mol_id", *[F.round(n, DIGITS).alias(n) for n in names])
+        return rows.select("mol_id", *[(F.round(n, DIGITS) + F.lit(0.0)).alias(n) for n in names])
 
     QUERIES[name] = run
 
@@ -120,7 +120,7 @@ def _graph_values() -> tuple[str, str]:
 
 def _graph_oracles() -> None:
     atoms, bonds = _graph_values()
-    r = lambda e, n: f"round(CAST({e} AS DOUBLE), {DIGITS}) AS {n}"
+    r = lambda e, n: f"round(CAST({e} AS DOUBLE), {DIGITS}) + 0.0 AS {n}"
     share = lambda c: f"coalesce(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) FILTER (WHERE ord IS NOT NULL), 0)"
     count = lambda o: f"count(*) FILTER (WHERE ord = {o})"
     exprs = ("count(ord)", count(1), count(2), count(3), count(1.5), "coalesce(max(ord), 0)", "coalesce(min(ord), 0)", "count(DISTINCT ord)", "coalesce(max(common), 0)", share("za = 6 AND zb = 6"), share("rings > 0"), share("za NOT IN (1, 6) OR zb NOT IN (1, 6)"), share("za NOT IN (1, 6) AND zb NOT IN (1, 6)"),

@@ -31,7 +31,7 @@ def rendered(column: Column, kind: T.DataType, error: str = "NA_Error", longest:
     """A cell of the output: four decimals, NA, INF, -INF; null is an error, long text is cut."""
     if isinstance(kind, T.DoubleType | T.FloatType):
         value = column.cast("double")
-        text = F.when(F.isnan(value), "NA").when(value == float("inf"), "INF").when(value == float("-inf"), "-INF").otherwise(F.format_string("%.4f", value))
+        text = F.when(value.isNull(), None).when(F.isnan(value), "NA").when(value == float("inf"), "INF").when(value == float("-inf"), "-INF").otherwise(F.format_string("%.4f", value))
     elif isinstance(kind, T.ArrayType):
         text = F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: rendered(x, kind.elementType, error)), ","), F.lit("]"))
     else:
