@@ -24,26 +24,37 @@ BUCKETS, BUCKET_ROWS = 64, 200_000
 
 
 def patterns(histogram: Mapping[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packing patterns (lengths, longest first) and their counts, for so many pieces of each length."""
+    """Packing patterns (lengths, longest first) and their counts, for so many pieces of each length.
+
+    A piece goes onto the shortest pack that has room, which may be one that just got a piece of its length;
+    with no such pack it opens one. All packs of a pattern move together.
+    """
     packs: dict[int, dict[tuple[int, ...], int]] = {}
+
+    def add(pattern: tuple[int, ...], n: int) -> None:
+        group = packs.setdefault(sum(pattern), {})
+        group[pattern] = group.get(pattern, 0) + n
+
     for length in sorted(histogram, reverse=True):
-        left, made = histogram[length], []
-        for total in sorted(packs):
-            if not left or total + length > size:
+        left = histogram[length]
+        while left:
+            total = min((t for t in packs if t + length <= size), default=None)
+            if total is None:
+                each = size // length
+                for pattern, n in (((length,) * each, left // each), ((length,) * (left % each), 1)):
+                    if pattern and n:
+                        add(pattern, n)
                 break
-            for pattern in sorted(packs[total]):
-                n = min(left, packs[total][pattern])
-                if n:
-                    made.append((pattern + (length,), n))
-                    packs[total][pattern] -= n
-                    left -= n
-            packs[total] = {p: n for p, n in packs[total].items() if n}
-        if left:
-            made.append(((length,), left))
-        for pattern, n in made:
-            group = packs.setdefault(sum(pattern), {})
-            group[pattern] = group.get(pattern, 0) + n
-        packs = {t: g for t, g in packs.items() if g}
+            group = packs[total]
+            pattern = min(group)
+            n = min(left, group[pattern])
+            group[pattern] -= n
+            if not group[pattern]:
+                del group[pattern]
+                if not group:
+                    del packs[total]
+            add((*pattern, length), n)
+            left -= n
     return sorted((p, n) for g in packs.values() for p, n in g.items())
 
 
