@@ -70,19 +70,27 @@ def _induced(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarr
     return np.concatenate([np.array([len(s) - 1])] + [x for c in alphabet for x in (up[c][0], down[c][0][::-1])])
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a string of names in order, by doubling the names' reach until they differ."""
-    rank, reach, n = names.astype(np.int64), 1, len(names)
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if rank[order[-1]] == n - 1 and len(np.unique(rank)) == n:
-            return order
-        key = rank * (n + 1)
-        key[: n - reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[order[1:]] != key[order[:-1]]))
+def _ranked(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The suffixes of a string of names in order, by doubling the names' reach until they differ.
+
+    ``order`` has them by their first name alone and ``new`` says where another name begins. A rank is the
+    first place of a suffix's group, so that only groups of several are sorted again.
+    """
+    n, reach = len(order), 1
+    order, new, place = order.copy(), new.copy(), np.arange(len(order))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    while len(tied := np.flatnonzero(~(new & np.append(new[1:], True)))):
+        some = order[tied]
+        ahead = some + reach
+        key = rank[some] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by_key = np.argsort(key, kind="stable")
+        some, key = some[by_key], key[by_key]
+        first = np.append(True, key[1:] != key[:-1])
+        order[tied], new[tied] = some, first
+        rank[some] = tied[np.maximum.accumulate(np.where(first, place[: len(tied)], 0))]
         reach *= 2
+    return order
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -102,9 +110,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     same = length[1:] == length[:-1]
     common = common_prefix(s, ordered[1:][same], ordered[:-1][same], int(length.max()) + 8)
     same[same] = common >= length[1:][same]
-    names = np.empty(len(lms), np.int64)
-    names[k] = np.cumsum(np.append(0, ~same))
-    return _induced(s, small, lms[_ranked(names)])
+    return _induced(s, small, lms[_ranked(k, np.append(True, ~same))])
 
 
 def common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
