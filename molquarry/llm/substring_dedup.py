@@ -65,13 +65,13 @@ def _minimisers(k: int):
     return found
 
 
-_PATHS = {"gram": pa.int64(), "id": pa.int64(), "at": pa.int32(), "edges": pa.list_(pa.int64())}
+_PATHS = {"gram": pa.int64(), "id": pa.int64(), "row": pa.int32(), "at": pa.int32(), "edges": pa.list_(pa.int64())}
 
 
 def _shared_paths(k: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, grams = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
+            ids, texts, grams, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in slices(texts):
                 least, whole, text, at = _edges(data, offsets, k)
                 keep = np.zeros(len(least), bool)
@@ -82,7 +82,7 @@ def _shared_paths(k: int):
                 least, whole, text, at = least[keep], whole[keep], text[keep], at[keep]
                 p = _paths(least, text, at)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(p, len(least)), pa.int32()), pa.array(whole))
-                yield pa.record_batch([pa.array(least[p]), pa.array(ids[a + text[p]]), pa.array(at[p], pa.int32()), lists], list(_PATHS))
+                yield pa.record_batch([pa.array(least[p]), pa.array(ids[a + text[p]]), pa.array(row[a + text[p]]), pa.array(at[p], pa.int32()), lists], list(_PATHS))
 
     return found
 
@@ -96,12 +96,13 @@ def _removed(k: int, with_text: bool):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for i, text, at, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n, removed, spans = len(words), 0, 0
                 if at.is_valid:
                     mark = np.zeros(n + 1, np.int32)
-                    starts = np.unique(at.values.to_numpy(zero_copy_only=False))
+                    coded = at.values.to_numpy(zero_copy_only=False)
+                    starts = np.unique(coded[coded >> 32 == row] & 0xFFFFFFFF)
                     mark[starts] += 1
                     np.subtract.at(mark, starts + k, 1)
                     gone = np.cumsum(mark[:n]) > 0
@@ -128,11 +129,12 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     grams = rows.mapInArrow(_minimisers(k), "gram long, id long")
     shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
     lists = grams.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    paths = rows.join(lists, "id").select("id", "text", "grams").mapInArrow(_shared_paths(k), "gram long, id long, at int, edges array<long>")
-    edges = paths.repartition("gram").select("gram", "id", "at", F.posexplode("edges").alias("step", "edge"))
+    paths = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row")).mapInArrow(_shared_paths(k), "gram long, id long, row int, at int, edges array<long>")
+    edges = paths.repartition("gram").select("gram", "id", "row", "at", F.posexplode("edges").alias("step", "edge"))
     source = F.min("id").over(Window.partitionBy("gram", "edge"))
-    gone = edges.withColumn("source", source).where("source < id").groupBy("id").agg(F.collect_list(F.col("at") + F.col("step")).alias("ats"))
-    kept = rows.join(gone, "id", "left").select("id", "text", "ats")
+    gone = edges.withColumn("source", source).where("source < id").groupBy("id").agg(F.collect_list(F.shiftleft(F.col("row").cast("long"), 32) + F.col("at") + F.col("step")).alias("ats"))
+    # Rows that share an id are told apart by a hash of their texts, above the position; joined by id alone, the texts are not shuffled again.
+    kept = rows.join(gone, "id", "left").select("id", "text", "ats", F.hash("text").alias("row"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + (", kept_text string" if with_text else "")
     done = kept.mapInArrow(_removed(k, with_text), schema)
     return done.select(F.when(F.col("id") != last, F.col("id")).alias(id_col), *[c for c in done.columns if c != "id"])

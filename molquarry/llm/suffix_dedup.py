@@ -70,13 +70,13 @@ def _minimisers(width: int):
     return found
 
 
-_PIECES = {"gram": pa.int64(), "id": pa.int64(), "start": pa.int64(), "key": pa.binary(), "piece": pa.binary()}
+_PIECES = {"gram": pa.int64(), "id": pa.int64(), "row": pa.int32(), "start": pa.int64(), "key": pa.binary(), "piece": pa.binary()}
 
 
 def _shared_pieces(width: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, grams = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            ids, texts, grams, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()
             sent: set[bytes] = set()
             for a, b, data, offsets in slices(texts):
                 least, start, text, _ = _windows(data, offsets, width)
@@ -91,22 +91,22 @@ def _shared_pieces(width: int):
                 for g, p, q, t in zip(least[first].tolist(), start[first].tolist(), start[last].tolist(), text[first].tolist(), strict=True):
                     piece = raw[p : q + width]
                     key = hashlib.blake2b(piece, digest_size=16).digest()
-                    out.append((g, ids[a + t], p - int(offsets[t]), key, None if key in sent else piece))
+                    out.append((g, ids[a + t], rows[a + t], p - int(offsets[t]), key, None if key in sent else piece))
                     sent.add(key)
                 yield record_batch(out, _PIECES)
 
     return found
 
 
-_SPANS = {"id": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+_SPANS = {"id": pa.int64(), "row": pa.int32(), "a": pa.int64(), "b": pa.int64()}
 
 
 def _sorted_shards(width: int):
-    def spans(pieces: dict[bytes, bytes], uses: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    def spans(pieces: dict[bytes, bytes], uses: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
         """Spans of the documents; a piece that is used twice repeats as a whole."""
         keys = list(pieces)
         count: dict[bytes, int] = {}
-        for k, _, _ in uses:
+        for k, *_ in uses:
             count[k] = count.get(k, 0) + 1
         marks = dict(zip(keys, repeated([pieces[k] for k in keys], width), strict=True)) if keys else {}
         runs = {}
@@ -118,12 +118,12 @@ def _sorted_shards(width: int):
             mark = np.concatenate([[False], marks[k], [False]])
             first, last = np.flatnonzero(~mark[:-1] & mark[1:]), np.flatnonzero(mark[:-1] & ~mark[1:])
             runs[k] = list(zip(first.tolist(), (last - 1 + width).tolist(), strict=True))
-        return record_batch([(i, at + p, at + q) for k, i, at in uses for p, q in runs[k]], _SPANS)
+        return record_batch([(i, row, at + p, at + q) for k, i, row, at in uses for p, q in runs[k]], _SPANS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, uses, size, now = {}, [], 0, None
         for batch in batches:
-            for gram, i, at, key, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, i, row, at, key, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gram != now:
                     if size >= SHARD:
                         yield spans(pieces, uses)
@@ -132,7 +132,7 @@ def _sorted_shards(width: int):
                 if piece is not None and key not in pieces:
                     pieces[key] = piece
                     size += len(piece)
-                uses.append((key, i, at))
+                uses.append((key, i, row, at))
         if uses:
             yield spans(pieces, uses)
 
@@ -148,9 +148,9 @@ def _removed(with_bytes: bool):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for i, text, spans, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, parts, at, runs = text.encode(), [], 0, []
-                for s in sorted((s["a"], s["b"]) for s in spans or ()):
+                for s in sorted((s["a"], s["b"]) for s in spans or () if s["row"] == own):
                     if runs and s[0] <= runs[-1][1]:
                         runs[-1] = (runs[-1][0], max(runs[-1][1], s[1]))
                     else:
@@ -171,18 +171,18 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
 
     Each byte of the UTF-8 text goes that is covered by a ``width``-byte string which also starts anywhere
     else, in any document or the same one; matches stay inside documents. Null texts are empty; an empty
-    table gives no rows; other columns are not looked at. Rows need an id of their own (null is one id): the
-    spans of rows that share one are removed from all of them.
+    table gives no rows; other columns are not looked at. Rows that share an id, or have none, are told apart
+    by their texts, so equal rows count as strings that start elsewhere.
     """
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     grams = rows.mapInArrow(_minimisers(width), "gram long, id long, times long")
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).where("n > 1 or times > 1").select("gram")
     lists = grams.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    pieces = rows.join(lists, "id").select("id", "text", "grams").mapInArrow(_shared_pieces(width), "gram long, id long, start long, key binary, piece binary")
+    pieces = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row")).mapInArrow(_shared_pieces(width), "gram long, id long, row int, start long, key binary, piece binary")
     shards = pieces.repartition("gram").sortWithinPartitions("gram")
-    spans = shards.mapInArrow(_sorted_shards(width), "id long, a long, b long")
-    gone = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = shards.mapInArrow(_sorted_shards(width), "id long, row int, a long, b long")
+    gone = spans.groupBy("id").agg(F.collect_list(F.struct("row", "a", "b")).alias("spans"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    done = rows.join(gone, "id", "left").select("id", "text", "spans").mapInArrow(_removed(with_bytes), schema)
+    done = rows.join(gone, "id", "left").select("id", "text", "spans", F.hash("text").alias("row")).mapInArrow(_removed(with_bytes), schema)
     return done.select(F.when(F.col("id") != last, F.col("id")).alias(id_col), *[c for c in done.columns if c != "id"])
