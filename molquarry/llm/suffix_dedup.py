@@ -5,10 +5,10 @@ Sorting every suffix of a corpus together does not shard. Here the corpus is sha
 
 1. Minimisers are counted; windows whose minimiser is found once are unique.
 2. For each other minimiser the bytes of the consecutive windows that have it, a piece of some hundred bytes,
-   go to the shard of that minimiser; equal pieces are sent once from each batch.
+   go to the shard of that minimiser; equal pieces are counted and sent once from each batch.
 3. Each shard sorts the suffixes of its distinct pieces by induced sorting and takes the permuted common
    prefixes: a window starts elsewhere too if its prefix with a neighbour is long enough.
-4. The windows that repeat, as spans of the documents, are joined back to the documents.
+4. The spans that repeat are joined to the pieces' uses, which may be skewed, and so to the documents.
 """
 
 from __future__ import annotations
@@ -70,14 +70,17 @@ def _minimisers(width: int):
     return found
 
 
-_PIECES = {"gram": pa.int64(), "id": pa.int64(), "row": pa.int32(), "start": pa.int64(), "key": pa.binary(), "piece": pa.binary()}
+_PIECES = {"gram": pa.int64(), "key": pa.binary(), "n": pa.int64(), "piece": pa.binary()}
+_USES = {"key": pa.binary(), "id": pa.int64(), "row": pa.int32(), "start": pa.int64()}
 
 
-def _shared_pieces(width: int):
+def _shared_pieces(width: int, uses: bool):
+    """The pieces whose minimiser is shared: where each is used, or the distinct ones of a batch with their number."""
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, grams, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()
-            sent: set[bytes] = set()
+            distinct: dict[bytes, list] = {}
             for a, b, data, offsets in slices(texts):
                 least, start, text, _ = _windows(data, offsets, width)
                 keep = np.zeros(len(least), bool)
@@ -91,50 +94,49 @@ def _shared_pieces(width: int):
                 for g, p, q, t in zip(least[first].tolist(), start[first].tolist(), start[last].tolist(), text[first].tolist(), strict=True):
                     piece = raw[p : q + width]
                     key = hashlib.blake2b(piece, digest_size=16).digest()
-                    out.append((g, ids[a + t], rows[a + t], p - int(offsets[t]), key, None if key in sent else piece))
-                    sent.add(key)
-                yield record_batch(out, _PIECES)
+                    if uses:
+                        out.append((key, ids[a + t], rows[a + t], p - int(offsets[t])))
+                    else:
+                        distinct.setdefault(key, [g, key, 0, piece])[2] += 1
+                if uses:
+                    yield record_batch(out, _USES)
+            if not uses:
+                yield record_batch([tuple(x) for x in distinct.values()], _PIECES)
 
     return found
 
 
-_SPANS = {"id": pa.int64(), "row": pa.int32(), "a": pa.int64(), "b": pa.int64()}
+_MARKS = {"key": pa.binary(), "a": pa.int64(), "b": pa.int64()}
 
 
 def _sorted_shards(width: int):
-    def spans(pieces: dict[bytes, bytes], uses: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
-        """Spans of the documents; a piece that is used twice repeats as a whole."""
-        keys = list(pieces)
-        count: dict[bytes, int] = {}
-        for k, *_ in uses:
-            count[k] = count.get(k, 0) + 1
-        marks = dict(zip(keys, repeated([pieces[k] for k in keys], width), strict=True)) if keys else {}
-        runs = {}
-        for k in keys:
-            n = len(pieces[k])
-            if count[k] > 1:
-                runs[k] = [(0, n)]
-                continue
-            mark = np.concatenate([[False], marks[k], [False]])
-            first, last = np.flatnonzero(~mark[:-1] & mark[1:]), np.flatnonzero(mark[:-1] & ~mark[1:])
-            runs[k] = list(zip(first.tolist(), (last - 1 + width).tolist(), strict=True))
-        return record_batch([(i, row, at + p, at + q) for k, i, row, at in uses for p, q in runs[k]], _SPANS)
+    def marks(pieces: dict[bytes, bytes], count: dict[bytes, int]) -> pa.RecordBatch:
+        """Spans of each piece that repeat; a piece that is found twice repeats as a whole."""
+        out = [(k, 0, len(x)) for k, x in pieces.items() if count[k] > 1]
+        for (k, x), found in zip(pieces.items(), repeated(list(pieces.values()), width), strict=True):
+            if count[k] == 1:
+                mark = np.concatenate([[False], found, [False]])
+                first, last = np.flatnonzero(~mark[:-1] & mark[1:]), np.flatnonzero(mark[:-1] & ~mark[1:])
+                out += [(k, p, q - 1 + width) for p, q in zip(first.tolist(), last.tolist(), strict=True)]
+        return record_batch(out, _MARKS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, uses, size, now = {}, [], 0, None
+        pieces: dict[bytes, bytes] = {}
+        count: dict[bytes, int] = {}
+        size, now = 0, None
         for batch in batches:
-            for gram, i, row, at, key, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, key, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gram != now:
                     if size >= SHARD:
-                        yield spans(pieces, uses)
-                        pieces, uses, size = {}, [], 0
+                        yield marks(pieces, count)
+                        pieces, count, size = {}, {}, 0
                     now = gram
-                if piece is not None and key not in pieces:
+                if key not in pieces:
                     pieces[key] = piece
                     size += len(piece)
-                uses.append((key, i, row, at))
-        if uses:
-            yield spans(pieces, uses)
+                count[key] = count.get(key, 0) + n
+        if pieces:
+            yield marks(pieces, count)
 
     return found
 
@@ -179,9 +181,12 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     grams = rows.mapInArrow(_minimisers(width), "gram long, id long, times long")
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).where("n > 1 or times > 1").select("gram")
     lists = grams.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    pieces = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row")).mapInArrow(_shared_pieces(width), "gram long, id long, row int, start long, key binary, piece binary")
-    shards = pieces.repartition("gram").sortWithinPartitions("gram")
-    spans = shards.mapInArrow(_sorted_shards(width), "id long, row int, a long, b long")
+    shared_rows = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row"))
+    # Only distinct pieces of each batch go to the shards; a passage that many documents share is combined before the shuffle.
+    pieces = shared_rows.mapInArrow(_shared_pieces(width, False), "gram long, key binary, n long, piece binary")
+    marks = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_shards(width), "key binary, a long, b long")
+    uses = shared_rows.mapInArrow(_shared_pieces(width, True), "key binary, id long, row int, start long")
+    spans = uses.join(marks, "key").select("id", "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     gone = spans.groupBy("id").agg(F.collect_list(F.struct("row", "a", "b")).alias("spans"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     done = rows.join(gone, "id", "left").select("id", "text", "spans", F.hash("text").alias("row")).mapInArrow(_removed(with_bytes), schema)
