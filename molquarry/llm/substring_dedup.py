@@ -28,7 +28,7 @@ from molquarry.llm.common import record_batch
 from molquarry.llm.rolling import slices, sliding_min, windows, words_of
 
 #: Words of the grams that minimisers are taken from.
-GRAM = 5
+GRAM = 4
 
 
 def _edges(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
