@@ -2,7 +2,8 @@
 
 1. Each document's set of word shingles is sketched: a digest of the whole set, the minima of many hash
    functions in bands, and the low bits of all minima packed into a signature.
-2. Documents with equal sets are one class; only its smallest id goes on.
+2. Rows with equal sets are one class; only its first row, by id and then by a hash of the text, goes on. Rows
+   are known by a number of their own, so ids may be null or repeated.
 3. Classes that share a band meet: the components of these meetings are clusters. Two sets as similar as the
    limit meet nowhere with a chance of about ``MISS``.
 4. Inside a cluster the collision-corrected estimate from the signatures' bit counts tells which pairs are
@@ -128,18 +129,18 @@ def linked(sets: list[np.ndarray], signatures: np.ndarray, percent: int, n: int,
     return found
 
 
-_SKETCH = "id long, n long, class binary, bands array<long>"
+_SKETCH = "id long, hash long, n long, class binary, bands array<long>"
 
 
 def _sketched(width: int, percent: int):
     bands = bands_for(percent)
-    types = [("id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    types = [("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b, data, offsets in slices(batch.column(1)):
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, data, offsets in slices(batch.column(2)):
                 sets = shingle_sets(data, offsets, width)
                 full = [s for s in sets if len(s)]
                 keys: list = [None] * len(sets)
@@ -150,7 +151,7 @@ def _sketched(width: int, percent: int):
                         key = mixed((key ^ least[:, :, k]) + salt)
                     rows = iter(key.view(np.int64).tolist())
                     keys = [next(rows) if len(s) else None for s in sets]
-                columns = (ids[a:b], [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], keys)
+                columns = (ids[a:b], hashes[a:b], [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], keys)
                 yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], [c for c, _ in types])
 
     return sketch
@@ -158,15 +159,24 @@ def _sketched(width: int, percent: int):
 
 def _full_sets(width: int, percent: int):
     n = bands_for(percent) * ROWS
-    types = [("cluster", pa.int64()), ("blocks", pa.int64()), ("id", pa.int64()), ("shingles", pa.binary()), ("signature", pa.binary())]
+    types = [("cluster", pa.int64()), ("blocks", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary()), ("signature", pa.binary())]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             head = [batch.column(k).to_pylist() for k in range(3)]
             for a, b, data, offsets in slices(batch.column(3)):
                 sets = shingle_sets(data, offsets, width)
+                new = []
+                for k, s in enumerate(sets):
+                    if len(s) and head[2][a + k] not in seen:
+                        seen.add(head[2][a + k])
+                        new.append(k)
+                if not new:
+                    continue
+                sets = [sets[k] for k in new]
                 signatures = packed(minima(sets, n))
-                columns = (*(h[a:b] for h in head), [s.tobytes() for s in sets], [s.tobytes() for s in signatures])
+                columns = (*([h[a + k] for k in new] for h in head), [s.tobytes() for s in sets], [s.tobytes() for s in signatures])
                 yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], [c for c, _ in types])
 
     return sets_of
@@ -176,8 +186,11 @@ def _confirmed(percent: int):
     n = bands_for(percent) * ROWS
 
     def links(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("id", "ascending")])
-        ids = table["id"].to_pylist()
+        table = table.sort_by([("block", "ascending"), ("node", "ascending")])
+        nodes = table["node"].to_numpy()
+        # A row that is repeated can come from several tasks.
+        table = table.filter(pa.array(np.concatenate([[True], nodes[1:] != nodes[:-1]])))
+        ids = table["node"].to_pylist()
         sets = [np.frombuffer(s, _U) for s in table["shingles"].to_pylist()]
         signatures = np.stack([np.frombuffer(s, _U) for s in table["signature"].to_pylist()])
         own = table["block"].to_numpy()
@@ -188,35 +201,44 @@ def _confirmed(percent: int):
     return links
 
 
-def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept, class_id.
+def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept, class_id and, if asked for, text_hash.
 
-    Documents are linked when 100 * intersection >= percent * union of their sets of ``width``-word shingles,
-    A-Z taken as a-z. component_id is the smallest id that links reach, class_id the smallest with an equal
-    set; kept marks the document whose id is that of its component.
+    Rows are linked when 100 * intersection >= percent * union of their sets of ``width``-word shingles, A-Z
+    taken as a-z. component_id is the smallest id that links reach, class_id the smallest with an equal set;
+    kept marks one row of those that links connect: one with the smallest id, and of several the one whose
+    text has the least hash.
 
     A text of fewer words is one shingle; texts without words, or null, have no shingles and no links. A null
-    id counts as larger than any other and comes back null; rows that share an id share their links; an empty
-    table gives no rows; other columns are not looked at.
+    id counts as larger than any other and comes back null; rows that share an id, or have none, are told
+    apart: each has the links of its own text, and text_hash (xxhash64, of '' for null) says which is meant.
+    An empty table gives no rows; other columns are not looked at.
     """
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    sketches = durable(rows.mapInArrow(_sketched(width, percent), _SKETCH))
-    classes = durable(sketches.where("n > 0").groupBy("class").agg(F.min("id").alias("class_id")))
-    sketch_of = sketches.join(classes, "class").where("id = class_id").dropDuplicates(["id"])
-    keys = sketch_of.select("id", F.explode("bands").alias("band"))
-    met = keys.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "first")
-    clusters = components(keys.join(met, "band").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    sketches = durable(rows.mapInArrow(_sketched(width, percent), _SKETCH).withColumn("row", F.monotonically_increasing_id()))
+    least = sketches.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "hash", "row")).alias("least"))
+    classes = durable(least.select("class", F.col("least.id").alias("class_id"), F.col("least.hash").alias("hash"), F.col("least.row").alias("node")))
+    firsts = classes.select(F.col("node").alias("row"))
+    keys = sketches.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
+    met = keys.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "first")
+    clusters = components(keys.join(met, "band").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("id", "node")
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = durable(clusters.join(sizes, "component").select(F.col("component").alias("cluster"), "blocks", "id"))
-    sets = members.join(rows, "id")
-    full = sets.select("cluster", "blocks", "id", "text").mapInArrow(_full_sets(width, percent), "cluster long, blocks long, id long, shingles binary, signature binary")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    texts = classes.select("node", F.col("class_id").alias("id"), "hash")
+    members = durable(clusters.join(sizes, "component").join(texts, "node").select(F.col("component").alias("cluster"), "blocks", "node", "id", "hash"))
+    sets = members.join(rows, ["id", "hash"])
+    full = sets.select("cluster", "blocks", "node", "text").mapInArrow(_full_sets(width, percent), "cluster long, blocks long, node long, shingles binary, signature binary")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = full.withColumn("block", block).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = dealt.select("cluster", F.least("block", "mate").alias("one"), F.greatest("block", "mate").alias("other"), "block", "id", "shingles", "signature")
+    pairs = dealt.select("cluster", F.least("block", "mate").alias("one"), F.greatest("block", "mate").alias("other"), "block", "node", "shingles", "signature")
     links = durable(pairs.groupBy("cluster", "one", "other").applyInArrow(_confirmed(percent), "a long, b long"))
-    found = components(links)
-    named = sketches.select("id", "n", "class").join(classes, "class", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    result = named.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    real = lambda c: F.when(F.col(c) != last, F.col(c))
-    return result.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), real("class_id").alias("class_id"))
+    found = components(links).withColumnRenamed("id", "node")
+    best = found.join(classes, "node").groupBy("component").agg(F.min(F.struct("class_id", "hash", "node")).alias("best"))
+    labels = found.join(best, "component").select("node", F.col("best.class_id").alias("component"), F.col("best.node").alias("stays"))
+    named = sketches.select("id", "hash", "n", "class", "row").join(classes.drop("hash"), "class", "left")
+    result = named.join(labels, "node", "left")
+    component, stays = F.coalesce("component", "class_id", "id"), F.coalesce("stays", "node", "row")
+    real = lambda c: F.when(c != last, c)
+    columns = [real(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("row") == stays).alias("kept"), real(F.coalesce("class_id", "id")).alias("class_id")]
+    return result.select(*columns, *([F.col("hash").alias("text_hash")] if with_hash else []))

@@ -169,6 +169,31 @@ def test_a_large_cluster_is_worked_on_in_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_near_copies_among_rows_with_null_or_shared_ids(spark):
+    rng = random.Random(4)
+    some = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    edited = lambda w: " ".join([*w[:-1], "edit"])
+    groups = [some() for _ in range(12)]
+    rows, wanted = [], {}
+    for k, w in enumerate(groups):
+        # Without an id; one id for all; a pair without ids; a pair of one id, and each row of the pair repeated.
+        for i, t in (((None, " ".join(w)), (k, edited(w))), ((-1, " ".join(w)), (k, edited(w))), ((None, " ".join(w)), (None, edited(w))), ((50, " ".join(w)), (50, edited(w)), (50, edited(w))))[k % 4]:
+            rows.append((i, t))
+            wanted[t] = k
+    rows += [(None, None), (None, ""), (50, " ")]
+    assert sum(r["kept"] for r in near_dedup(frame(spark, rows)).collect()) == len(groups) + 3
+    found = near_dedup(frame(spark, rows), with_hash=True)
+    text_of = {r["h"]: r["text"] for r in frame(spark, rows).selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    got = [(r, wanted.get(text_of[r["text_hash"]])) for r in found.collect()]
+    assert len(got) == len(rows)
+    assert Counter(k for r, k in got if r["kept"] and k is not None) == Counter(range(12))
+    for r, k in got:
+        if k is not None:
+            assert r["component_id"] == (k, -1, None, 50)[k % 4] and (not r["kept"] or r["doc_id"] == r["component_id"])
+        else:
+            assert r["kept"] and r["n_shingles"] == 0
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup, exact_dedup, near_dedup])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).collect() == []
