@@ -22,10 +22,12 @@ WEIGHTS, FRACTION, SEED = {"lang=en": 3.0}, 0.8, 1
 SHINGLE, PERCENT = 5, 80
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ``ids``; a null doc_id matches a null one."""
-    wanted = ids.select(F.col("doc_id").alias("__wanted"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__wanted"]), "left_semi")
+def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose doc_id and text are among ``chosen`` (doc_id, text_hash), each once; a null doc_id matches a null one."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    named = docs.withColumn("__key", key).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    wanted = chosen.select(key.alias("__key"), F.col("text_hash").alias("__hash"))
+    return named.join(wanted, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +44,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return _only(docs, near_dedup(docs, SHINGLE, PERCENT).where("kept"))
+    """Of each group of near duplicates the row with the smallest doc_id stays."""
+    return _only(docs, near_dedup(docs, SHINGLE, PERCENT, with_hash=True).where("kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each once."""
-    return _only(docs, mixed(docs, fraction=FRACTION, epochs=1, weights=WEIGHTS, seed=SEED))
+    return _only(docs, mixed(docs, fraction=FRACTION, epochs=1, weights=WEIGHTS, seed=SEED, with_hash=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

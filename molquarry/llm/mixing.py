@@ -60,21 +60,24 @@ def budgets(leaves: DataFrame, budget: Column, epochs: int, weights: Mapping[str
     return flow.withColumn("given", F.floor(F.col("given") + 1e-6)).drop("cap")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: int | None = None, fraction: float = 0.5, epochs: int = 4, weights: Mapping[str, float] | None = None, seed: int = 0, domain: Column | None = None) -> DataFrame:
-    """One row per document that is taken: id, domain, lang, source, n_tokens, n_copies, epoch.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: int | None = None, fraction: float = 0.5, epochs: int = 4, weights: Mapping[str, float] | None = None, seed: int = 0, domain: Column | None = None, with_hash: bool = False) -> DataFrame:
+    """One row per document that is taken: id, domain, lang, source, n_tokens, n_copies, epoch and, if asked for, text_hash.
 
     Tokens are words. The budget is ``budget`` tokens, or ``fraction`` of all tokens. n_copies is the number
     of epochs that take the document: all whole epochs, and one more if it is in the prefix of the last,
     ``epoch``. The prefix ends before the first document that would exceed the leaf's budget, so a leaf falls
     short by less than one document.
 
+    text_hash (xxhash64, of '' for null) tells apart rows that share an id, or have none; it then orders them too.
     Null texts have no tokens, null languages and sources are the name ''; repeated rows count each. An
     empty table, or a budget of none, gives no rows; other columns are not looked at.
     """
     weights = {} if weights is None else weights
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
     dom = source_domain(docs[source_col]) if domain is None else domain
-    rows = durable(docs.select(docs[id_col].alias("id"), dom.alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens")))
+    told = ["text_hash"] if with_hash else []
+    hashed = [F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias(c) for c in told]
+    rows = durable(docs.select(docs[id_col].alias("id"), dom.alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *hashed))
     leaves = durable(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     total = leaves.agg(F.sum("tokens").alias("t"))
     wanted = F.lit(budget).cast("double") if budget is not None else F.coalesce(total.select(F.col("t") * fraction).scalar(), F.lit(0.0))
@@ -87,6 +90,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # At most 2 ** BUCKET_BITS rows for each leaf, one for each bucket.
     before = durable(sums.select(*keys, (F.sum("bucket_tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("bucket_tokens")).alias("tokens_before")))
     placed = order.join(before, keys)
-    upto = F.col("tokens_before") + F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("h", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.col("tokens_before") + F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("h", "id", "n_tokens", *told).rowsBetween(Window.unboundedPreceding, 0))
     copies = F.col("whole") + (upto <= F.col("rest")).cast("int")
-    return placed.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", copies.alias("n_copies"), F.col("whole").alias("epoch")).where("n_copies > 0")
+    return placed.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", copies.alias("n_copies"), F.col("whole").alias("epoch"), *told).where("n_copies > 0")

@@ -39,3 +39,14 @@ def test_pipeline_stages_take_odd_rows(spark):
             docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema)
         assert docs.count() <= 1
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_decisions_take_effect_among_rows_with_null_or_shared_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = lambda k, end: " ".join([*(f"w{k}x{j}" for j in range(99)), end])
+    near = [(i, text(k, end), "en", "a", 1) for k in range(6) for i, end in ((None if k % 2 else 7, "one"), (None if k % 2 else 7, "two"))]
+    left = corpus_pipeline.near(spark, spark.createDataFrame(near, schema), SF).collect()
+    assert sorted(r["text"].split()[0] for r in left) == sorted(f"w{k}x0" for k in range(6))
+    rows = [(None if k % 2 else 7, text(k, "end"), "en", "a", 1) for k in range(40)]
+    taken = corpus_pipeline.mix(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert len(taken) == len({r["text"] for r in taken}) == 40 * corpus_pipeline.FRACTION
