@@ -80,6 +80,12 @@ def string_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.add_scans(molecule_table(spark), F.col("smiles")).drop("smiles")
 
 
+@query
+def string_scans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text"))
+    return strings.add_scans(rows, F.col("__text")).drop("__text")
+
+
 def _molecule_query(family: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = molecules.add_molecules(molecule_table(spark), F.col("smiles"), molecules.NAMES[family]).drop("smiles")

@@ -1,3 +1,5 @@
+from itertools import accumulate
+
 import pytest
 
 from molquarry.queries import ORACLES, QUERIES
@@ -12,3 +14,16 @@ def test_same_rows_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_scans_of_all_documents(spark):
+    step = lambda s: list(accumulate((c == "(") - (c == ")") for c in s))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["string_scans_documents"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, s in texts.items():
+        forks = [k for k in range(len(s) - 1) if s[k : k + 2] == "C(" and ")" in s[k:]]
+        wanted = sum(sum(c == "(" and d == 1 for c, d in zip(s[k + 1 :], step(s[k + 1 :]), strict=True)) >= 3 for k in forks)
+        outside = [c for c, d in zip(s, step(s), strict=True) if d == 0 and c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+        share = sum(c != "C" for c in outside) / len(outside) if outside else 0.0
+        assert (got[i]["SmilesTertiaryCarbonCount"], got[i]["SmilesNonCarbonBackboneRatio"]) == (wanted, pytest.approx(share))
