@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Mapping, Sequence
 
@@ -20,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+    """``df`` written to the shared checkpoint folder, its lineage cut; later reads survive the loss of any executor.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests) a
-    temporary one is made. Later reads survive the loss of any executor.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Where that is unset, a session
+    whose executor is the driver itself (tests) gets a temporary one; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,22 +43,51 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         a = b
 
 
+#: Keys of the word hash; words of more than LONG bytes are hashed one by one.
+_KEY, _STEP, LONG = _U(0x8D0E5A7C36F1B249), _U(0xD6E8FEB86659FD93), 64
+_APART = np.zeros(256, bool)
+_APART[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The bytes of a block of eight that belong to a word with so many bytes left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A keyed hash of each word: its length and its blocks of eight bytes, mixed one after the other."""
+    length = end - begin
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    hashes = mixed(length.astype(_U) * _STEP ^ _KEY)
+    active = np.flatnonzero(length <= LONG)
+    for k in range(0, LONG, 8):
+        if k:
+            active = active[length[active] > k]
+        if not len(active):
+            break
+        block = eight[begin[active] + k] & _LEFT[np.minimum(length[active] - k, 8)]
+        hashes[active] = mixed((hashes[active] ^ block) * _STEP + _KEY)
+    for i in np.flatnonzero(length > LONG).tolist():
+        digest = hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8, key=_KEY.tobytes()).digest()
+        hashes[i] = _U(int.from_bytes(digest, "little"))
+    return hashes
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some texts begin and end, in order."""
+    apart = _APART[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.append(True, apart[:-1]), np.append(apart[1:], True)
+    return np.flatnonzero(~apart & (edge[:-1] | before)), np.flatnonzero(~apart & (edge[1:] | after)) + 1
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Of the words of some texts, in order: the hash and the index of the text. ``lower`` takes A-Z as a-z."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    apart = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    first = ~apart & (edge[:-1] | np.concatenate([[True], apart[:-1]]))
-    last = ~apart & (edge[1:] | np.concatenate([apart[1:], [True]]))
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if lower:
-        data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * power[:-1], out=sums[1:])
-    hashes = mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(_U) * _U(0xD6E8FEB86659FD93))
+    begin, end = word_bounds(data, offsets)
+    hashes = _word_hashes(_LOWER[data] if lower else data, begin, end)
     return hashes, np.searchsorted(offsets, begin, side="right") - 1
 
 

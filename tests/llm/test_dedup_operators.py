@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from molquarry.llm.components import components
 from molquarry.llm.exact_dedup import exact_dedup
-from molquarry.llm.near_dedup import bands_for, near_dedup
+from molquarry.llm.near_dedup import ROWS, alike, bands_for, estimates, least_estimate, minima, near_dedup, packed, plausible
 from molquarry.llm.substring_dedup import substring_dedup
 from molquarry.llm.suffix_dedup import suffix_dedup
 from molquarry.llm.suffixes import permuted_prefixes, repeated, suffix_array
@@ -154,19 +155,34 @@ def test_near(spark, rows, width, percent):
     assert (1 - (percent / 100) ** 6) ** bands_for(percent) <= 1e-6
 
 
-def test_a_large_cluster_is_worked_on_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_are_worked_on_in_blocks(spark, monkeypatch, seed):
+    """Chains and clouds of copies around the limit: which links hold is decided in stars, cells and blocks."""
     import molquarry.llm.near_dedup as module
 
     monkeypatch.setattr(module, "BLOCK", 8)
-    rng = random.Random(1)
-    base = [f"w{k}" for k in range(120)]
+    rng = random.Random(seed)
     rows = []
-    for k in range(60):
-        w = list(base)
-        w[rng.randrange(120)] = "edit"
-        rows.append((k, " ".join(w)))
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(120)]
+        chain = list(base)
+        for k in range(40):
+            w = list(base)
+            for _ in range(rng.randint(1, 7)):
+                w[rng.randrange(120)] = f"edit{rng.randrange(10**6)}"
+            chain[rng.randrange(120)] = f"edit{rng.randrange(10**6)}"
+            rows += [(1000 * family + 2 * k, " ".join(w)), (1000 * family + 2 * k + 1, " ".join(chain))]
+    rng.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(118)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                label = {i: label[a] if v == label[b] else v for i, v in label.items()}
+    least = {v: min(i for i in sets if label[i] == v) for v in label.values()}
     got = near_dedup(frame(spark, rows)).collect()
-    assert {r["component_id"] for r in got} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[label[i]] for i in sets}
+    assert 6 < len(least) < 200
 
 
 def test_near_copies_among_rows_with_null_or_shared_ids(spark):
@@ -197,3 +213,48 @@ def test_near_copies_among_rows_with_null_or_shared_ids(spark):
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup, exact_dedup, near_dedup])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).collect() == []
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5), (7, 6), (7, 6)]
+    label = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()
+    assert len(got) == len(label) and {r["id"]: r["component"] for r in got} == label
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_plausible_is_what_a_loop_finds():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(200) < x, rng.integers(0, 1 << 62, 200, dtype=np.uint64), base)) for x in rng.choice([0.01, 0.05, 0.2, 0.6], 40)]
+    n = bands_for(85) * ROWS
+    signatures, labels, sizes = packed(minima(sets, n)), rng.integers(0, 9, 40), np.array([len(s) for s in sets])
+    keep = plausible(signatures, sizes, labels, 85, n)
+    for i in range(40):
+        close = [j for j in range(40) if labels[i] != labels[j] and estimates(signatures[i], signatures[j : j + 1], n)[0] >= least_estimate(85, n)]
+        assert keep[i] == bool(close)
+        assert keep[i] or not any(labels[i] != labels[j] and alike(sets[i], sets[j], 85) for j in range(40))
+
+
+def test_words_that_fool_a_polynomial_hash_differ():
+    import numpy as np
+
+    from molquarry.llm.rolling import words_of
+
+    pair = "a", "b"
+    for _ in range(11):
+        pair = pair[0] + pair[1], pair[1] + pair[0]
+    words = [*pair, "a" * 64, "a" * 65, "a" * 63 + "b", "a" * 8, "a" * 9, "a", "A", "é", "e"]
+    data = " ".join(words).encode()
+    hashes, text = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(set(hashes.tolist())) == len(words) and not text.any()
+    again, _ = words_of(np.frombuffer(b"xx " + data[:-1], np.uint8), np.array([0, len(data) + 2]))
+    assert again[1:].tolist() == hashes[:-1].tolist()
+    assert words_of(np.frombuffer(b"Ab", np.uint8), np.array([0, 2]), lower=True)[0] == words_of(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))[0]
