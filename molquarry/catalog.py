@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,8 @@ from molquarry.functions import bits, molecules, strings, tokens
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 
-TEXT_FAMILIES = (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, ELECTRONEGATIVITY, ACIDITY, tokens.TOKEN_CLOSED)
-CATEGORIES = {"bonds": "BondStatistics", "graph": "GraphTopology", "radius": "AtomicRadius", "autocorrelation": "Autocorrelation", "weight": "WeightFraction", "library": "Library", "topology": "TopologyScore"}
+TEXT_FAMILIES = (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, strings.STRING_DOCUMENTED, ELECTRONEGATIVITY, ACIDITY, tokens.TOKEN_CLOSED)
+CATEGORIES = {"bonds": "BondStatistics", "graph": "GraphTopology", "radius": "AtomicRadius", "autocorrelation": "Autocorrelation", "weight": "WeightFraction", "library": "Library", "vectors": "Library", "topology": "TopologyScore"}
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,18 @@ def entries() -> dict[str, Entry]:
     for f, names in molecules.NAMES.items():
         for n in names:
             found.setdefault(n, Entry(n, CATEGORIES[f], "molecule"))
-    for n in bits.NAMES:
+    for n in (*bits.NAMES, *bits.DOCUMENTED):
         found.setdefault(n, Entry(n, "Bits", "bits"))
-    return found
+    return found | {n: e for n, (e, _) in _registered.items()}
+
+
+Builder = Callable[[DataFrame, Column], Column]
+_registered: dict[str, tuple[Entry, Builder]] = {}
+
+
+def register(name: str, category: str, build: Builder) -> None:
+    """Add a descriptor, or replace one: ``build`` makes its column from the table and the text column."""
+    _registered[name] = Entry(name, category, "registered"), build
 
 
 def resolve(names: Sequence[str] | None) -> list[str]:
@@ -77,6 +86,8 @@ def describe(df: DataFrame, smiles: Column, names: Sequence[str] | None = None)
         out = molecules.add_molecules(out, text, its)
     if its := of("bits"):
         out = bits.add_bits(out, text, its)
+    for n in of("registered"):
+        out = out.withColumn(n, _registered[n][1](out, text))
     flag = ["parse_ok"] if "parse_ok" in out.columns else []
     return out.select(*df.columns, *flag, *wanted)
 

@@ -21,6 +21,8 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--list-descriptors", action="store_true")
     parser.add_argument("--profile", action="store_true", help="profile the columns of the input instead")
     parser.add_argument("--reference-col")
+    parser.add_argument("--delimiter", default=",")
+    parser.add_argument("--one-line-rows", action="store_true", help="no field holds a line end, so that large files can be split")
     parser.add_argument("-q", "--quiet", action="store_true")
     a = parser.parse_args(args)
     if a.list_descriptors:
@@ -33,13 +35,19 @@ def main(args: list[str] | None = None) -> int:
     if not a.input or not (a.output or a.profile):
         parser.error("-i and -o are needed")
     spark = SparkSession.builder.getOrCreate()
-    rows = read_csv(spark, a.input)
+    rows = read_csv(spark, a.input, a.delimiter, split=a.one_line_rows)
+    if not rows.columns:
+        # A file without even a header has no rows to describe.
+        if a.output:
+            spark.createDataFrame([], "value string").write.mode("overwrite").text(a.output)
+        return 0
     if a.profile:
-        profile(rows, a.reference_col).show(1000, truncate=False)
+        found = profile(rows, a.reference_col)
+        found.show(len(rows.columns), truncate=False)
         return 0
     names = catalog.resolve(a.descriptors.split(",") if a.descriptors else None)
     out = catalog.describe(rows, F.col(f"`{smiles_column(rows, a.smiles_col)}`"), names)
-    write_csv(out.drop("parse_ok"), a.output, names)
+    write_csv(out.drop("parse_ok"), a.output, names, a.delimiter)
     if not a.quiet:
         print(f"{len(names)} descriptors written to {a.output}")
     return 0

@@ -154,13 +154,57 @@ class Spark(Dialect):
     def integer(self, x):
         return f"CAST({x} AS INT)"
 
-    def rounded(self, x, digits):
-        return f"round(CAST({x} AS DOUBLE), {digits})"
+
+class Counted(Spark):
+    """Spark SQL in which what is counted in the text ``s`` is read from an array of counts, told by ``wanted``."""
+
+    def __init__(self) -> None:
+        self.wanted: list[tuple[str, str]] = []
+
+    def _told(self, kind: str, what: str) -> str:
+        if (kind, what) not in self.wanted:
+            self.wanted.append((kind, what))
+        return f"__counts[{self.wanted.index((kind, what))}]"
+
+    def count(self, s, literal):
+        return self._told("literal", literal) if s == "s" else super().count(s, literal)
+
+    def matches(self, s, pattern):
+        return self._told("pattern", pattern) if s == "s" else super().matches(s, pattern)
+
+    def like(self, s, pattern):
+        return f"({self._told('pattern', pattern)} > 0)" if s == "s" else super().like(s, pattern)
+
+    def position_sum(self, s, characters):
+        return self._told("sum", characters)
+
+    def position_squares(self, s, characters):
+        return self._told("squares", characters)
+
+    def position_spread(self, s, characters):
+        return self._told("spread", characters)
 
 
 class Duck(Dialect):
     name = "duckdb"
 
+    def _positions(self, characters: str, value: str) -> str:
+        letters = ", ".join(self.text(c) for c in characters)
+        return f"list_transform(cs, lambda c, i: CASE WHEN c IN ({letters}) THEN {value} END)"
+
+    def position_sum(self, s, characters):
+        return f"coalesce(list_sum({self._positions(characters, 'i')}), 0)::BIGINT"
+
+    def position_squares(self, s, characters):
+        return f"coalesce(list_sum({self._positions(characters, 'i * i')}), 0)::BIGINT"
+
+    def position_spread(self, s, characters):
+        return f"coalesce(list_max({self._positions(characters, 'i')}) - list_min({self._positions(characters, 'i')}), 0)"
+
+    def over_runs(self, s: str, pattern: str, value: str) -> str:
+        """The sum of a value of each match's length n."""
+        return f"coalesce(list_sum(list_transform(regexp_extract_all({s}, {self.text(pattern)}), lambda x: {value.replace('n', 'length(x)')})), 0)::BIGINT"
+
     def text(self, value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
@@ -243,8 +287,5 @@ class Duck(Dialect):
     def integer(self, x):
         return f"CAST(trunc({x}) AS INT)"
 
-    def rounded(self, x, digits):
-        return f"round(CAST({x} AS DOUBLE), {digits})"
-
 
 SPARK, DUCK = Spark(), Duck()

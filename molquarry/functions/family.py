@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.functions.dialect import DUCK, SPARK, Dialect
+from molquarry.functions.batch import Texts, add_counts, add_values
+from molquarry.functions.dialect import DUCK, Counted, Dialect
 
 Declared = Callable[[Dialect], dict[str, str]]
 
@@ -18,34 +21,45 @@ class Family:
     """Descriptors over a text column.
 
     ``stages`` are computed one after the other, each seeing the earlier ones and the text as ``s``;
-    ``outputs`` are the descriptors. Only what the requested names need is computed: Catalyst prunes the rest.
+    ``outputs`` are the descriptors. What they count in the text is counted for a whole Arrow batch at once;
+    the arithmetic over the counts is Spark's. A family with ``values`` is worked out in the batch altogether,
+    and its expressions are then only what the values are held against.
     """
 
     name: str
     category: str
     outputs: Declared
     stages: Sequence[Declared] = field(default_factory=tuple)
+    values: Callable[[Texts, Sequence[str]], dict[str, np.ndarray]] | None = None
 
     def names(self) -> list[str]:
-        return list(self.outputs(SPARK))
+        return list(self.outputs(Counted()))
 
-    def add_to(self, df: DataFrame, text: Column, names: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
-        """``df`` with the descriptors added as columns; null texts count as empty."""
-        declared = self.outputs(SPARK)
+    def add_to(self, df: DataFrame, text: Column, names: Sequence[str] | None = None) -> DataFrame:
+        """``df`` with the descriptors added as columns; null texts count as empty. No row is moved."""
+        d = Counted()
+        declared = self.outputs(d)
         wanted = list(declared) if names is None else [n for n in names if n in declared]
         inner = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.coalesce(text, F.lit("")).alias("s"))
-        for stage in self.stages:
-            inner = inner.select("*", *[F.expr(e).alias(c) for c, e in stage(SPARK).items()])
-        exprs = [F.expr(SPARK.number(declared[n])) for n in wanted]
-        values = [(e if digits is None else F.round(e, digits)).alias(n) for n, e in zip(wanted, exprs, strict=True)]
-        return inner.select("__row.*", *values)
-
-    def sql(self, table: str, keys: Sequence[str], text: str, names: Sequence[str] | None = None, digits: int | None = None) -> str:
-        """The same as DuckDB SQL."""
+        if self.values:
+            return add_values(inner, F.col("s"), wanted, self.values, "values").select("__row.*", "values.*")
+        stages = [stage(d) for stage in self.stages]
+        # Only what the wanted descriptors, or a stage, read is counted.
+        used = " ".join([declared[n] for n in wanted] + [e for stage in stages for e in stage.values()])
+        keep = [k for k in range(len(d.wanted)) if f"__counts[{k}]" in used]
+        at = {k: j for j, k in enumerate(keep)}
+        here = lambda e: re.sub(r"__counts\[(\d+)\]", lambda m: f"__counts[{at[int(m[1])]}]", e)
+        inner = add_counts(inner, F.col("s"), [d.wanted[k] for k in keep], "__counts")
+        for stage in stages:
+            inner = inner.select("*", *[F.expr(here(e)).alias(c) for c, e in stage.items()])
+        return inner.select("__row.*", *[F.expr(here(d.number(declared[n]))).alias(n) for n in wanted])
+
+    def sql(self, table: str, keys: Sequence[str], text: str, names: Sequence[str] | None = None) -> str:
+        """The same as DuckDB SQL, stage by stage."""
         declared = self.outputs(DUCK)
         wanted = list(declared) if names is None else [n for n in names if n in declared]
-        query = f"SELECT {', '.join(keys)}, coalesce({text}, '') AS s FROM {table}"
-        for stage in self.stages:
-            query = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage(DUCK).items())} FROM ({query})"
-        values = [DUCK.number(declared[n]) if digits is None else DUCK.rounded(declared[n], digits) for n in wanted]
-        return f"SELECT {', '.join([*keys, *(f'{v} AS {n}' for v, n in zip(values, wanted, strict=True))])} FROM ({query})"
+        steps = [f"stage_0 AS MATERIALIZED (SELECT {', '.join(keys)}, coalesce({text}, '') AS s FROM {table})"]
+        for k, stage in enumerate(self.stages):
+            steps.append(f"stage_{k + 1} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage(DUCK).items())} FROM stage_{k})")
+        values = [f"{DUCK.number(declared[n])} AS {n}" for n in wanted]
+        return f"WITH {', '.join(steps)} SELECT {', '.join([*keys, *values])} FROM stage_{len(self.stages)}"

@@ -97,6 +97,14 @@ def graph_values(m: Molecule) -> dict[str, float]:
     out |= {"NumAliphaticRings": count(lambda a, c, s: not a), "NumAliphaticCarbocycles": count(lambda a, c, s: not a and c), "NumAliphaticHeterocycles": count(lambda a, c, s: not a and not c)}
     out |= {"NumAromaticCarbocycles": count(lambda a, c, s: a and c), "NumAromaticHeterocycles": count(lambda a, c, s: a and not c)}
     out |= {"NumSaturatedRings": count(lambda a, c, s: s), "NumSaturatedCarbocycles": count(lambda a, c, s: s and c), "NumSaturatedHeterocycles": count(lambda a, c, s: s and not c)}
+    shared = [set(a) & set(b) for j, a in enumerate(m.rings) for b in m.rings[:j]]
+    spiro = {next(iter(atoms)) for atoms in shared if len(atoms) == 1}
+    heads: set[int] = set()
+    for atoms in shared:
+        inner = Counter(x for k in atoms for x in m.neighbours(k) if x in atoms)
+        if len(atoms) > 2:
+            heads |= {k for k in atoms if inner[k] == 1}
+    out |= {"NumAromaticRings": sum(aromatic), "NumSpiroAtoms": len(spiro), "NumBridgeheadAtoms": len(heads)}
     out |= {"FractionAtomsInRings": sum(a.in_ring for a in m.atoms) / n, "FractionBondsInRings": _share(sum(b.rings > 0 for b in m.bonds), nb)}
     out |= {"MinRingSize": min(sizes, default=0), "MaxRingSize": max(sizes, default=0), "MeanRingSize": _share(sum(sizes), len(sizes))}
     for k in range(3, 9):
@@ -124,7 +132,7 @@ def radius_values(m: Molecule) -> dict[str, float]:
 #: Autocorrelated property by its letter.
 AUTOCORRELATED: dict[str, Callable[[Atom], float]] = {
     "d": lambda a: a.degree, "e": lambda a: E.PAULING.get(a.z, 0.0), "m": lambda a: E.MASS.get(a.z, 0.0) * 6.022e26, "p": lambda a: E.POLARIZABILITY.get(a.z, 0.0),
-    "r": lambda a: E.COVALENT_RADIUS.get(a.z, 0.0) * 1e10, "s": lambda a: a.valence, "v": lambda a: 4 / 3 * math.pi * (E.VDW_RADIUS.get(a.z, 0.0) * 1e10) ** 3, "z": lambda a: a.z,
+    "i": lambda a: E.IONIZATION.get(a.z, 0.0) * 1e18, "r": lambda a: E.COVALENT_RADIUS.get(a.z, 0.0) * 1e10, "s": lambda a: a.valence, "v": lambda a: 4 / 3 * math.pi * (E.VDW_RADIUS.get(a.z, 0.0) * 1e10) ** 3, "z": lambda a: a.z,
 }
 
 
@@ -220,6 +228,87 @@ def library_values(m: Molecule) -> dict[str, float]:
     return out
 
 
+#: Increments of the additive estimates: by element and, for carbon, aromatic or not; by bond order. Fixed values.
+LOG_P = {6: (0.08, 0.13), 7: (-0.2, -0.2), 8: (-0.5, -0.5), 9: (0.14, 0.14), 15: (0.2, 0.2), 16: (0.25, 0.25), 17: (0.5, 0.5), 35: (0.6, 0.6), 53: (0.73, 0.73)}
+REFRACTIVITY = {6: (2.4, 3.1), 7: (1.7, 1.7), 8: (1.3, 1.3), 9: (0.5, 0.5), 16: (7.3, 7.3), 17: (5.5, 5.5), 35: (8.7, 8.7), 53: (14.0, 14.0)}
+REFRACTIVITY_OF_BOND = {2.0: 1.7, 3.0: 2.2}
+
+Property = Callable[[Atom], float]
+
+
+def property_vector(m: Molecule, of: Property) -> list[float]:
+    return [float(of(a)) for a in m.atoms]
+
+
+def combined_vectors(a: Sequence[float], b: Sequence[float], by: Callable[[float, float], float]) -> list[float]:
+    """The vectors value by value, up to the end of the shorter one."""
+    return [by(x, y) for x, y in zip(a, b, strict=False)]
+
+
+def vector_statistics(v: Sequence[float]) -> dict[str, float]:
+    """Mean, population variance and so on of a vector; means over the values that they are defined for, 0 for none."""
+    n = len(v)
+    mean = _share(sum(v), n)
+    variance = sum((x - mean) ** 2 for x in v) / n if n > 1 else 0.0
+    positive, some = [x for x in v if x > 0], [x for x in v if x]
+    return {
+        "mean": mean, "variance": variance, "std": math.sqrt(variance), "min": min(v, default=0.0), "max": max(v, default=0.0), "range": max(v, default=0.0) - min(v, default=0.0),
+        "harmonic_mean": _share(len(some), sum(1 / x for x in some)), "geometric_mean": math.exp(sum(map(math.log, positive)) / len(positive)) if positive else 0.0,
+    }
+
+
+def property_histogram(v: Sequence[float], width: float) -> Counter:
+    return Counter(math.floor(x / width) for x in v)
+
+
+def property_entropy(v: Sequence[float], width: float) -> float:
+    """Bits of the histogram of a vector."""
+    return _entropy([math.floor(x / width) for x in v])
+
+
+def pairs_at(m: Molecule, distance: int) -> list[tuple[int, int]]:
+    far, n = m.distances(), len(m.atoms)
+    return [(i, j) for i in range(n) for j in range(i + 1, n) if far[i][j] == distance]
+
+
+def autocorrelation(m: Molecule, of: Property, most: int) -> list[float]:
+    """Sums of products of a property over the pairs at each distance from 0 on, without centring."""
+    p, far = property_vector(m, of), m.distances()
+    out = [0.0] * (most + 1)
+    for i in range(len(p)):
+        for j in range(i, len(p)):
+            if 0 <= far[i][j] <= most:
+                out[far[i][j]] += p[i] * p[j]
+    return out
+
+
+def counted(items: Sequence, test: Callable[..., bool]) -> tuple[int, float]:
+    """How many atoms or bonds pass a test, and their share."""
+    n = sum(map(test, items))
+    return n, _share(n, len(items))
+
+
+#: Distances of the autocorrelations that are given as columns.
+DISTANCES = 4
+
+
+def vector_values(m: Molecule) -> dict[str, float]:
+    """The utility library's vectors, as statistics."""
+    electronegativity, polarizability = (lambda a: E.PAULING.get(a.z, 0.0)), (lambda a: E.POLARIZABILITY.get(a.z, 0.0))
+    out: dict[str, float] = {}
+    for name, of, width in (("electronegativity", electronegativity, 0.5), ("polarizability", polarizability, 1.0)):
+        v = property_vector(m, of)
+        out |= {f"mol_{name}_{k}": x for k, x in vector_statistics(v).items()} | {f"mol_{name}_entropy": property_entropy(v, width), f"mol_{name}_bins": len(property_histogram(v, width))}
+        out |= {f"mol_{name}_autocorrelation_{k}": x for k, x in enumerate(autocorrelation(m, of, DISTANCES))}
+    products = combined_vectors(property_vector(m, electronegativity), property_vector(m, polarizability), lambda x, y: x * y)
+    out |= {"mol_sum_product": sum(products), "mol_pairs_at_2": len(pairs_at(m, 2)), "mol_atoms_at_2_of_first": sum(d == 2 for d in m.distances()[0]), "mol_distance_first_last": m.distances()[0][-1]}
+    carbons, double = counted(m.atoms, lambda a: a.z == 6), counted(m.bonds, lambda b: b.order == 2)
+    out |= {"mol_carbons": carbons[0], "mol_carbon_fraction": carbons[1], "mol_double_bonds": double[0], "mol_double_bond_fraction": double[1]}
+    out["mol_log_p"] = sum(LOG_P[a.z][a.aromatic] for a in m.atoms if a.z in LOG_P)
+    out["mol_refractivity"] = sum(REFRACTIVITY[a.z][a.aromatic] for a in m.atoms if a.z in REFRACTIVITY) + sum(REFRACTIVITY_OF_BOND.get(b.order, 0.0) for b in m.bonds)
+    return out
+
+
 #: Weight of an atom in the topology scores: carbon 1, N and O 2, S and P 3, halogens 4, others 1.5, half more when aromatic.
 def _topology_weight(a: Atom) -> float:
     base = {6: 1.0, 7: 2.0, 8: 2.0, 16: 3.0, 15: 3.0}.get(a.z, 4.0 if a.z in E.HALOGENS else 1.5)
@@ -257,7 +346,7 @@ def topology_values(m: Molecule) -> dict[str, float]:
     }
 
 
-FAMILIES: dict[str, Callable[[Molecule], dict[str, float]]] = {"bonds": bond_values, "graph": graph_values, "radius": radius_values, "autocorrelation": autocorrelation_values, "weight": weight_values, "library": library_values, "topology": topology_values}
+FAMILIES: dict[str, Callable[[Molecule], dict[str, float]]] = {"bonds": bond_values, "graph": graph_values, "radius": radius_values, "autocorrelation": autocorrelation_values, "weight": weight_values, "library": library_values, "vectors": vector_values, "topology": topology_values}
 NAMES: dict[str, tuple[str, ...]] = {f: tuple(of(Molecule("CO"))) for f, of in FAMILIES.items()}
 
 
@@ -281,30 +370,8 @@ def add_molecules(df: DataFrame, smiles: Column, names: Sequence[str] | None = N
                     for f in needed:
                         values |= FAMILIES[f](m)
                     rows.append([True, *(float(values[n]) for n in wanted)])
-                except SmilesError:
+                except Exception:  # one text must not end the job: its cells are null and parse_ok is false
                     rows.append([False, *[None] * len(wanted)])
             yield pd.DataFrame(rows, columns=["parse_ok", *wanted]).astype(dict.fromkeys(wanted, float))
 
     return df.withColumn("__mol", described(F.coalesce(smiles, F.lit("")))).select(*df.columns, "__mol.*")
-
-
-def parsed(df: DataFrame, smiles: Column, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Tables of the atoms and bonds of every molecule."""
-    atoms = "array<struct<idx:int,z:int,degree:int,charge:int,aromatic:boolean,in_ring:boolean,hybrid:string,valence:double,hydrogens:int>>"
-    bonds = "array<struct<idx:int,a:int,b:int,ord:double,rings:int,rotatable:boolean>>"
-
-    @F.pandas_udf(f"atoms {atoms}, bonds {bonds}")
-    def graph(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for s in texts:
-            try:
-                m = Molecule(s or "")
-            except SmilesError:
-                out.append(([], []))
-                continue
-            out.append(([(i, a.z, a.degree, a.charge, a.aromatic, a.in_ring, a.hybrid, a.valence, a.hydrogens) for i, a in enumerate(m.atoms)], [(i, b.a, b.b, b.order, b.rings, m.rotatable(b)) for i, b in enumerate(m.bonds)]))
-        keys = (("idx", "z", "degree", "charge", "aromatic", "in_ring", "hybrid", "valence", "hydrogens"), ("idx", "a", "b", "ord", "rings", "rotatable"))
-        return pd.DataFrame({name: [[dict(zip(k, row, strict=True)) for row in rows[j]] for rows in out] for j, (name, k) in enumerate(zip(("atoms", "bonds"), keys, strict=True))})
-
-    both = df.select(id_col, graph(smiles).alias("g"))
-    return both.select(id_col, F.explode("g.atoms").alias("x")).select(id_col, "x.*"), both.select(id_col, F.explode("g.bonds").alias("x")).select(id_col, "x.*")

@@ -39,17 +39,10 @@ def _patterns(d: Dialect) -> dict[str, str]:
     return {n: d.matches("s", p) for n, p in PATTERNS.items()}
 
 
-def _windows(d: Dialect, pattern: str, width: int) -> str:
-    """Positions whose next ``width`` characters match the whole pattern."""
-    if d.name == "spark":
-        return d.matches("s", f"(?={pattern})")
-    return d.size(d.keep(d.positions(f"length(s) - {width - 1}"), lambda i: d.like(f"substr(s, {i}, {width})", f"^{pattern}$"), "i"))
-
-
 def _ratio_stage(d: Dialect) -> dict[str, str]:
     return {
         "n": "length(s)",
-        "cs": d.letters("s"),
+        **({} if d.name == "spark" else {"cs": d.letters("s")}),
         "carbons": d.total("s", ["C", "c"]),
         "nitrogens": d.total("s", ["N", "n"]),
         "hetero": d.matches("s", HETERO),
@@ -62,46 +55,48 @@ KETONE_TO_ESTER = [r"C\(=O\)C", r"C\(=O\)[H]", r"C\(=O\)N", r"C\(=O\)O"]
 
 
 def _position_stage(d: Dialect) -> dict[str, str]:
-    at = lambda pred: d.map(d.keep(d.positions("n"), lambda i: pred(f"{d.at('cs', i)}"), "i"), lambda x: d.number(x))
     return {
         "capitals": d.array(*[d.number(d.count("s", chr(k))) for k in range(65, 91)]),
         "carbonyls": d.array(*[d.number(d.matches("s", p)) for p in KETONE_TO_ESTER]),
-        "nitrogen_at": d.slice(at(lambda c: f"{c} IN ('N', 'n')"), 1, "100"),
-        "centres": d.slice(at(lambda c: f"{c} = '@'"), 1, "100"),
-        "hetero_at": at(lambda c: f"{c} IN ('N', 'O', 'S', 'P')"),
-        "carbon_at": at(lambda c: f"{c} = 'C'"),
+        "nitrogen_sum": d.position_sum("s", "Nn"),
+        "nitrogen_squares": d.position_squares("s", "Nn"),
+        "centres": d.count("s", "@"),
         "carbon_oxygen": d.when((f"carbons > 0 AND {d.total('s', ['O', 'o'])} > 0", f"1.0 - abs({d.ratio('carbons', d.total('s', ['O', 'o']))} - 1.0) * 0.5")),
     }
 
 
-def _mean_stage(d: Dialect) -> dict[str, str]:
-    return {"nitrogen_mean": d.mean("nitrogen_at")}
-
-
 def _ratios(d: Dialect) -> dict[str, str]:
     m, total = (lambda p: d.matches("s", p)), (lambda *x: d.total("s", x))
     digit = lambda least: "(" + " + ".join(d.flag(f"{d.count('s', str(k))} >= {least}") for k in range(1, 10)) + ")"
     present = lambda *p: "(" + " + ".join(d.flag(f"{d.matches('s', x)} > 0") for x in p) + ")"
-    weight = lambda xs: d.sum(d.map(xs, lambda i: f"(1.0 - 0.5 * ({i} - 1) / n)", "i"))
+    # Each occurrence counts 1 at the start of the text and falls to a half at its end.
+    weight = lambda n, xs: f"({n} - 0.5 * ({d.position_sum('s', xs)} - {n}) / greatest(n, 1))"
     twice = lambda x: d.when((f"{d.overlapping('s', x)} > 1", d.overlapping("s", x)), other="0")
     states = [(-3, r"N\([H]\)\([H]\)\([H]\)|\[NH3\]"), (-2, r"N\([H]\)\([H]\)C|\[NH2\]C"), (-1, r"N\([H]\)C|\[NH\]C"), (1, r"N=O|\[N\+\]=O"), (3, NITRO), (5, r"N\(=O\)\(=O\)=O")]
     ends = [r"\)C", r"\)O", r"\)N", r"\)[FClBrI]"]
     chain = d.max(d.map(d.found(d.without("spelled", "c"), "C+"), lambda x: f"length({x})"))
-    beside = f"({d.matches('s', HETERO)} - {d.matches('s', f'(?<!{HETERO}){HETERO}(?!{HETERO})')})" if d.name == "spark" else f"(hetero - {d.size(d.keep(d.positions('n'), lambda i: f'{d.like(f"substr(s, {i}, 1)", HETERO)} AND NOT {d.like(f"substr(s, {i} + 1, 1)", HETERO)} AND ({i} = 1 OR NOT {d.like(f"substr(s, {i} - 1, 1)", HETERO)})', 'i'))})"
-    edge = m("(?<=.)[a-z](?=[A-Z])(?=.)|(?<=[A-Z])[a-z](?=.)") if d.name == "spark" else d.size(d.keep("range(2, length(s))", lambda i: f"{d.like(f'substr(s, {i}, 1)', '^[a-z]')} AND ({d.like(f'substr(s, {i} - 1, 1)', '^[A-Z]')} OR {d.like(f'substr(s, {i} + 1, 1)', '^[A-Z]')}) AND substr(s, {i} - 1, 1) <> chr(10) AND substr(s, {i} + 1, 1) <> chr(10)", "i"))
+    # Matches may share characters; RE2, which looks neither ahead nor behind, takes them from runs.
+    if d.name == "spark":
+        alone = m(f"(?<!{HETERO}){HETERO}(?!{HETERO})")
+        edge = m("(?<=.)[a-z](?=[A-Z])(?=.)|(?<=[A-Z])[a-z](?=.)")
+        alternating = m("(?=[Cc][NOSPDnspd][Cc][NOSPDnspd])")
+    else:
+        alone = d.over_runs("s", f"{HETERO}+", "(n = 1)::INT")
+        edge = f"({m('[A-Z][a-z]')} - {m('[A-Z][a-z](?:' + chr(10) + '|$)')} + {m('[a-z][A-Z]')} - {m('(?:^|' + chr(10) + ')[a-z][A-Z]')} - {d.over_runs('s', '[A-Z](?:[a-z][A-Z])+', '(n - 1) // 2')})"
+        alternating = d.over_runs("s", "(?:[Cc][NOSPDnspd]){2,}", "n // 2 - 1")
     return {
         "SmilesBranchingIndex": d.ratio(d.count("s", "("), m("[A-Za-z]+")),
         "SmilesHeteroatomClustering": d.ratio(d.matches("spelled", f"{HETERO}+"), "hetero"),
-        "SmilesAlternatingElementPattern": _windows(d, "[Cc][NOSPDnspd][Cc][NOSPDnspd]", 4),
+        "SmilesAlternatingElementPattern": alternating,
         "SmilesAromaticRingEdge": edge,
         "SmilesChiralCenterDensity": d.ratio(d.count("s", "@"), "carbons"),
         "SmilesStructuralSymmetry": "(" + " + ".join(twice(x) for x in ("CC", "CCC", "CCCC", "C1CC1", "c1ccc", "CNC", "COC")) + ")",
         "SmilesRingBridgeCount": m(r"\][0-9]\)-\(\["),
         "SmilesAtomicEntropy": d.entropy("capitals"),
-        "SmilesNitrogenPositionVariance": d.variance("nitrogen_at", "nitrogen_mean"),
+        "SmilesNitrogenPositionVariance": d.when(("nitrogens >= 2", f"{d.number('nitrogens * nitrogen_squares - nitrogen_sum * nitrogen_sum')} / ({d.number('nitrogens')} * nitrogens)")),
         "SmilesBondTypeDiversity": f"({d.flag(d.has('s', '-'))} + {d.flag(d.has('s', '='))} + {d.flag(d.has('s', '#'))} + {d.flag(d.like('s', '[a-z]'))}) / 4.0",
-        "SmilesAdjacentHeteroatomRatio": d.ratio(beside, "hetero"),
-        "SmilesPositionWeightedHeteroRatio": d.ratio(weight("hetero_at"), weight("carbon_at")),
+        "SmilesAdjacentHeteroatomRatio": d.ratio(f"(hetero - {alone})", "hetero"),
+        "SmilesPositionWeightedHeteroRatio": d.ratio(weight("hetero", "NOSP"), weight(d.count("s", "C"), "C")),
         "SmilesFragmentComplexity": d.ratio(f"({d.integer(f'2 * {d.count("s", "[")} + 1.5 * {d.count("s", "(")}')} + {m('[0-9]')} + 3 * {d.count('s', '@')})", "n"),
         "SmilesOxygenClusteringFactor": d.ratio(d.overlapping("s", "OO"), d.count("s", "O")),
         "SmilesPrimaryAmineRatio": d.ratio(m(PATTERNS["SmilesPrimaryAmineCount"]), "nitrogens"),
@@ -117,7 +112,7 @@ def _ratios(d: Dialect) -> dict[str, str]:
         "SmilesChainLengthDistribution": d.ratio(chain, d.count("s", "C")),
         "SmilesCarbonAromaticityFraction": d.ratio(d.count("s", "c"), "carbons"),
         "SmilesNitrogenAromaticityFraction": d.ratio(d.count("s", "n"), "nitrogens"),
-        "SmilesChiralityDistribution": d.when((f"{d.size('centres')} >= 2", f"{d.number(d.range('centres'))} / ({d.size('centres')} - 1) / n")),
+        "SmilesChiralityDistribution": d.when(("centres >= 2", f"{d.number(d.position_spread('s', '@'))} / (centres - 1) / n")),
         "SmilesFluorineToCarbonRatio": d.ratio(d.count("s", "F"), "carbons"),
         "SmilesHeterocycleCountNormalized": d.ratio("(" + " + ".join(m(f"[a-z]*{x}[a-z]*[0-9]") for x in "nos") + ")", digit(1)),
         "SmilesCarbonylDistribution": f"({d.entropy('carbonyls')}) / 2.0",
@@ -149,26 +144,58 @@ def _pattern_fractions(d: Dialect) -> dict[str, str]:
     return {n: d.ratio(d.matches("s", p), "length(s)") for n, p in PATTERN_FRACTIONS.items()}
 
 
+#: Counts that are documented under these names: those that have a share of the same name count its pattern.
+OF_SHARES = (
+    "AcidicPhosphorus", "AcidicSulfur", "AliphaticNitro", "Alkene", "AlkylHalide", "AmidineBasic", "Amidine", "Amino", "Ammonium", "AromaticNitrogenCarbon", "AromaticSequence",
+    "BranchedAmine", "BranchedEther", "CarbamatePatterns", "Ethyl", "Guanidine", "Imidazole", "IonizableCarboxyl", "IonizablePhosphonate", "IonizableThiol", "IsothiocyanateLinear",
+    "Isotope", "LongCarbonChain", "Methoxy", "Methyl", "MixedHeteroatomRing", "OxygenAromaticRing", "Phosphonate", "Phosphonium", "PrimaryAmineBasic", "PyridineBasic",
+    "QuaternaryAmmonium", "QuaternaryCarbon", "SecondaryAmineBasic", "Sulfonium", "Sulfonyl", "Sulfoxide", "TerminalAlkyne", "TertiaryAmine",
+)
+DOCUMENTED_COUNTS = {
+    "SmilesAromaticPhosphorusCount": "p",
+    "SmilesFluoromethylCount": r"CF|\[CH2\]F",
+    "SmilesGeneralNitroCount": r"NO2|\[N\+\]\(=O\)\[O-\]|N\(=O\)=O",
+    "SmilesGuanidiniumCount": r"\[NH2\]C\(=NH2\+\)NH2|NC\(=\[NH2\+\]\)N|\[NH2\+\]=C\(N\)N",
+    "SmilesPhosphonicAcidCount": r"PO3H2|\[PO3H2\]|P\(=O\)\(O\)O",
+    "SmilesSiliconCount": "Si",
+}
+RING_SIZES = {"Five": 5, "Six": 6, "Seven": 7, "Eight": 8}
+
+
+def _closures(size: int) -> str:
+    """A ring closure whose two ends have about so many characters between them: a digit, or a number of two digits."""
+    between = f"{{{size - 2},{size}}}"
+    return "|".join([*(f"{k}[^1-9]{between}{k}" for k in range(1, 10)), f"%[0-9][0-9][^%0-9]{between}%[0-9][0-9]"])
+
+
+def _documented(d: Dialect) -> dict[str, str]:
+    out = {f"Smiles{n}Count": d.matches("s", PATTERN_FRACTIONS[f"Smiles{n}Fraction"]) for n in OF_SHARES}
+    out |= {n: d.matches("s", p) for n, p in DOCUMENTED_COUNTS.items()}
+    for n, size in RING_SIZES.items():
+        out |= {f"Smiles{n}RingCount": d.matches("s", _closures(size)), f"Smiles{n}RingFraction": d.ratio(d.matches("s", _closures(size)), "length(s)")}
+    return out | {"SmilesAromaticPhosphorusFraction": d.ratio(d.count("s", "p"), "length(s)")}
+
+
 STRING_COUNTS = Family("string_counts", "SmilesText", _counts)
 STRING_PATTERNS = Family("string_patterns", "SmilesText", _patterns)
-STRING_RATIOS = Family("string_ratios", "SmilesText", _ratios, (_ratio_stage, _position_stage, _mean_stage))
+STRING_RATIOS = Family("string_ratios", "SmilesText", _ratios, (_ratio_stage, _position_stage))
+STRING_DOCUMENTED = Family("string_documented", "SmilesText", _documented)
 CHAR_FRACTIONS = Family("char_fractions", "SmilesFraction", _fractions)
 PATTERN_SHARES = Family("pattern_fractions", "SmilesFraction", _pattern_fractions)
 
 
 def _forked_carbons(s: str) -> float:
     """Carbons before a branch from which on three branches open at their depth, up to the end of the text."""
-    found = 0
-    for i in range(len(s) - 1):
-        if s[i] == "C" and s[i + 1] == "(" and ")" in s[i + 1 :]:
-            depth = branches = 0
-            for c in s[i + 1 :]:
-                branches += c == "(" and depth == 0
-                depth += (c == "(") - (c == ")")
-                if branches == 3:
-                    found += 1
-                    break
-    return float(found)
+    depth, last, opened, at = 0, s.rfind(")"), {}, []
+    for i, c in enumerate(s):
+        if c == "(":
+            if i and s[i - 1] == "C" and i < last:
+                at.append((depth, opened.get(depth, 0)))
+            opened[depth] = opened.get(depth, 0) + 1
+            depth += 1
+        elif c == ")":
+            depth -= 1
+    return float(sum(opened[d] - before >= 3 for d, before in at))
 
 
 def _other_backbone(s: str) -> float:

@@ -19,7 +19,15 @@ from molquarry.functions.dialect import Dialect
 from molquarry.functions.family import Family
 
 # Two-letter elements of the token grammar.
-TWO_LETTERS = "Ac Ag Al Am Ar As At Au Ba Bh Bi Bk Br Cd Ce Cf Cl Cm Cn Co Cr Cs Cu Db Ds Dy Er Es Eu Fe Fl Fm Fr Ga Gd Ge He Hf Hg Ho Hs In Ir Kr La Li Lr Lu Mc Md Mg Mn Mo Mt Na Nb Nd Ne Nh Ni No Np Os Pa Pb Pd Pm Po Pr Pt Pu Ra Rb Re Rf Rg Rh Rn Ru Sb Sc Se Sg Si Sm Sn Sr Ta Tb Tc Te Th Ti Tl Tm Ts Og Yb Zn Zr".split()
+TWO_LETTERS = (
+    "Ac", "Ag", "Al", "Am", "Ar", "As", "At", "Au", "Ba", "Bh", "Bi", "Bk", "Br", "Cd", "Ce", "Cf",
+    "Cl", "Cm", "Cn", "Co", "Cr", "Cs", "Cu", "Db", "Ds", "Dy", "Er", "Es", "Eu", "Fe", "Fl", "Fm",
+    "Fr", "Ga", "Gd", "Ge", "He", "Hf", "Hg", "Ho", "Hs", "In", "Ir", "Kr", "La", "Li", "Lr", "Lu",
+    "Mc", "Md", "Mg", "Mn", "Mo", "Mt", "Na", "Nb", "Nd", "Ne", "Nh", "Ni", "No", "Np", "Os", "Pa",
+    "Pb", "Pd", "Pm", "Po", "Pr", "Pt", "Pu", "Ra", "Rb", "Re", "Rf", "Rg", "Rh", "Rn", "Ru", "Sb",
+    "Sc", "Se", "Sg", "Si", "Sm", "Sn", "Sr", "Ta", "Tb", "Tc", "Te", "Th", "Ti", "Tl", "Tm", "Ts",
+    "Og", "Yb", "Zn", "Zr",
+)
 TOKEN = r"\[[^\]]*\]|(?:" + "|".join(TWO_LETTERS) + r")|%[0-9][0-9]|(?s:.)"
 #: Token types: 0 other, 1 atom, 2 bracket atom, 3 aromatic letter, 4 bond, 5 ring closure, 6 and 7 branch, 8 dot.
 TYPES = ((2, r"^\[[^\]]*\]$"), (3, "^[cnosp]$"), (1, r"^([A-Za-z*]|[A-Z][a-z])$"), (5, "^([0-9]|%.*)$"), (4, "^[=~#$:-]$"), (6, r"^\($"), (7, r"^\)$"), (8, r"^\.$"))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """A CSV file with a header, as strings; quoted fields may hold delimiters, quotes and line ends."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', sep=delimiter, enforceSchema=False).na.fill("")
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", split: bool = False) -> DataFrame:
+    """A CSV file with a header, as strings; quoted fields may hold delimiters, quotes and line ends.
+
+    ``split`` promises that no field holds a line end: then a large file is read by many tasks. A file without
+    a header has no columns.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=not split, escape='"', sep=delimiter, enforceSchema=False).na.fill("")
 
 
 def read_smiles_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,4 +48,4 @@ def write_csv(df: DataFrame, path: str, descriptors: list[str], delimiter: str =
     """Input columns as they are, descriptors rendered; quotes are doubled."""
     kinds = {f.name: f.dataType for f in df.schema}
     cells = [rendered(F.col(f"`{c}`"), kinds[c]).alias(c) if c in descriptors else F.col(f"`{c}`") for c in df.columns]
-    df.select(*cells).write.mode("overwrite").csv(path, header=True, escape='"', quote='"', sep=delimiter, emptyValue="")
+    df.select(*cells).write.mode("overwrite").csv(path, header=True, escape='"', quote='"', sep=delimiter, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -13,7 +13,9 @@ def compared(frame: pd.DataFrame) -> pd.DataFrame:
     def cell(v):
         if v is None or (isinstance(v, float) and v != v) or v is pd.NA:
             return ""
-        return f"{float(v) + 0.0:.6f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+        if isinstance(v, int | float) and not isinstance(v, bool):
+            return f"{float(v) + 0.0:.6f}" if abs(v) < 1e9 else f"{float(v):.9e}"
+        return str(v)
 
     out = frame[sorted(frame.columns)].astype(object).map(cell)
     return out.sort_values(list(out.columns)).reset_index(drop=True)

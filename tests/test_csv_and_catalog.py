@@ -25,6 +25,21 @@ CASES = {
 }
 
 
+def test_white_space_a_thousand_rows_and_split_files(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("smiles,name\n CCO ,  ethanol  \n" + "".join(f"CC{k},mol{k}\n" for k in range(1000)))
+    assert cli.main(["-i", str(tmp_path / "in.csv"), "-o", str(tmp_path / "out"), "-d", "NumAtoms", "-q", "--one-line-rows"]) == 0
+    out = spark.read.csv(str(tmp_path / "out"), header=True).collect()
+    assert len(out) == 1001 and {"  ethanol  ", "mol999"} <= {r["name"] for r in out}
+
+
+def test_tabs_and_an_empty_file(spark, tmp_path):
+    (tmp_path / "in.tsv").write_text("smiles\tname\nCCO\tethanol\n")
+    assert cli.main(["-i", str(tmp_path / "in.tsv"), "-o", str(tmp_path / "out"), "-d", "NumAtoms", "-q", "--delimiter", "\t"]) == 0
+    assert spark.read.csv(str(tmp_path / "out"), header=True, sep="\t").first()["NumAtoms"] == "3.0000"
+    (tmp_path / "none.csv").write_text("")
+    assert cli.main(["-i", str(tmp_path / "none.csv"), "-o", str(tmp_path / "none"), "-q"]) == 0
+
+
 @pytest.mark.parametrize("case", sorted(CASES))
 def test_round_trip(spark, tmp_path, case):
     text, rows = CASES[case]
