@@ -36,28 +36,46 @@ def _weight(level: str, weights: Mapping[str, float]) -> Column:
     return found
 
 
+def _fill_levels(nodes: DataFrame, family: Sequence[str]) -> DataFrame:
+    """The family and ``level``: tokens for each unit of weight at which the family's budget is used up.
+
+    ``nodes`` has the family, ``cap``, ``w`` and ``above``, the family's budget. A node takes the smaller of its
+    cap and level times weight. Starting from nobody full, each round sets the level by what the full nodes
+    leave to the others; levels only rise, until no further node is full. A round is one sum by family, so
+    no family, however many members it has, is gathered or sorted.
+    """
+    levels = durable(nodes.groupBy(*family).agg((F.first("above") / F.sum("w")).alias("level")))
+    while True:
+        full = F.col("cap") <= F.col("level") * F.col("w")
+        left = F.first("above") - F.sum(F.when(full, F.col("cap")).otherwise(0.0))
+        weight = F.sum(F.when(full, 0.0).otherwise(F.col("w")))
+        sums = nodes.join(levels, list(family)).groupBy(*family).agg(F.first("level").alias("was"), left.alias("left"), weight.alias("weight"))
+        new = durable(sums.select(*family, "was", F.when(F.col("weight") > 0, F.greatest("was", F.col("left") / F.col("weight"))).otherwise(F.lit(float("inf"))).alias("level")))
+        levels = new.drop("was")
+        if new.where("level > was * (1 + 1e-12) and was < double('inf')").isEmpty():
+            return levels
+
+
 def budgets(leaves: DataFrame, budget: Column, epochs: int, weights: Mapping[str, float], levels: Sequence[str] = LEVELS) -> DataFrame:
     """The leaves (the levels and ``tokens``) with ``given``, a whole number of tokens.
 
-    Per family, node by node in rising order of capacity over weight, a node is full if giving every node
-    from it on that ratio doesn't exceed what is left; the others share what is left by weight.
+    Family by family a budget is filled up: a node is given all that it can use, or its share by weight of what
+    the full nodes leave. Nodes of weight 0 are given nothing.
     """
-    nodes = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double"))
-    flow = nodes.withColumn("given", budget.cast("double"))
+    flow = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double")).withColumn("given", budget.cast("double")).withColumn("root", F.lit(0))
     for depth, level in enumerate(levels):
-        path, family = list(levels[: depth + 1]), list(levels[:depth])
-        tree = flow.groupBy(*path).agg(F.sum("cap").alias("node_cap"), F.first("given").alias("above")).withColumn("w", _weight(level, weights))
-        kin = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-        rising = kin.orderBy(F.col("node_cap") / F.col("w"), *path)
-        before = rising.rowsBetween(Window.unboundedPreceding, -1)
-        lower = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))  # noqa: B023, E731
-        ranked = tree.select("*", lower("node_cap").alias("cap_before"), (F.sum("w").over(kin) - lower("w")).alias("w_left"))
-        full = F.col("node_cap") / F.col("w") * F.col("w_left") + F.col("cap_before") <= F.col("above")
-        filled = ranked.withColumn("full", full)
-        used, weight = F.sum(F.when(F.col("full"), F.col("node_cap")).otherwise(0.0)).over(kin), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(kin)
-        shares = filled.withColumn("share", F.when(F.col("full"), F.col("node_cap")).otherwise(F.col("w") * (F.col("above") - used) / weight)).select(*path, "share")
-        flow = flow.join(shares, path).withColumn("given", F.col("share")).drop("share")
-    return flow.withColumn("given", F.floor(F.col("given") + 1e-6)).drop("cap")
+        family = ["root", *levels[:depth]]
+        path = [*family, level]
+        # What a child of weight 0 could use is no use to its parents.
+        usable = F.col("cap")
+        for below in levels[depth + 1 :]:
+            usable = F.when(_weight(below, weights) > 0, usable).otherwise(0.0)
+        tree = flow.groupBy(*path).agg(F.sum(usable).alias("cap"), F.first("given").alias("above")).withColumn("w", _weight(level, weights))
+        nodes = durable(tree.where("w > 0"))
+        share = F.least(F.col("cap"), F.col("level") * F.col("w"))
+        shares = nodes.join(_fill_levels(nodes, family), family).select(*path, F.when(F.col("cap") > 0, share).otherwise(0.0).alias("share"))
+        flow = flow.join(shares, path, "left").withColumn("given", F.coalesce("share", F.lit(0.0))).drop("share")
+    return flow.withColumn("given", F.floor(F.col("given") + 1e-6)).drop("cap", "root")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: int | None = None, fraction: float = 0.5, epochs: int = 4, weights: Mapping[str, float] | None = None, seed: int = 0, domain: Column | None = None, with_hash: bool = False) -> DataFrame:
@@ -68,16 +86,22 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ``epoch``. The prefix ends before the first document that would exceed the leaf's budget, so a leaf falls
     short by less than one document.
 
+    A weight is named 'level=name'; 0 leaves that node out, a negative one is refused.
+
     text_hash (xxhash64, of '' for null) tells apart rows that share an id, or have none; it then orders them too.
-    Null texts have no tokens, null languages and sources are the name ''; repeated rows count each. An
-    empty table, or a budget of none, gives no rows; other columns are not looked at.
+    Null texts have no tokens; null domains, languages and sources are the name ''. Very long texts are only
+    counted. Rows of one order (repeated ids) are taken by id and number of tokens, and those that agree in
+    these too are alike; repeated rows count each. An empty table, or a budget of none, gives no rows; other
+    columns, whatever their names, are not looked at.
     """
     weights = {} if weights is None else weights
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("weights can't be negative")
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
     dom = source_domain(docs[source_col]) if domain is None else domain
     told = ["text_hash"] if with_hash else []
     hashed = [F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias(c) for c in told]
-    rows = durable(docs.select(docs[id_col].alias("id"), dom.alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *hashed))
+    rows = durable(docs.select(docs[id_col].alias("id"), F.coalesce(dom.cast("string"), F.lit("")).alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *hashed))
     leaves = durable(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     total = leaves.agg(F.sum("tokens").alias("t"))
     wanted = F.lit(budget).cast("double") if budget is not None else F.coalesce(total.select(F.col("t") * fraction).scalar(), F.lit(0.0))
@@ -86,9 +110,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     plan = durable(plan.select(*LEVELS, F.when(empty, 0).otherwise(F.floor(F.col("given") / F.greatest(F.col("tokens"), F.lit(1)))).cast("int").alias("whole"), F.when(empty, 0).otherwise(F.col("given") % F.greatest(F.col("tokens"), F.lit(1))).cast("long").alias("rest")))
     order = joined_back(rows, plan, list(LEVELS), "inner").withColumn("h", F.xxhash64(F.lit(seed), F.col("whole"), F.col("id"))).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
     keys = [*LEVELS, "bucket"]
-    sums = order.groupBy(*keys).agg(F.sum("n_tokens").alias("bucket_tokens"))
-    # At most 2 ** BUCKET_BITS rows for each leaf, one for each bucket.
-    before = durable(sums.select(*keys, (F.sum("bucket_tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("bucket_tokens")).alias("tokens_before")))
+    sums = durable(order.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).withColumn("ten", F.shiftright("bucket", BUCKET_BITS // 2)))
+    # Running sums in two steps, over 2 ** (BUCKET_BITS / 2) rows at most in each.
+    running = lambda kin, by: F.sum("tokens").over(Window.partitionBy(*kin).orderBy(by)) - F.col("tokens")
+    tens = sums.groupBy(*LEVELS, "ten").agg(F.sum("tokens").alias("tokens"))
+    whole = tens.select(*LEVELS, "ten", running(LEVELS, "ten").alias("of_tens"))
+    inside = sums.select(*keys, "ten", running([*LEVELS, "ten"], "bucket").alias("of_buckets"))
+    before = inside.join(whole, [*LEVELS, "ten"]).select(*keys, (F.col("of_tens") + F.col("of_buckets")).alias("tokens_before"))
     placed = order.join(before, keys)
     upto = F.col("tokens_before") + F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("h", "id", "n_tokens", *told).rowsBetween(Window.unboundedPreceding, 0))
     copies = F.col("whole") + (upto <= F.col("rest")).cast("int")
