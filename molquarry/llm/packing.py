@@ -9,7 +9,7 @@ patterns joined back by rank.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +74,14 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 _PIECES = {"id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """The pieces of every document: its ids and ``end_id``, cut at every ``size`` ids."""
+def pieces(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+    """The pieces of every document: its ids and ``end_id``, cut at every ``size`` ids.
+
+    ``tokenizer`` is the path of the file on every executor, or a function that tells it there.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        encode, end = encoder(tokenizer() if callable(tokenizer) else tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -91,11 +94,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, id_col: str = "doc
     return rows.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null text is empty, so its document is the end id alone; repeated rows are packed each; an empty table
-    gives no rows; other columns are not looked at.
+    A null text is empty, so its document is the end id alone. A very long text is many full pieces and one
+    shorter one; its ids have to fit a task. Pieces of one length are ranked by id, start and checksum; those
+    that agree in all of these are alike. Repeated rows, and rows that share an id or have none, are packed
+    each; an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
     cut = durable(pieces(docs, tokenizer, size, id_col, text_col))
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -17,6 +17,7 @@ from molquarry.llm.quality import quality_rules
 from molquarry.llm.secret_scan import secret_scan
 from molquarry.llm.substring_dedup import substring_dedup
 from molquarry.llm.suffix_dedup import suffix_dedup
+from molquarry.llm.tokens import vocabulary
 from molquarry.llm.urls import syndicated_keys, url_filter
 
 
@@ -43,9 +44,7 @@ def op5_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -35,11 +37,16 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): i for t, i in vocab.items()}
 
 
+#: A run of white space that tiktoken's splitter, which looks back over all of it, is not given.
+LONG_SPACE = re.compile(r"\s{20000}")
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, without special tokens added.
 
     Where the file allows it, the merges run in tiktoken, which is several times faster and gives the same
-    ids; texts that spell out an added token are left to the tokenizers library.
+    ids; texts that spell out an added token, or have a very long run of white space, are left to the
+    tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -55,7 +62,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(a in text for a in self.added):
+        if self.fast is None or any(a in text for a in self.added) or LONG_SPACE.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
@@ -64,3 +71,14 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each file and process."""
     return Encoder(path)
+
+
+def vocabulary(name: str) -> Callable[[], str]:
+    """A function that tells where a public tokenizer's file lies, on the machine that calls it."""
+
+    def path() -> str:
+        import public_tokenizers
+
+        return str(public_tokenizers.path(name))
+
+    return path
