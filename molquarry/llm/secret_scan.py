@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and windows of high Shannon entropy inside candidate strings.
 
-A candidate is a long run of characters that keys are made of. For each character class that a candidate
-fits, a window slides over it; its entropy is kept up to date from the counts of its characters as one
-enters and one leaves. Windows over the class's limit are merged into spans. Candidates on the allow-list
-(ordinary identifiers, placeholders, paths) give none.
+A candidate is a long run of characters that keys are made of. For each character class, a window slides
+over the candidate's longest runs of that class; its entropy is kept up to date from the counts of its
+characters as one enters and one leaves. Windows over the class's limit are merged into spans. What is on the
+allow-list (placeholders, version-4 ids, digits, words) gives none.
 """
 
 from __future__ import annotations
@@ -27,21 +27,20 @@ PATTERNS = (
 )
 #: Longest runs that are looked at again: matches that the least length drops anyway are never made.
 _QUICK = {"hex": re.compile(r"[0-9a-f]{24,}")}
-#: Character class, its members, window in characters, limit in bits per character. The first that fits counts.
+#: Character class, runs of its members that are long enough for it, window in characters, limit in bits per character.
 CLASSES = (
-    ("entropy_hex", re.compile(r"[0-9A-Fa-f]+"), 20, 3.0),
-    ("entropy_alnum", re.compile(r"[0-9A-Za-z]+"), 20, 3.6),
-    ("entropy_base64", re.compile(r"[0-9A-Za-z+/=_-]+"), 24, 3.8),
+    ("entropy_hex", re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0),
+    ("entropy_alnum", re.compile(r"[0-9A-Za-z]{20,}"), 20, 3.6),
+    ("entropy_base64", re.compile(r"[0-9A-Za-z+/=_-]{24,}"), 24, 3.8),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
-#: Candidates that are no secrets: words joined by marks, one repeated character, placeholders, version-4 ids.
-ALLOWED = (
-    re.compile(r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*"),
-    re.compile(r"[0-9_/=+-]+"),
-    re.compile(r"(.)\1*"),
-    re.compile(r"(?i).*(?:example|placeholder|changeme|xxxx|your_|lorem|0123456789|abcdefgh).*"),
-    re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"),
-)
+#: Whole parts between marks that stand for something else: placeholders, sequences, one repeated character.
+PLACEHOLDER = re.compile(r"(?i)(?:example|sample|placeholder|changeme|lorem|ipsum|your|dummy|redacted|0123456789(?:abcdef)?|1234567890?|abcdefgh[a-z]*|(.)\1*)")
+#: Identifiers that are no secrets, version-4 ids.
+UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_CASED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONSONANTS = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{7}")
 _ORDER = {k: i for i, k in enumerate([p[0] for p in PATTERNS] + [c[0] for c in CLASSES])}
 
 
@@ -86,15 +85,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def looks_like_words(part: str) -> bool:
+    """Whether letters read as words: runs of one case of three letters or more on average, with vowels among them."""
+    if not part.isalpha():
+        return False
+    runs = _CASED.findall(part)
+    vowels = sum(c in "aeiouyAEIOUY" for c in part)
+    return len(part) >= 3 * len(runs) and 5 * vowels >= len(part) and not _CONSONANTS.search(part)
+
+
+def _ordinary(part: str) -> bool:
+    return part.isdigit() or looks_like_words(part)
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
-    """The spans of the sliding windows, in candidates with a digit and a letter that the allow-list lets through."""
+    """The spans of the sliding windows in the candidates, class by class.
+
+    A placeholder suppresses the part that it is, and no more. A run that is digits or words throughout gives
+    none, nor does one with marks in which these make up half or more; a run of a narrower class is left to it.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(a.fullmatch(s) for a in ALLOWED):
+        s, at = m.group(), m.start()
+        if UUID.fullmatch(s):
             continue
-        kind, _, width, limit = next(c for c in CLASSES if c[1].fullmatch(s))
-        found += [(kind, m.start() + a, m.start() + b) for a, b in windows_over(s, width, limit)]
+        for x in _PART.finditer(s):
+            if PLACEHOLDER.fullmatch(x.group()):
+                s = s[: x.start()] + " " * (x.end() - x.start()) + s[x.end() :]
+        taken: set[tuple[int, int]] = set()
+        for kind, runs, width, limit in CLASSES:
+            for r in runs.finditer(s):
+                parts = _PART.findall(r.group())
+                plain = sum(len(p) for p in parts if _ordinary(p))
+                if r.span() in taken or 2 * plain >= sum(map(len, parts)):
+                    continue
+                taken.add(r.span())
+                found += [(kind, at + r.start() + a, at + r.start() + b) for a, b in windows_over(r.group(), width, limit)]
     return found
 
 
@@ -119,8 +145,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas; the
-    digest is over those of the fixed patterns alone. Null texts are empty; repeated rows are scanned each;
-    an empty table gives no rows; other columns are not looked at.
+    digest is over those of the fixed patterns alone. Null texts are empty; very long ones are scanned whole,
+    in one pass for each pattern. Spans that begin together stand in the order of the kinds. Repeated rows,
+    and rows that share an id or have none, are scanned each; an empty table gives no rows; other columns,
+    whatever their names, are not looked at.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = rows.mapInArrow(_scanned, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
