@@ -62,26 +62,34 @@ def _level(keys: DataFrame, level: int, bits: int) -> DataFrame:
 class Cascade:
     """Exact membership of ``listed`` keys (a column ``key``) over a universe of keys.
 
-    A level that would need over ``max_bits`` is not built: then ``listed`` is joined by its key instead.
+    A list whose first level would need over ``max_bits`` is dealt by hash into as many parts as keep a level
+    below that, each with a cascade of its own, so the bits that a task holds are about those of one level.
     """
 
     def __init__(self, universe: DataFrame, max_bits: int = 1 << 28):
         """universe: columns key (string) and listed (boolean); repeated keys are listed if any is."""
-        self.keys = durable(universe.groupBy("key").agg(F.max("listed").alias("listed")))
-        self.levels: list[tuple[DataFrame, int]] = []
-        self.fits = True
-        inside, outside = self.keys.where("listed").select("key"), self.keys.where("not listed").select("key")
+        keys = durable(universe.groupBy("key").agg(F.max("listed").alias("listed")))
+        self.parts = max(1, math.ceil(1.1 * self._bits(keys.where("listed").count()) / max_bits))
+        self.levels = [self._built(keys.where(self._part(F.col("key")) == part)) for part in range(self.parts)]
+
+    @staticmethod
+    def _bits(n: int) -> int:
+        return max(64, 64 * math.ceil(n * HASHES / math.log(2) / 64))
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.parts))
+
+    def _built(self, keys: DataFrame) -> list[tuple[DataFrame, int]]:
+        levels: list[tuple[DataFrame, int]] = []
+        inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
         while n := inside.count():
-            bits = max(64, 64 * math.ceil(n * HASHES / math.log(2) / 64))
-            if bits > max_bits:
-                self.fits, self.levels = False, []
-                break
-            level = len(self.levels) + 1
-            self.levels.append((durable(_level(inside, level, bits)), bits))
-            inside, outside = durable(outside.where(self._passes(F.col("key"), level))), inside
-
-    def _passes(self, key: Column, level: int) -> Column:
-        frame, bits = self.levels[level - 1]
+            levels.append((durable(_level(inside, len(levels) + 1, self._bits(n))), self._bits(n)))
+            inside, outside = durable(outside.where(self._passes(F.col("key"), levels, len(levels)))), inside
+        return levels
+
+    @staticmethod
+    def _passes(key: Column, levels: list[tuple[DataFrame, int]], level: int) -> Column:
+        frame, bits = levels[level - 1]
         words = frame.select("words").scalar()
         passes = F.lit(True)
         for k in range(HASHES):
@@ -92,21 +100,27 @@ class Cascade:
     def marked(self, rows: DataFrame, key_col: str, name: str) -> DataFrame:
         """``rows`` with a boolean column telling whether the key is listed; null keys aren't."""
         key = F.coalesce(rows[key_col], F.lit(""))
-        if not self.fits:
-            listed = self.keys.where("listed").select(F.col("key").alias(f"__{name}"))
-            return rows.join(listed, key == listed[f"__{name}"], "left").withColumn(name, F.col(f"__{name}").isNotNull()).drop(f"__{name}")
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for level in range(len(self.levels), 0, -1):
-            answer = F.when(self._passes(key, level), answer).otherwise(F.lit(level % 2 == 0))
-        return rows.withColumn(name, answer)
+
+        def answer(levels: list[tuple[DataFrame, int]]) -> Column:
+            out = F.lit(len(levels) % 2 == 1)
+            for level in range(len(levels), 0, -1):
+                out = F.when(self._passes(key, levels, level), out).otherwise(F.lit(level % 2 == 0))
+            return out
+
+        told = answer(self.levels[-1])
+        for part in range(self.parts - 1):
+            told = F.when(self._part(key) == part, answer(self.levels[part])).otherwise(told)
+        return rows.withColumn(name, told)
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, max_bits: int = 1 << 28) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, listed.
 
     The verdict is that of the longest fitting rule, else block if host and path are in ``listed`` (a column
-    ``key``), else allow. A null url, or one without ://, has an empty host and path and the key ''. An
-    empty list lists nothing; keys of the list that no page has don't matter; repeated rows are judged each.
+    ``key``), else allow. Of two rules of one length the later in ``rules`` wins. A null url, or one without
+    ://, has an empty host and path and the key ''; very long urls are keyed whole. An empty list lists
+    nothing; keys of the list that no page has don't matter. Repeated rows, and rows that share an id or have
+    none, are judged each; an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
     parts = pages.select(pages[id_col].alias("id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"))
     keyed = parts.withColumn("key", F.concat("host", "path"))
