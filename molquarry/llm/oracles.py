@@ -63,11 +63,12 @@ ORACLES: dict[str, str] = {
                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_upper > word_chars AS failed FROM j
         ), hosts AS (
             SELECT host, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM k GROUP BY host
+        ), sums AS (
+            SELECT sum(n) AS docs, sum(f) / sum(n) AS mean, count(*) AS hosts, (sum(f * f / n) - sum(n) * (sum(f) / sum(n)) ** 2 - (count(*) - 1) * (sum(f) / sum(n)) * (1 - sum(f) / sum(n))) / (sum(n) - sum(n * n) / sum(n)) AS v FROM hosts
         ), prior AS (
-            SELECT avg(f / n) AS mean, var_pop(f / n) AS v, count(*) AS hosts FROM hosts
+            SELECT mean, CASE WHEN hosts >= 2 AND v > 0 THEN greatest(mean * (1 - mean) / v - 1, 0.01) WHEN hosts >= 2 THEN docs ELSE 2 END AS strength FROM sums
         ), shape AS (
-            SELECT CASE WHEN hosts >= 2 AND v > 0 AND v < mean * (1 - mean) THEN mean * (mean * (1 - mean) / v - 1) ELSE 1 END AS a,
-                   CASE WHEN hosts >= 2 AND v > 0 AND v < mean * (1 - mean) THEN (1 - mean) * (mean * (1 - mean) / v - 1) ELSE 1 END AS b FROM prior
+            SELECT greatest(mean * strength, 1e-9) AS a, greatest((1 - mean) * strength, 1e-9) AS b FROM prior
         ), verdicts AS (
             SELECT host, (f + a) / (n + a + b) <= 0.5 AS host_ok FROM hosts, shape
         )

@@ -64,46 +64,55 @@ def _failures() -> tuple[Column, Column]:
     return base, base | soft
 
 
-def host_verdicts(judged: DataFrame, max_rate: float = 0.5, min_hosts: int = 2) -> DataFrame:
-    """host, host_rate and host_ok from judged documents (host, failed): their failure rates, shrunk."""
+def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
+    """host, host_rate and host_ok from judged documents (host, failed): their failure rates, shrunk.
+
+    The prior has the mean rate of all documents, and its strength is what the hosts' rates vary by beyond the
+    noise of their sizes (moments of the beta-binomial, hosts weighed by size). Hosts that don't vary beyond
+    that are all taken to have the mean rate, as far as the documents of one host can tell.
+    """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("failed").alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    m, v = F.col("m"), F.col("v")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.count(F.lit(1)).alias("hosts")).select("m", F.when((F.col("hosts") >= min_hosts) & (v > 0) & (v < m * (1 - m)), m * (1 - m) / v - 1).alias("strength"))
+    n, f = F.col("host_docs"), F.col("host_failed")
+    sums = hosts.agg(F.sum(n).alias("docs"), F.sum(f).alias("fails"), F.sum(n * n).alias("squares"), F.sum(f * f / n).alias("spread"), F.count(F.lit(1)).alias("hosts"))
+    mean = F.col("fails") / F.col("docs")
+    noise = mean * (1 - mean)
+    between = (F.col("spread") - F.col("docs") * mean * mean - (F.col("hosts") - 1) * noise) / (F.col("docs") - F.col("squares") / F.col("docs"))
+    strength = F.when((F.col("hosts") >= 2) & (between > 0), F.greatest(noise / between - 1, F.lit(0.01))).when(F.col("hosts") >= 2, F.col("docs")).otherwise(2.0)
     # One row, read as two scalars.
-    alpha = F.coalesce(prior.select(m * F.col("strength")).scalar(), F.lit(1.0))
-    beta = F.coalesce(prior.select((1 - m) * F.col("strength")).scalar(), F.lit(1.0))
-    shrunk = hosts.select("host", ((F.col("host_failed") + alpha) / (F.col("host_docs") + alpha + beta)).alias("host_rate"))
+    prior = sums.select(F.greatest(mean * strength, F.lit(1e-9)).alias("alpha"), F.greatest((1 - mean) * strength, F.lit(1e-9)).alias("beta"))
+    alpha, beta = F.coalesce(prior.select("alpha").scalar(), F.lit(1.0)), F.coalesce(prior.select("beta").scalar(), F.lit(1.0))
+    shrunk = hosts.select("host", ((f + alpha) / (n + alpha + beta)).alias("host_rate"))
     return durable(shrunk.withColumn("host_ok", F.col("host_rate") <= max_rate))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, min_hosts: int = 2) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: id, the measures, base_failed, kept, and what the verdict rests on.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. Soft rules: symbols
     over 10 % of the words, three or more repeated lines that are over 30 % of the lines, mean word length outside 2 to 15, capitals
     over half of the word characters. A document is kept if it fails no rule and its host's shrunk failure
-    rate is at most ``max_rate``. The prior is the beta distribution with the mean and variance of the hosts'
-    rates (a uniform prior for fewer than ``min_hosts`` hosts or no usable variance).
+    rate is at most ``max_rate``.
 
-    Null texts are empty and so fail; null hosts count as the host ''. Repeated rows are judged each; an
-    empty table gives no rows; other columns are not looked at.
+    Null texts are empty and so fail; null hosts count as the host ''. Very long texts are measured whole; the
+    words of one have to fit a task. Repeated rows, and rows that share an id or have none, are judged each;
+    an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
     base, failed = _failures()
     judged = durable(measures(docs, docs[id_col], text_col, host_col).select("id", "host", *MEASURES, base.alias("base_failed"), failed.alias("failed")))
-    verdicts = host_verdicts(judged, max_rate, min_hosts)
+    verdicts = host_verdicts(judged, max_rate)
     return joined_back(judged, verdicts, ["host"], "left").select(F.col("id").alias(id_col), *MEASURES, "base_failed", (~F.col("failed") & F.col("host_ok")).alias("kept"), "host", "host_rate", "host_ok")
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, min_hosts: int = 2) -> DataFrame:
-    """The rows of ``docs`` that quality_rules keeps, whole.
+def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that quality_rules keeps, whole, with all of their columns.
 
-    The texts are measured twice, for the hosts' verdicts and for their own, and so are never shuffled.
+    The texts are measured once; rows that fail no rule are written with their host, and those of good hosts
+    are read again. Handles what quality_rules handles.
     """
     _, failed = _failures()
-    judged = durable(measures(docs, F.lit(None), text_col, host_col).select("host", failed.alias("failed")))
-    verdicts = host_verdicts(judged, max_rate, min_hosts)
-    # A row number keeps the filter above the measures; pushed down, it would compute each of them many times over.
-    measured = measures(docs, F.struct(*[docs[c] for c in docs.columns]), text_col, host_col).withColumn("__row", F.monotonically_increasing_id())
-    whole = measured.where(~failed & (F.col("__row") >= 0))
-    return joined_back(whole.select("id", "host"), verdicts.where("host_ok"), ["host"], "left_semi").select("id.*")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    measured = measures(docs, whole, text_col, host_col).select("id", "host", failed.alias("failed"))
+    # The verdicts need all rows, but only rows that may stay are written with their columns.
+    judged = durable(measured.select("host", "failed", F.when(~F.col("failed"), F.col("id")).alias("row")))
+    verdicts = host_verdicts(judged, max_rate)
+    return joined_back(judged.where(~F.col("failed")).select("row", "host"), verdicts.where("host_ok"), ["host"], "left_semi").select("row.*")
