@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.llm.common import SPACE, durable
+from molquarry.llm.common import SPACE, durable, joined_back
 
 #: Bytes of a text that a splitter holds at most (times four for non-ASCII text).
 SPLITTER_CHARS = 64
@@ -60,7 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after each run of ASCII white space became one space; null is empty.
     Of equal texts the row with the smallest id stays; of rows that repeat even the id, one stays. Rows
-    without an id come last. An empty table gives no rows; other columns are not looked at.
+    without an id come last. Very long texts are compared whole; one has to fit a task. An empty table gives
+    no rows; other columns, whatever their names, are not looked at.
     """
     norm = docs.select(docs[id_col].cast("long").alias("id"), F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE, " ").alias("norm"))
     keys = [F.col("head"), F.col("h"), F.col("id").asc_nulls_last()]
@@ -69,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     runs = durable(ordered.mapInArrow(_runs, _RUNS))
     # Two runs a range at most, so this table is bounded by the number of partitions.
     edges = runs.where("edge and first").groupBy("sha").agg(F.min("run_id").alias("all_id"), F.sum("run_rows").alias("all_rows"), F.min("part").alias("head_part"))
-    whole = runs.join(F.broadcast(edges.withColumn("edge", F.lit(True))), ["sha", "edge"], "left")
+    whole = joined_back(runs, edges.withColumn("edge", F.lit(True)), ["sha", "edge"], "left")
     return whole.select(
         F.col("id").alias(id_col),
         F.coalesce("all_id", "run_id").alias("keep_id"),
