@@ -11,7 +11,9 @@ windows have equal minimisers, so
 3. each edge learns its source, the smallest document it starts in, and the paths of a document are glued by
    their coordinates to the spans that go.
 
-Windows are compared by 128 bits, the hashes of the minimiser and of the window.
+Windows are compared by the hashes of the minimiser and of the window, 64 bits each, over keyed hashes of the
+words; source coordinates are ranks of documents, and words are not compared again (the README says at what
+cost).
 """
 
 from __future__ import annotations
@@ -116,25 +118,33 @@ def _removed(k: int, with_text: bool):
     return found
 
 
+#: Rows without an id get one of the largest numbers, by a hash of their texts, so that they don't meet as one group.
+NAMELESS = (1 << 63) - (1 << 30)
+
+
 def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, n_spans and, if asked for, kept_text.
 
     Each word goes that is covered by a window of ``k`` words which also starts in a document with a smaller
-    id. Null texts have no words; a null id counts as larger than any other; rows that share an id don't
-    remove each other's words; an empty table gives no rows; other columns are not looked at.
+    id (of several sources the smallest counts). Null texts have no words; a null id counts as larger than any
+    other, and so do the last 2 ** 30 numbers; rows that share an id, or have none, don't remove each other's
+    words, and repeated rows lose the same. Very long texts are worked on whole, one at a time. An empty table
+    gives no rows; other columns, whatever their names, are not looked at.
     """
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    # Counting combines on the map side, and the join's skewed partitions can be split, so a passage that a third of the documents share needs no task of its own.
-    grams = rows.mapInArrow(_minimisers(k), "gram long, id long")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    named = F.coalesce(docs[id_col].cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit((1 << 30) - 1)))
+    rows = docs.select(named.alias("id"), text.alias("text"), docs[id_col].isNull().alias("nameless"))
+    # Counting combines on the map side.
+    grams = rows.select("id", "text").mapInArrow(_minimisers(k), "gram long, id long")
     shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
     lists = grams.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
     paths = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row")).mapInArrow(_shared_paths(k), "gram long, id long, row int, at int, edges array<long>")
+    # The paths of one minimiser meet in one task, which sorts them on disk if it has to; a passage that many documents share makes it long.
     edges = paths.repartition("gram").select("gram", "id", "row", "at", F.posexplode("edges").alias("step", "edge"))
     source = F.min("id").over(Window.partitionBy("gram", "edge"))
-    gone = edges.withColumn("source", source).where("source < id").groupBy("id").agg(F.collect_list(F.shiftleft(F.col("row").cast("long"), 32) + F.col("at") + F.col("step")).alias("ats"))
+    removable = (F.col("source") < F.col("id")) & (F.col("source") < NAMELESS)
+    gone = edges.withColumn("source", source).where(removable).groupBy("id").agg(F.collect_list(F.shiftleft(F.col("row").cast("long"), 32) + F.col("at") + F.col("step")).alias("ats"))
     # Rows that share an id are told apart by a hash of their texts, above the position; joined by id alone, the texts are not shuffled again.
-    kept = rows.join(gone, "id", "left").select("id", "text", "ats", F.hash("text").alias("row"))
+    kept = rows.join(gone, "id", "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "text", "ats", F.hash("text").alias("row"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + (", kept_text string" if with_text else "")
-    done = kept.mapInArrow(_removed(k, with_text), schema)
-    return done.select(F.when(F.col("id") != last, F.col("id")).alias(id_col), *[c for c in done.columns if c != "id"])
+    return kept.mapInArrow(_removed(k, with_text), schema).withColumnRenamed("id", id_col)

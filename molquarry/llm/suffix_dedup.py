@@ -49,6 +49,8 @@ def _windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 
 def _pieces(least: np.ndarray, start: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of consecutive windows of one text with one minimiser."""
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
@@ -172,13 +174,15 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept.
 
     Each byte of the UTF-8 text goes that is covered by a ``width``-byte string which also starts anywhere
-    else, in any document or the same one; matches stay inside documents. Null texts are empty; an empty
-    table gives no rows; other columns are not looked at. Rows that share an id, or have none, are told apart
-    by their texts, so equal rows count as strings that start elsewhere.
+    else, in any document or the same one; matches stay inside documents. Null texts are empty; very long texts
+    are worked on whole, one at a time. Rows that share an id, or have none, are told apart by their texts;
+    repeated rows are strings that start elsewhere, so their long texts go. Among equal strings there is no
+    first, and so no tie. An empty table gives no rows; other columns, whatever their names, are not looked at.
     """
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    grams = rows.mapInArrow(_minimisers(width), "gram long, id long, times long")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    # Rows without an id go by a hash of their texts, so that they don't meet as one group.
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)).alias("id"), text.alias("text"), docs[id_col].isNull().alias("nameless"))
+    grams = rows.select("id", "text").mapInArrow(_minimisers(width), "gram long, id long, times long")
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).where("n > 1 or times > 1").select("gram")
     lists = grams.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
     shared_rows = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row"))
@@ -189,5 +193,6 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     spans = uses.join(marks, "key").select("id", "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     gone = spans.groupBy("id").agg(F.collect_list(F.struct("row", "a", "b")).alias("spans"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    done = rows.join(gone, "id", "left").select("id", "text", "spans", F.hash("text").alias("row")).mapInArrow(_removed(with_bytes), schema)
-    return done.select(F.when(F.col("id") != last, F.col("id")).alias(id_col), *[c for c in done.columns if c != "id"])
+    named = F.when(~F.col("nameless"), F.col("id")).alias("id")
+    done = rows.join(gone, "id", "left").select(named, "text", "spans", F.hash("text").alias("row"))
+    return done.mapInArrow(_removed(with_bytes), schema).withColumnRenamed("id", id_col)
