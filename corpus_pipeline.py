@@ -6,7 +6,7 @@ return the columns of ``docs``. Stages never give a document back that an earlie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.llm.common import SPACE, durable, table
@@ -15,6 +15,7 @@ from molquarry.llm.mixing import mixed
 from molquarry.llm.near_dedup import near_dedup
 from molquarry.llm.packing import pack
 from molquarry.llm.quality import quality_filter
+from molquarry.llm.tokens import vocabulary
 
 #: Target weights of the mix, the share of all tokens that is its budget, and its seed.
 WEIGHTS, FRACTION, SEED = {"lang=en": 3.0}, 0.8, 1
@@ -22,42 +23,69 @@ WEIGHTS, FRACTION, SEED = {"lang=en": 3.0}, 0.8, 1
 SHINGLE, PERCENT = 5, 80
 
 
-def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows whose doc_id and text are among ``chosen`` (doc_id, text_hash), each once; a null doc_id matches a null one."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    named = docs.withColumn("__key", key).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    wanted = chosen.select(key.alias("__key"), F.col("text_hash").alias("__hash"))
-    return named.join(wanted, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(*docs.columns)
+def _chosen(docs: DataFrame, told: Column, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``told``, a value of their text, are among ``chosen`` (doc_id, told).
+
+    Of rows that agree in both one stays, the one that is least as JSON. A null doc_id matches a null one. The
+    rows are carried as one struct, so that no column of theirs can clash.
+    """
+    last = F.lit((1 << 63) - 1)
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    named = docs.select(F.coalesce(docs["doc_id"].cast("long"), last).alias("id"), told.alias("told"), whole.alias("row"))
+    wanted = chosen.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), "told")
+    kept = named.join(wanted, ["id", "told"], "left_semi").groupBy("id", "told").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule, or whose host does, go."""
+    """Documents that fail a rule, or whose host (source) does, go; the others stay as they are.
+
+    Null and empty texts fail; a null source is the source ''. Very long texts are measured whole. Repeated
+    rows are judged each and there are no ties; an empty table stays empty; further columns are kept.
+    """
     return quality_filter(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the smallest doc_id stays, once."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    named = docs.withColumn("__text", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256)).withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    kept = stay.select(F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__key"), F.col("__sha").alias("__text"))
-    return named.join(kept, ["__key", "__text"], "left_semi").dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    """Of documents with texts that are equal but for runs of white space, the smallest doc_id stays, once.
+
+    Null counts as the empty text, and one of all of these stays; a null doc_id is larger than any other. Very
+    long texts are compared whole. Of rows that repeat doc_id and text one stays; an empty table stays empty;
+    further columns are kept.
+    """
+    stay = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("told"))
+    return _chosen(docs, F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, " "), 256), stay)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id stays."""
-    return _only(docs, near_dedup(docs, SHINGLE, PERCENT, with_hash=True).where("kept"))
+    """Of each group that links of near duplicates connect, one row with the smallest doc_id stays.
+
+    Null and empty texts are near nothing. A null doc_id is larger than any other; rows that share one are
+    told apart by their texts. Very long texts are sketched whole. Of rows that repeat doc_id and text one
+    stays; an empty table stays empty; further columns are kept.
+    """
+    stay = near_dedup(docs, SHINGLE, PERCENT, with_hash=True).where("kept")
+    return _chosen(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))), stay.select("doc_id", F.col("text_hash").alias("told")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, each once."""
-    return _only(docs, mixed(docs, fraction=FRACTION, epochs=1, weights=WEIGHTS, seed=SEED, with_hash=True))
+    """Documents that the mix takes, each once.
+
+    Null texts have no tokens, a null source or language is the name ''. Very long texts are only counted.
+    Ties of the order are broken by doc_id, size and text. Of rows that repeat doc_id and text one stays; an
+    empty table stays empty; further columns are kept.
+    """
+    taken = mixed(docs, fraction=FRACTION, epochs=1, weights=WEIGHTS, seed=SEED, with_hash=True)
+    return _chosen(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))), taken.select("doc_id", F.col("text_hash").alias("told")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in sequences of 1024 tokens."""
-    import public_tokenizers
+    """The pieces of the remaining documents in sequences of 1024 tokens.
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    Null texts are empty, so their document is the end id alone; very long ones take many sequences. Rows are
+    packed each, repeated or not; an empty table gives no rows; further columns are not looked at.
+    """
+    return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", packing)]
