@@ -37,7 +37,7 @@ def test_urls(spark):
     assert told[12][:2] == ("x", "/y\nz") and told[13][:2] == ("b:", "//c/d")
 
 
-@pytest.mark.parametrize("max_bits", [1 << 28, 64])
+@pytest.mark.parametrize("max_bits", [1 << 28, 2048])
 def test_cascade_is_exact(spark, max_bits):
     rng = random.Random(4)
     urls = [f"http://h{rng.randrange(300)}.net/p{k % 700}" for k in range(3000)]
@@ -217,9 +217,9 @@ def test_chat(spark):
     a = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None)]
     convs = {1: a[:2], 2: a, 3: a[:3], 4: a, 5: [("user", "hi"), ("assistant", "other")], 6: [("user", "hi")], 7: [("system", ""), *a], 8: [("user", "hiassistant")]}
     rows = [(c, k, r, t, "x", 9, "y") for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
-    rows += [(2, 0, "user", "hi", "x", 9, "y"), (None, 0, "user", "lost", "x", 9, "y"), (9, None, None, None, "x", 9, "y")]
+    rows += [(2, 0, "user", "hi", "x", 9, "y"), (None, 5, "user", "hi", "x", 9, "y"), (None, 0, "user", "lost", "x", 9, "y"), (9, None, None, None, "x", 9, "y")]
     got = {r["conv_id"]: r for r in chat_format(spark.createDataFrame(rows, TURNS)).collect()}
-    assert set(got) == {2, 5, 7, 8, 9, None}
+    assert set(got) == {2, 5, 7, 8, 9, None} and got[None]["rendered"] == "<|im_start|>user\nlost<|im_end|>\n"
     assert got[2]["n_copies"] == 2 and got[2]["n_snapshots"] == 3 and got[5]["n_snapshots"] == 1
     assert got[2]["rendered"].startswith("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n") and got[2]["n_turns"] == 4
     assert chat_format(spark.createDataFrame([], TURNS)).count() == 0
