@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from molquarry.functions import bits, molecules, strings, tokens
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
+from molquarry.functions.family import add_families
 
 TEXT_FAMILIES = (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, strings.STRING_DOCUMENTED, ELECTRONEGATIVITY, ACIDITY, tokens.TOKEN_CLOSED)
 CATEGORIES = {"bonds": "BondStatistics", "graph": "GraphTopology", "radius": "AtomicRadius", "autocorrelation": "Autocorrelation", "weight": "WeightFraction", "library": "Library", "vectors": "Library", "topology": "TopologyScore"}
@@ -74,10 +75,14 @@ def describe(df: DataFrame, smiles: Column, names: Sequence[str] | None = None)
     of = lambda need: [n for n in wanted if known[n].needs == need]
     out = df.withColumn("__smiles", smiles)
     text = F.col("__smiles")
+    left = set(of("text"))
+    families = []
     for f in TEXT_FAMILIES:
-        its = [n for n in of("text") if n in f.names() and n not in out.columns]
-        if its:
-            out = f.add_to(out, text, its)
+        if its := [n for n in f.names() if n in left]:
+            families.append((f, its))
+            left -= set(its)
+    if families:
+        out = add_families(out, text, families)
     if its := of("scan"):
         out = strings.add_scans(out, text, its)
     if its := of("planes"):

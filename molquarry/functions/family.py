@@ -35,24 +35,28 @@ class Family:
     def names(self) -> list[str]:
         return list(self.outputs(Counted()))
 
-    def add_to(self, df: DataFrame, text: Column, names: Sequence[str] | None = None) -> DataFrame:
-        """``df`` with the descriptors added as columns; null texts count as empty. No row is moved."""
-        d = Counted()
-        declared = self.outputs(d)
-        wanted = list(declared) if names is None else [n for n in names if n in declared]
-        inner = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.coalesce(text, F.lit("")).alias("s"))
+    def extend(self, inner: DataFrame, wanted: Sequence[str], out: str) -> DataFrame:
+        """``inner``, which has the text as ``s``, with a struct column ``out`` of the wanted descriptors. No row is moved."""
         if self.values:
-            return add_values(inner, F.col("s"), wanted, self.values, "values").select("__row.*", "values.*")
-        stages = [stage(d) for stage in self.stages]
+            return add_values(inner, F.col("s"), wanted, self.values, out)
+        d = Counted()
+        declared, stages = self.outputs(d), [stage(d) for stage in self.stages]
         # Only what the wanted descriptors, or a stage, read is counted.
-        used = " ".join([declared[n] for n in wanted] + [e for stage in stages for e in stage.values()])
-        keep = [k for k in range(len(d.wanted)) if f"__counts[{k}]" in used]
-        at = {k: j for j, k in enumerate(keep)}
+        used = set(map(int, re.findall(r"__counts\[(\d+)\]", " ".join([declared[n] for n in wanted] + [e for stage in stages for e in stage.values()]))))
+        at = {k: j for j, k in enumerate(sorted(used))}
         here = lambda e: re.sub(r"__counts\[(\d+)\]", lambda m: f"__counts[{at[int(m[1])]}]", e)
-        inner = add_counts(inner, F.col("s"), [d.wanted[k] for k in keep], "__counts")
+        columns = inner.columns
+        if at:
+            inner = add_counts(inner, F.col("s"), [d.wanted[k] for k in sorted(used)], "__counts")
         for stage in stages:
             inner = inner.select("*", *[F.expr(here(e)).alias(c) for c, e in stage.items()])
-        return inner.select("__row.*", *[F.expr(here(d.number(declared[n]))).alias(n) for n in wanted])
+        return inner.select(*columns, F.struct(*[F.expr(here(d.number(declared[n]))).alias(n) for n in wanted]).alias(out))
+
+    def add_to(self, df: DataFrame, text: Column, names: Sequence[str] | None = None) -> DataFrame:
+        """``df`` with the descriptors added as columns; null texts count as empty."""
+        known = self.names()
+        wanted = known if names is None else [n for n in names if n in set(known)]
+        return add_families(df, text, [(self, wanted)])
 
     def sql(self, table: str, keys: Sequence[str], text: str, names: Sequence[str] | None = None) -> str:
         """The same as DuckDB SQL, stage by stage."""
@@ -63,3 +67,19 @@ class Family:
             steps.append(f"stage_{k + 1} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage(DUCK).items())} FROM stage_{k})")
         values = [f"{DUCK.number(declared[n])} AS {n}" for n in wanted]
         return f"WITH {', '.join(steps)} SELECT {', '.join([*keys, *values])} FROM stage_{len(self.stages)}"
+
+
+def add_families(df: DataFrame, text: Column, wanted: Sequence[tuple[Family, Sequence[str]]]) -> DataFrame:
+    """``df`` with descriptors of several families as columns.
+
+    The columns of ``df`` are carried as one, so that no name of theirs can clash and plans stay small; families
+    without stages are counted together, in one pass over the texts.
+    """
+    inner = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.coalesce(text, F.lit("")).alias("s"))
+    flat = [(f, names) for f, names in wanted if not f.stages and not f.values]
+    parts = [(f, list(names)) for f, names in wanted if f.stages or f.values]
+    if flat:
+        parts.append((Family("flat", "", lambda d: {n: e for f, _ in flat for n, e in f.outputs(d).items()}), [n for _, names in flat for n in names]))
+    for k, (f, names) in enumerate(parts):
+        inner = f.extend(inner, names, f"__out{k}")
+    return inner.select("__row.*", *[f"__out{k}.*" for k in range(len(parts))])
