@@ -132,13 +132,14 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     gives no rows; other columns, whatever their names, are not looked at.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    named = F.coalesce(docs[id_col].cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit((1 << 30) - 1)))
+    named = F.coalesce(docs[id_col].cast("long"), F.lit(NAMELESS) + F.xxhash64(text).bitwiseAND((1 << 30) - 1))
     rows = docs.select(named.alias("id"), text.alias("text"), docs[id_col].isNull().alias("nameless"))
     # Counting combines on the map side.
     grams = rows.select("id", "text").mapInArrow(_minimisers(k), "gram long, id long")
     shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
     lists = grams.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    paths = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row")).mapInArrow(_shared_paths(k), "gram long, id long, row int, at int, edges array<long>")
+    # The unused last column keeps this exchange of the texts the same as that of the last join, so that it runs once.
+    paths = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row"), "nameless").mapInArrow(_shared_paths(k), "gram long, id long, row int, at int, edges array<long>")
     # The paths of one minimiser meet in one task, which sorts them on disk if it has to; a passage that many documents share makes it long.
     edges = paths.repartition("gram").select("gram", "id", "row", "at", F.posexplode("edges").alias("step", "edge"))
     source = F.min("id").over(Window.partitionBy("gram", "edge"))
