@@ -221,6 +221,11 @@ class Duck(Dialect):
     def overlapping(self, s, literal):
         if not overlaps_itself(literal):
             return self.count(s, literal)
+        shifts = [k for k in range(1, len(literal)) if literal.startswith(literal[k:])]
+        if all(k % shifts[0] == 0 for k in shifts):
+            # All overlapping occurrences lie in runs of what is before the second one.
+            head, rest = re.escape(literal[: shifts[0]]), literal[shifts[0] :]
+            return self.over_runs(s, f"(?:{head})+{re.escape(rest)}", f"(n - {len(rest)}) // {shifts[0]}")
         return f"len(list_filter(range(1, length({s}) + 1), lambda i: substr({s}, i, {len(literal)}) = {self.text(literal)}))"
 
     def without(self, s, pattern):
