@@ -226,7 +226,7 @@ class Duck(Dialect):
             # All overlapping occurrences lie in runs of what is before the second one.
             head, rest = re.escape(literal[: shifts[0]]), literal[shifts[0] :]
             return self.over_runs(s, f"(?:{head})+{re.escape(rest)}", f"(n - {len(rest)}) // {shifts[0]}")
-        return f"len(list_filter(range(1, length({s}) + 1), lambda i: substr({s}, i, {len(literal)}) = {self.text(literal)}))"
+        return f"CASE WHEN {self.has(s, literal)} THEN len(list_filter(range(1, length({s}) + 1), lambda i: substr({s}, i, {len(literal)}) = {self.text(literal)})) ELSE 0 END"
 
     def without(self, s, pattern):
         return f"regexp_replace({s}, {self.text(pattern)}, '', 'g')"
