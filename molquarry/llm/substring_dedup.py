@@ -7,7 +7,9 @@ windows have equal minimisers, so
 1. the minimisers of all documents are counted, and those of one document only are dropped: no window of
    theirs is repeated across documents;
 2. the compacted paths of the others are joined by minimiser, which brings equal edges together; where the
-   paths of two documents branch, their edges differ and the path is cut;
+   paths of two documents branch, their edges differ and the path is cut. A minimiser of many paths is dealt
+   into shares: what has no smaller document in its share, one document for each edge, is looked at once more
+   over all shares;
 3. each edge learns its source, the smallest document it starts in, and the paths of a document are glued by
    their coordinates to the spans that go.
 
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molquarry.llm.common import record_batch
-from molquarry.llm.rolling import slices, sliding_min, windows, words_of
+from molquarry.llm.rolling import mixed, slices, sliding_min, windows, words_of
 
-#: Words of the grams that minimisers are taken from.
-GRAM = 4
+#: Words of the grams that minimisers are taken from; paths of one minimiser that a task takes, on average.
+GRAM, HOT = 4, 4096
 
 
 def _edges(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,13 +69,26 @@ def _minimisers(k: int):
     return found
 
 
-_PATHS = {"gram": pa.int64(), "id": pa.int64(), "row": pa.int32(), "at": pa.int32(), "edges": pa.list_(pa.int64())}
+_PATHS = {"gram": pa.int64(), "share": pa.int32(), "id": pa.int64(), "row": pa.int32(), "at": pa.int32(), "edges": pa.list_(pa.int64())}
 
 
 def _shared_paths(k: int):
+    def shares(grams: np.ndarray, hot: pa.ListScalar, i: int, row: int) -> np.ndarray:
+        """The share of each path of a row: one of those of its minimiser, or -1 where that is not dealt."""
+        out = np.full(len(grams), -1, np.int32)
+        if len(hot.values):
+            key, n = (c.to_numpy(zero_copy_only=False) for c in hot.values.flatten())
+            order = np.argsort(key)
+            at = np.minimum(np.searchsorted(key, grams, sorter=order), len(key) - 1)
+            dealt = key[order[at]] == grams
+            own = mixed(np.array([i ^ row << 32], np.int64).view(np.uint64))[0] >> np.uint64(1)
+            out[dealt] = int(own) % n[order[at[dealt]]]
+        return out
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, grams, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
+            ids, texts, grams, hot, row = (batch.column(c) for c in range(5))
+            ids, row = ids.to_numpy(zero_copy_only=False), row.to_numpy(zero_copy_only=False)
             for a, b, data, offsets in slices(texts):
                 least, whole, text, at = _edges(data, offsets, k)
                 keep = np.zeros(len(least), bool)
@@ -83,8 +98,11 @@ def _shared_paths(k: int):
                     keep[s] = np.isin(least[s], grams[a + i].values.to_numpy(zero_copy_only=False))
                 least, whole, text, at = least[keep], whole[keep], text[keep], at[keep]
                 p = _paths(least, text, at)
+                bounds = np.searchsorted(text[p], np.arange(b - a + 1))
+                share = [shares(least[p[bounds[i] : bounds[i + 1]]], hot[a + i], int(ids[a + i]), int(row[a + i])) for i in range(b - a)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(p, len(least)), pa.int32()), pa.array(whole))
-                yield pa.record_batch([pa.array(least[p]), pa.array(ids[a + text[p]]), pa.array(row[a + text[p]]), pa.array(at[p], pa.int32()), lists], list(_PATHS))
+                columns = [pa.array(least[p]), pa.array(np.concatenate(share)), pa.array(ids[a + text[p]]), pa.array(row[a + text[p]]), pa.array(at[p], pa.int32()), lists]
+                yield pa.record_batch(columns, list(_PATHS))
 
     return found
 
@@ -122,29 +140,39 @@ def _removed(k: int, with_text: bool):
 NAMELESS = (1 << 63) - (1 << 30)
 
 
-def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, n_spans and, if asked for, kept_text.
 
     Each word goes that is covered by a window of ``k`` words which also starts in a document with a smaller
     id (of several sources the smallest counts). Null texts have no words; a null id counts as larger than any
     other, and so do the last 2 ** 30 numbers; rows that share an id, or have none, don't remove each other's
     words, and repeated rows lose the same. Very long texts are worked on whole, one at a time. An empty table
-    gives no rows; other columns, whatever their names, are not looked at.
+    gives no rows; other columns, whatever their names, are not looked at. Minimisers of more than ``hot`` paths
+    are dealt into shares.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     named = F.coalesce(docs[id_col].cast("long"), F.lit(NAMELESS) + F.xxhash64(text).bitwiseAND((1 << 30) - 1))
     rows = docs.select(named.alias("id"), text.alias("text"), docs[id_col].isNull().alias("nameless"))
     # Counting combines on the map side.
     grams = rows.select("id", "text").mapInArrow(_minimisers(k), "gram long, id long")
-    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
-    lists = grams.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
+    counted = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = counted.where("lo < hi").select("gram", F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).alias("shares"))
+    dealt = F.when(F.col("shares").isNotNull(), F.struct("gram", "shares"))
+    lists = grams.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"), F.collect_set(dealt).alias("hot"))
     # The unused last column keeps this exchange of the texts the same as that of the last join, so that it runs once.
-    paths = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row"), "nameless").mapInArrow(_shared_paths(k), "gram long, id long, row int, at int, edges array<long>")
-    # The paths of one minimiser meet in one task, which sorts them on disk if it has to; a passage that many documents share makes it long.
-    edges = paths.repartition("gram").select("gram", "id", "row", "at", F.posexplode("edges").alias("step", "edge"))
-    source = F.min("id").over(Window.partitionBy("gram", "edge"))
+    told = rows.join(lists, "id").select("id", "text", "grams", "hot", F.hash("text").alias("row"), "nameless")
+    paths = told.mapInArrow(_shared_paths(k), "gram long, share int, id long, row int, at int, edges array<long>")
+    # The paths of one share of a minimiser meet in one task, which sorts them on disk if it has to.
+    edges = paths.repartition("gram", "share").select("gram", "share", "id", "row", "at", F.posexplode("edges").alias("step", "edge"))
+    beside = Window.partitionBy("gram", "share", "edge")
+    # ``dealt`` is asked of the window, so that both uses read the same exchange.
+    met = edges.withColumn("source", F.min("id").over(beside)).withColumn("dealt", F.max("share").over(beside) >= 0)
     removable = (F.col("source") < F.col("id")) & (F.col("source") < NAMELESS)
-    gone = edges.withColumn("source", source).where(removable).groupBy("id").agg(F.collect_list(F.shiftleft(F.col("row").cast("long"), 32) + F.col("at") + F.col("step")).alias("ats"))
+    place = ("id", F.shiftleft(F.col("row").cast("long"), 32) + F.col("at") + F.col("step"))
+    first = met.where(removable).select(place[0], place[1].alias("at"))
+    # The rest of a dealt edge is one document a share, and rows without an id where a share has nothing else.
+    rest = met.where(F.col("dealt") & ~removable).withColumn("source", F.min("id").over(Window.partitionBy("gram", "edge")))
+    gone = first.unionAll(rest.where(removable).select(place[0], place[1].alias("at"))).groupBy("id").agg(F.collect_list("at").alias("ats"))
     # Rows that share an id are told apart by a hash of their texts, above the position; joined by id alone, the texts are not shuffled again.
     kept = rows.join(gone, "id", "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "text", "ats", F.hash("text").alias("row"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + (", kept_text string" if with_text else "")

@@ -56,8 +56,9 @@ def rows():
     return texts()
 
 
-def test_substrings(spark, rows):
-    got = by_id(substring_dedup(frame(spark, rows), with_text=True))
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_substrings(spark, rows, hot):
+    got = by_id(substring_dedup(frame(spark, rows), with_text=True, hot=hot))
     first: dict[tuple, tuple] = {}
     split = [(i, WORD.findall(t or "")) for i, t in rows]
     for i, w in split:
