@@ -8,7 +8,9 @@ Sorting every suffix of a corpus together does not shard. Here the corpus is sha
    go to the shard of that minimiser; equal pieces are counted and sent once from each batch.
 3. Each shard sorts the suffixes of its distinct pieces by induced sorting and takes the permuted common
    prefixes: a window starts elsewhere too if its prefix with a neighbour is long enough.
-4. The spans that repeat are joined to the pieces' uses, which may be skewed, and so to the documents.
+4. A minimiser of many pieces is dealt into shares by a hash of the piece. Each share is sorted like a shard and
+   also names the distinct windows of its pieces by a 128-bit hash; what is named by two shares repeats as well.
+5. The spans that repeat are joined to the pieces' uses, which may be skewed, and so to the documents.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molquarry.llm.common import record_batch
 from molquarry.llm.rolling import _power_tables, mixed, slices, sliding_min
 from molquarry.llm.suffixes import repeated
 
-#: Bytes of the grams that minimisers are taken from; bytes whose suffixes are sorted together, unless one minimiser has more.
+#: Bytes of the grams that minimisers are taken from; bytes whose suffixes are sorted together, unless one share has more.
 GRAM, SHARD = 32, 1 << 20
+#: Pieces of one minimiser that a share takes, on average.
+HOT = 4096
 _U = np.uint64
 
 
@@ -72,7 +76,7 @@ def _minimisers(width: int):
     return found
 
 
-_PIECES = {"gram": pa.int64(), "key": pa.binary(), "n": pa.int64(), "piece": pa.binary()}
+_PIECES = {"gram": pa.int64(), "share": pa.int32(), "key": pa.binary(), "n": pa.int64(), "piece": pa.binary()}
 _USES = {"key": pa.binary(), "id": pa.int64(), "row": pa.int32(), "start": pa.int64()}
 
 
@@ -81,7 +85,7 @@ def _shared_pieces(width: int, uses: bool):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, grams, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()
+            ids, texts, grams, dealt, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), batch.column(4).to_pylist()
             distinct: dict[bytes, list] = {}
             for a, b, data, offsets in slices(texts):
                 least, start, text, _ = _windows(data, offsets, width)
@@ -93,13 +97,15 @@ def _shared_pieces(width: int, uses: bool):
                 least, start, text = least[keep], start[keep], text[keep]
                 first, last = _pieces(least, start, text)
                 raw, out = data.tobytes(), []
+                hot = {x["gram"]: x["shares"] for i in range(a, b) for x in dealt[i].as_py()}
                 for g, p, q, t in zip(least[first].tolist(), start[first].tolist(), start[last].tolist(), text[first].tolist(), strict=True):
                     piece = raw[p : q + width]
                     key = hashlib.blake2b(piece, digest_size=16).digest()
                     if uses:
                         out.append((key, ids[a + t], rows[a + t], p - int(offsets[t])))
                     else:
-                        distinct.setdefault(key, [g, key, 0, piece])[2] += 1
+                        share = int.from_bytes(key[:8]) % hot[g] if g in hot else -1
+                        distinct.setdefault(key, [g, share, key, 0, piece])[3] += 1
                 if uses:
                     yield record_batch(out, _USES)
             if not uses:
@@ -108,37 +114,46 @@ def _shared_pieces(width: int, uses: bool):
     return found
 
 
-_MARKS = {"key": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+_MARKS = {"key": pa.binary(), "a": pa.int64(), "b": pa.int64(), "window": pa.binary()}
 
 
 def _sorted_shards(width: int):
-    def marks(pieces: dict[bytes, bytes], count: dict[bytes, int]) -> pa.RecordBatch:
-        """Spans of each piece that repeat; a piece that is found twice repeats as a whole."""
-        out = [(k, 0, len(x)) for k, x in pieces.items() if count[k] > 1]
+    def marks(pieces: dict[bytes, bytes], count: dict[bytes, int], dealt: set[bytes]) -> pa.RecordBatch:
+        """Spans of each piece that repeat, and the distinct windows of dealt pieces; a piece found twice repeats as a whole."""
+        out = [(k, 0, len(x), None) for k, x in pieces.items() if count[k] > 1]
+        named: set[bytes] = set()
         for (k, x), found in zip(pieces.items(), repeated(list(pieces.values()), width), strict=True):
             if count[k] == 1:
                 mark = np.concatenate([[False], found, [False]])
                 first, last = np.flatnonzero(~mark[:-1] & mark[1:]), np.flatnonzero(mark[:-1] & ~mark[1:])
-                out += [(k, p, q - 1 + width) for p, q in zip(first.tolist(), last.tolist(), strict=True)]
+                out += [(k, p, q - 1 + width, None) for p, q in zip(first.tolist(), last.tolist(), strict=True)]
+            for p in range(len(x) - width + 1) if k in dealt else ():
+                window = hashlib.blake2b(x[p : p + width], digest_size=16).digest()
+                if window not in named:
+                    named.add(window)
+                    out.append((k, p, p + width, window))
         return record_batch(out, _MARKS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[bytes, bytes] = {}
         count: dict[bytes, int] = {}
+        dealt: set[bytes] = set()
         size, now = 0, None
         for batch in batches:
-            for gram, key, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gram != now:
+            for gram, share, key, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (gram, share) != now:
                     if size >= SHARD:
-                        yield marks(pieces, count)
-                        pieces, count, size = {}, {}, 0
-                    now = gram
+                        yield marks(pieces, count, dealt)
+                        pieces, count, dealt, size = {}, {}, set(), 0
+                    now = gram, share
                 if key not in pieces:
                     pieces[key] = piece
                     size += len(piece)
+                    if share >= 0:
+                        dealt.add(key)
                 count[key] = count.get(key, 0) + n
         if pieces:
-            yield marks(pieces, count)
+            yield marks(pieces, count, dealt)
 
     return found
 
@@ -170,7 +185,7 @@ def _removed(with_bytes: bool):
     return found
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept.
 
     Each byte of the UTF-8 text goes that is covered by a ``width``-byte string which also starts anywhere
@@ -178,18 +193,29 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     are worked on whole, one at a time. Rows that share an id, or have none, are told apart by their texts;
     repeated rows are strings that start elsewhere, so their long texts go. Among equal strings there is no
     first, and so no tie. An empty table gives no rows; other columns, whatever their names, are not looked at.
+    Minimisers of more than ``hot`` pieces are dealt into shares.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     # Rows without an id go by a hash of their texts, so that they don't meet as one group.
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)).alias("id"), text.alias("text"), docs[id_col].isNull().alias("nameless"))
     grams = rows.select("id", "text").mapInArrow(_minimisers(width), "gram long, id long, times long")
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).where("n > 1 or times > 1").select("gram")
-    lists = grams.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
+    counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).where("n > 1 or times > 1")
+    shared = counted.select("gram", F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).alias("shares"))
+    dealt = F.when(F.col("shares").isNotNull(), F.struct("gram", "shares"))
+    lists = grams.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"), F.collect_set(dealt).alias("dealt"))
     # The unused last column keeps this exchange of the texts the same as that of the last join, so that it runs once.
-    shared_rows = rows.join(lists, "id").select("id", "text", "grams", F.hash("text").alias("row"), "nameless")
+    shared_rows = rows.join(lists, "id").select("id", "text", "grams", "dealt", F.hash("text").alias("row"), "nameless")
     # Only distinct pieces of each batch go to the shards; a passage that many documents share is combined before the shuffle.
-    pieces = shared_rows.mapInArrow(_shared_pieces(width, False), "gram long, key binary, n long, piece binary")
-    marks = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_shards(width), "key binary, a long, b long")
+    pieces = shared_rows.mapInArrow(_shared_pieces(width, False), "gram long, share int, key binary, n long, piece binary")
+    dealt_out = pieces.repartition("gram", "share").sortWithinPartitions("gram", "share")
+    told = dealt_out.mapInArrow(_sorted_shards(width), "key binary, a long, b long, window binary")
+    # Spans stay, and so do windows that several shares name, at most one row for each share; a single pass, as two would sort the shards twice.
+    named = F.count("window").over(Window.partitionBy(F.coalesce("window", "key")))
+    met = told.withColumn("n", named).where("window is null or n > 1").withColumn("span", F.when(F.col("window").isNull(), F.col("a")))
+    # Consecutive windows of a piece become one span.
+    place = F.row_number().over(Window.partitionBy("key", F.col("window").isNull()).orderBy("a"))
+    runs = met.withColumn("run", F.when(F.col("window").isNotNull(), F.col("a") - place))
+    marks = runs.groupBy("key", "span", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("key", "a", "b")
     uses = shared_rows.mapInArrow(_shared_pieces(width, True), "key binary, id long, row int, start long")
     spans = uses.join(marks, "key").select("id", "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     gone = spans.groupBy("id").agg(F.collect_list(F.struct("row", "a", "b")).alias("spans"))

@@ -93,6 +93,31 @@ def test_suffixes(spark, rows, width):
     assert total > 1000
 
 
+def test_suffixes_of_hot_minimisers(spark, monkeypatch):
+    """A minimiser of many pieces in shares: copies that meet in one share, in several, and in none."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, longer = some(60), some(150)
+    made = [some(70) + common + some(70) for _ in range(40)] + [some(9) + longer + some(9) for _ in range(20)]
+    made += [some(k) + made[k][20:170] + some(12) for k in range(12)] + ["ab" * 200, "é" + "ab" * 150]
+    rows = [(k, t) for k, t in enumerate(made)]
+    monkeypatch.setattr("molquarry.llm.suffix_dedup.SHARD", 1)
+    width = 100
+    counts = Counter(t.encode()[p : p + width] for _, t in rows for p in range(len(t.encode()) - width + 1))
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - width + 1):
+            if counts[b[p : p + width]] > 1:
+                gone[p : p + width] = b"\1" * width
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert sum(w[2] for w in want) > 4000
+    for hot in (1, 5, 1000):
+        assert sorted(map(tuple, suffix_dedup(frame(spark, rows), width, hot=hot).collect())) == want
+
+
 def test_suffix_arrays():
     import numpy as np
 
