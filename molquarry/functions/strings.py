@@ -30,8 +30,13 @@ def _counts(d: Dialect) -> dict[str, str]:
         "SmilesRingClosureCount": d.matches("s", "[0-9]"),
     }
     # An oxygen between a letter or ] and a letter other than H or [; neighbours are looked at, not consumed.
-    inner = lambda i: f"substr(s, {i}, 1) = 'O' AND {d.like(f'substr(s, {i} - 1, 1)', '[A-Za-z\\]]')} AND {d.like(f'substr(s, {i} + 1, 1)', '[A-GI-Za-z\\[]')}"
-    out["SmilesEtherCount"] = d.matches("s", r"(?<=[A-Za-z\]])O(?=[A-GI-Za-z\[])") if d.name == "spark" else d.size(d.keep("range(2, length(s))", inner, "i"))
+    if d.name == "spark":
+        out["SmilesEtherCount"] = d.matches("s", r"(?<=[A-Za-z\]])O(?=[A-GI-Za-z\[])")
+    else:
+        # Without looking around: every O but those whose neighbour before, or after, doesn't fit. A neighbour of two is doubled.
+        apart = "regexp_replace(s, '([^A-Za-z\\[\\]])', '\\1\\1', 'g')"
+        before, after = r"(?:^|[^A-Za-z\]])", r"(?:[^A-GI-Za-z\[]|$)"
+        out["SmilesEtherCount"] = f"{d.count('s', 'O')} - {d.matches('s', before + 'O')} - {d.matches('s', 'O' + after)} + {d.matches(apart, before + 'O' + after)}"
     return out
 
 

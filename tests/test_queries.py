@@ -1,5 +1,8 @@
+import random
+import re
 from itertools import accumulate
 
+import duckdb
 import pytest
 
 from molquarry.queries import ORACLES, QUERIES
@@ -16,6 +19,17 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_sql_of_ethers_looks_at_both_neighbours():
+    rng = random.Random(1)
+    rows = [(k, "".join(rng.choice("OOOOHC1]([\né-") for _ in range(rng.randint(0, 12)))) for k in range(1000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = dict(con.execute(f"SELECT doc_id, SmilesEtherCount FROM ({ORACLES['string_counts']})").fetchall())
+    assert got == {k: len(re.findall(r"(?<=[A-Za-z\]])O(?=[A-GI-Za-z\[])", s)) for k, s in rows}
+    assert sum(got.values()) > 100
+
+
 def test_scans_of_all_documents(spark):
     step = lambda s: list(accumulate((c == "(") - (c == ")") for c in s))
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
