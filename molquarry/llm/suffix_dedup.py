@@ -31,6 +31,8 @@ from molquarry.llm.suffixes import repeated
 GRAM, SHARD = 32, 1 << 20
 #: Pieces of one minimiser that a share takes, on average.
 HOT = 4096
+#: Rows of marks that a task holds before it hands them on.
+ROWS = 20_000
 _U = np.uint64
 
 
@@ -118,7 +120,7 @@ _MARKS = {"key": pa.binary(), "a": pa.int64(), "b": pa.int64(), "window": pa.bin
 
 
 def _sorted_shards(width: int):
-    def marks(pieces: dict[bytes, bytes], count: dict[bytes, int], dealt: set[bytes]) -> pa.RecordBatch:
+    def marks(pieces: dict[bytes, bytes], count: dict[bytes, int], dealt: set[bytes]) -> Iterator[pa.RecordBatch]:
         """Spans of each piece that repeat, and the distinct windows of dealt pieces; a piece found twice repeats as a whole."""
         out = [(k, 0, len(x), None) for k, x in pieces.items() if count[k] > 1]
         named: set[bytes] = set()
@@ -129,10 +131,16 @@ def _sorted_shards(width: int):
                 out += [(k, p, q - 1 + width, None) for p, q in zip(first.tolist(), last.tolist(), strict=True)]
             for p in range(len(x) - width + 1) if k in dealt else ():
                 window = hashlib.blake2b(x[p : p + width], digest_size=16).digest()
-                if window not in named:
+                # Only a window that starts elsewhere in these pieces can have been named before.
+                if found[p]:
+                    if window in named:
+                        continue
                     named.add(window)
-                    out.append((k, p, p + width, window))
-        return record_batch(out, _MARKS)
+                out.append((k, p, p + width, window))
+            if len(out) > ROWS:
+                yield record_batch(out, _MARKS)
+                out = []
+        yield record_batch(out, _MARKS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[bytes, bytes] = {}
@@ -143,7 +151,7 @@ def _sorted_shards(width: int):
             for gram, share, key, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (gram, share) != now:
                     if size >= SHARD:
-                        yield marks(pieces, count, dealt)
+                        yield from marks(pieces, count, dealt)
                         pieces, count, dealt, size = {}, {}, set(), 0
                     now = gram, share
                 if key not in pieces:
@@ -153,7 +161,7 @@ def _sorted_shards(width: int):
                         dealt.add(key)
                 count[key] = count.get(key, 0) + n
         if pieces:
-            yield marks(pieces, count, dealt)
+            yield from marks(pieces, count, dealt)
 
     return found
 

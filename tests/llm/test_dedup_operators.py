@@ -102,6 +102,7 @@ def test_suffixes_of_hot_minimisers(spark, monkeypatch):
     made += [some(k) + made[k][20:170] + some(12) for k in range(12)] + ["ab" * 200, "é" + "ab" * 150]
     rows = [(k, t) for k, t in enumerate(made)]
     monkeypatch.setattr("molquarry.llm.suffix_dedup.SHARD", 1)
+    monkeypatch.setattr("molquarry.llm.suffix_dedup.ROWS", 7)
     width = 100
     counts = Counter(t.encode()[p : p + width] for _, t in rows for p in range(len(t.encode()) - width + 1))
     want = []
