@@ -114,3 +114,45 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
 }
+
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _clusters(k: int, dim: int, rounds: int) -> str:
+    """The rounds of clustering, one after the other; centroids are rows (c, m)."""
+    assigned = lambda r: f"SELECT vec_id, x, arg_min(c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * 1000 + c) AS cluster FROM v, c{r} GROUP BY vec_id, x"
+    steps = "".join(f"""
+        a{r} AS MATERIALIZED ({assigned(r)}),
+        s{r} AS (SELECT cluster, j, floor(sum(x[j]) / count(*)) AS m FROM a{r}, (SELECT unnest(range(1, {dim + 1})) AS j) GROUP BY cluster, j),
+        c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT cluster, list(m ORDER BY j) AS m FROM s{r} GROUP BY cluster) n ON n.cluster = c),""" for r in range(rounds))
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE len(embedding) = {dim} AND {_WHOLE}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x AS m FROM v QUALIFY c < {k}),{steps}
+        last AS MATERIALIZED ({assigned(rounds)}),
+        told AS (SELECT vec_id, cluster, m, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM last JOIN c{rounds} ON c = cluster)
+        SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(list_transform(m, lambda y: y::BIGINT::VARCHAR), ',')) AS centroid_sha256
+        FROM told"""
+
+
+ORACLES["op11_centroid_clusters"] = _clusters(40, 64, 5)
+#: The tables' pages all have their main text in one article element.
+ORACLES["op12_html_text"] = r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+    b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '</?[a-z0-9]+>', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, url, replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·') AS t FROM b),
+    d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM c)
+    SELECT page_id, url, text, length(text) AS n_chars FROM d"""
+ORACLES["op13_hard_negatives"] = f"""
+    WITH v AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+        FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}
+    ), s AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+    ), p AS (
+        SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+    )
+    SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INT AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) QUALIFY row_number() OVER w <= 10"""
