@@ -15,7 +15,6 @@ from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 from molquarry.functions.family import add_families
 
 TEXT_FAMILIES = (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, strings.STRING_DOCUMENTED, ELECTRONEGATIVITY, ACIDITY, tokens.TOKEN_CLOSED)
-CATEGORIES = {"bonds": "BondStatistics", "graph": "GraphTopology", "radius": "AtomicRadius", "autocorrelation": "Autocorrelation", "weight": "WeightFraction", "library": "Library", "vectors": "Library", "topology": "TopologyScore"}
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ def entries() -> dict[str, Entry]:
         found.setdefault(n, Entry(n, "TokenInteraction", "planes"))
     for f, names in molecules.NAMES.items():
         for n in names:
-            found.setdefault(n, Entry(n, CATEGORIES[f], "molecule"))
+            found.setdefault(n, Entry(n, molecules.FAMILIES[f].category, "molecule"))
     for n in (*bits.NAMES, *bits.DOCUMENTED):
         found.setdefault(n, Entry(n, "Bits", "bits"))
     return found | {n: e for n, (e, _) in _registered.items()}

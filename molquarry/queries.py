@@ -2,62 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry import catalog
-from molquarry.functions import bits, elements, molecules, strings
+from molquarry import catalog, molecule_queries
+from molquarry.functions import bits, strings
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 from molquarry.functions.family import Family
-from molquarry.functions.smiles import Molecule, SmilesError
 from molquarry.functions.tokens import TOKEN_CLOSED, plane_statistics
+from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, molecule_table, rounded, rounded_sql
 from molquarry.operators.profile import profile
 from molquarry.streaming.streams import windowed_profile
 
-#: Decimals of doubles in query results: what engines that sum in another order differ by is less, and hardly any value lies half-way.
-DIGITS = 12
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: Molecules of many kinds, and texts that are none: chains, rings, fused and spiro rings, halides, charges, salts.
-SMILES = (
-    "C", "CCO", "CC(=O)O", "c1ccccc1", "Cc1ccccc1", "Oc1ccccc1", "Nc1ccccc1", "c1ccncc1", "c1c[nH]cn1", "C1CC1", "C1CCC2(CC1)CCCC2", "c1ccc2ccccc2c1", "c1ccc2[nH]ccc2c1", "ClC(Cl)(Cl)Cl", "CCI", "N[C@@H](C)C(=O)[O-]", "[Na+].[Cl-]",
-    "C%10CCCC%10", "F/C=C/F", "CC#N", "C#C", "CC(=O)Nc1ccc(O)cc1", "CC(=O)Oc1ccccc1C(=O)O", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "CC(C)Cc1ccc(cc1)C(C)C(=O)O", "O=S(=O)(N)c1ccc(N)cc1", "OP(=O)(O)O", "C1CC2CCC1C2", "FC(F)(F)c1ccccc1", "CN(C)C",
-    "C1=CC=CC=C1", "O=C1CCC(=O)N1", "S1C=CC=C1", "BrCCBr", "CSC", "CC(C)(C)C", "[NH4+]", "C1CCCCCCC1", "OC[C@H]1OC(O)[C@H](O)[C@@H](O)[C@@H]1O", "[O-][N+](=O)c1ccccc1", "", "C1", "not a smiles",
-)
-
-
-def molecule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, s) for k, s in enumerate(SMILES, 1)], "mol_id long, smiles string")
-
-
-_MOLECULE_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(SMILES, 1)) + ") AS v(mol_id, smiles))"
-
-
-def _rounded(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*[c for c in df.columns if c not in names], *[(F.round(n, DIGITS) + F.lit(0.0)).alias(n) for n in names])
-
-
-def _rounded_sql(sql: str, keys: Sequence[str], names: Sequence[str]) -> str:
-    return f"SELECT {', '.join([*keys, *(f'round({n}::DOUBLE, {DIGITS}) + 0.0 AS {n}' for n in names)])} FROM ({sql})"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(molecule_queries.QUERIES)
+ORACLES: dict[str, str] = dict(molecule_queries.ORACLES)
 
 
 def text_query(family: Family, name: str, table: str, key: str, text: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, F.col(text).alias("__text"))
-        return _rounded(family.add_to(rows, F.col("__text")).drop("__text"), family.names())
+        return rounded(family.add_to(rows, F.col("__text")).drop("__text"), family.names())
 
-    QUERIES[name], ORACLES[name] = query, _rounded_sql(family.sql(table, [key], text), [key], family.names())
+    QUERIES[name], ORACLES[name] = query, rounded_sql(family.sql(table, [key], text), [key], family.names())
 
 
 def molecule_text_query(family: Family) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(family.add_to(molecule_table(spark), F.col("smiles")).drop("smiles"), family.names())
+        return rounded(family.add_to(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles"), family.names())
 
-    QUERIES[f"{family.name}_molecules"], ORACLES[f"{family.name}_molecules"] = query, _rounded_sql(family.sql(_MOLECULE_SQL, ["mol_id"], "smiles"), ["mol_id"], family.names())
+    QUERIES[f"{family.name}_molecules"], ORACLES[f"{family.name}_molecules"] = query, rounded_sql(family.sql(MOLECULE_SQL, ["mol_id"], "smiles"), ["mol_id"], family.names())
 
 
 for _family in (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, strings.STRING_DOCUMENTED, ELECTRONEGATIVITY, ACIDITY):
@@ -80,12 +56,12 @@ def token_planes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_planes_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plane_statistics(molecule_table(spark), F.col("smiles")).drop("smiles")
+    return plane_statistics(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles")
 
 
 @query
 def string_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strings.add_scans(molecule_table(spark), F.col("smiles")).drop("smiles")
+    return strings.add_scans(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles")
 
 
 @query
@@ -94,227 +70,6 @@ def string_scans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.add_scans(rows, F.col("__text")).drop("__text")
 
 
-def _molecule_query(family: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = molecules.add_molecules(molecule_table(spark), F.col("smiles"), molecules.NAMES[family]).drop("smiles")
-        return _rounded(rows, molecules.NAMES[family])
-
-    QUERIES[f"molecule_{family}"] = run
-
-
-for _name in molecules.NAMES:
-    _molecule_query(_name)
-
-#: Descriptors that SQL works out from tables of atoms and bonds.
-_BOND_NAMES = ("BondCount", "SingleBondCount", "DoubleBondCount", "TripleBondCount", "AromaticBondCount", "MaxBondOrder", "MinBondOrder", "UniqueBondOrderCount", "MostCommonBondOrder", "FractionCCBonds", "FractionRingBonds", "FractionBondsToHeteroatoms", "FractionBondsBetweenHeteroatoms", "DoubleToSingleBondRatio", "ZagrebIndexM2", "RandicIndex", "MeanBondDegreeSum")
-_ATOM_NAMES = ("NumAtoms", "NumHeavyAtomsGraph", "MinAtomDegree", "MaxAtomDegree", "MeanAtomDegree", "VarianceAtomDegree", "ZagrebIndexM1", "FractionAtomsInRings", "NumTerminalNodes", "NumBranchingNodes", "KierAlpha")
-_PATH_NAMES = ("WienerIndex", "HararyIndex", "GraphDiameter", "GraphRadius", "MeanAtomEccentricity", "ATSdz1", "ATSdz2", "ATSdd3")
-
-
-def _graph_query(name: str, names: tuple[str, ...]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = molecules.add_molecules(molecule_table(spark), F.col("smiles"), names).where("parse_ok")
-        return rows.select("mol_id", *[(F.round(n, DIGITS) + F.lit(0.0)).alias(n) for n in names])
-
-    QUERIES[name] = run
-
-
-def _graph_values() -> tuple[str, str]:
-    """Atoms and bonds of the molecules as SQL; what SQL computes from them is independent of the library's formulas."""
-    atoms, bonds = [], []
-    for k, s in enumerate(SMILES, 1):
-        try:
-            m = Molecule(s)
-        except SmilesError:
-            continue
-        atoms += [f"({k}, {i}, {a.z}, {a.degree}, {a.in_ring})" for i, a in enumerate(m.atoms)]
-        bonds += [f"({k}, {b.a}, {b.b}, {b.order}::DOUBLE, {b.rings})" for b in m.bonds]
-    return f"atoms(mol_id, i, z, degree, in_ring) AS (VALUES {', '.join(atoms)})", f"bonds(mol_id, a, b, ord, rings) AS (VALUES {', '.join(bonds)})"
-
-
-def _graph_oracles() -> None:
-    atoms, bonds = _graph_values()
-    r = lambda e, n: f"round(CAST({e} AS DOUBLE), {DIGITS}) + 0.0 AS {n}"
-    share = lambda c: f"coalesce(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) FILTER (WHERE ord IS NOT NULL), 0)"
-    count = lambda o: f"count(*) FILTER (WHERE ord = {o})"
-    exprs = ("count(ord)", count(1), count(2), count(3), count(1.5), "coalesce(max(ord), 0)", "coalesce(min(ord), 0)", "count(DISTINCT ord)", "coalesce(max(common), 0)", share("za = 6 AND zb = 6"), share("rings > 0"), share("za NOT IN (1, 6) OR zb NOT IN (1, 6)"), share("za NOT IN (1, 6) AND zb NOT IN (1, 6)"),
-             f"CASE WHEN {count(1)} = 0 THEN 0 ELSE {count(2)} / {count(1)} END", "coalesce(sum(da * db), 0)", "coalesce(sum(1 / sqrt(da * db)), 0)", "coalesce(avg(da + db), 0)")
-    ORACLES["graph_bonds"] = f"""
-        WITH {atoms}, {bonds}, tally AS (SELECT mol_id, ord, count(*) AS c FROM bonds GROUP BY ALL), modes AS (SELECT mol_id, arg_min(ord, (-c) * 1000 + ord) AS common FROM tally GROUP BY mol_id),
-        j AS (SELECT m.mol_id, ord, rings, x.z AS za, y.z AS zb, x.degree AS da, y.degree AS db, common FROM (SELECT DISTINCT mol_id FROM atoms) m LEFT JOIN bonds USING (mol_id) LEFT JOIN modes USING (mol_id)
-              LEFT JOIN atoms x ON x.mol_id = m.mol_id AND x.i = a LEFT JOIN atoms y ON y.mol_id = m.mol_id AND y.i = b)
-        SELECT mol_id, {', '.join(r(e, n) for e, n in zip(exprs, _BOND_NAMES, strict=True))} FROM j GROUP BY mol_id"""
-    exprs = ("count(*)", "count(*) FILTER (WHERE z > 1)", "min(degree)", "max(degree)", "avg(degree)", "var_pop(degree)", "sum(degree * degree)", "avg(CASE WHEN in_ring THEN 1.0 ELSE 0.0 END)", "count(*) FILTER (WHERE z > 1 AND degree = 1)", "count(*) FILTER (WHERE z > 1 AND degree > 2)",
-             "sum(CASE z WHEN 6 THEN 0.05 WHEN 7 THEN 0.15 WHEN 8 THEN 0.2 WHEN 16 THEN 0.25 ELSE 0.1 END)")
-    ORACLES["graph_atoms"] = f"WITH {atoms} SELECT mol_id, {', '.join(r(e, n) for e, n in zip(exprs, _ATOM_NAMES, strict=True))} FROM atoms GROUP BY mol_id"
-    ats = lambda p, lag: f"coalesce(avg((x{p} - m{p}) * (y{p} - m{p})) FILTER (WHERE d = {lag} AND i < j), 0)"
-    exprs = ("coalesce(sum(d) FILTER (WHERE i < j), 0)", "coalesce(sum(1.0 / d) FILTER (WHERE i < j), 0)", "coalesce(max(d), 0)", "coalesce(min(e) FILTER (WHERE e > 0), 0)", "coalesce(max(mean_e), 0)", ats("z", 1), ats("z", 2), ats("d", 3))
-    ORACLES["graph_paths"] = f"""
-        WITH RECURSIVE {atoms}, {bonds}, step AS (SELECT mol_id, a, b FROM bonds UNION ALL SELECT mol_id, b, a FROM bonds),
-        walk(mol_id, i, j, d) AS (SELECT mol_id, i, i, 0 FROM atoms UNION SELECT w.mol_id, i, s.b, d + 1 FROM walk w JOIN step s ON s.mol_id = w.mol_id AND s.a = w.j WHERE d < 14),
-        near AS (SELECT mol_id, i, j, min(d) AS d FROM walk GROUP BY ALL), ecc AS (SELECT mol_id, i, max(d) AS e FROM near GROUP BY ALL), mean_ecc AS (SELECT mol_id, avg(e) AS mean_e FROM ecc GROUP BY mol_id),
-        means AS (SELECT mol_id, avg(z) AS mz, avg(degree) AS md FROM atoms GROUP BY mol_id),
-        p AS (SELECT near.mol_id, near.i, near.j, nullif(d, 0) AS d, e, mean_e, mz, md, x.z AS xz, y.z AS yz, x.degree AS xd, y.degree AS yd FROM near JOIN ecc USING (mol_id, i) JOIN mean_ecc USING (mol_id) JOIN means USING (mol_id)
-              JOIN atoms x ON x.mol_id = near.mol_id AND x.i = near.i JOIN atoms y ON y.mol_id = near.mol_id AND y.i = near.j)
-        SELECT mol_id, {', '.join(r(e, n) for e, n in zip(exprs, _PATH_NAMES, strict=True))} FROM p GROUP BY mol_id"""
-
-
-for _name, _names in (("graph_bonds", _BOND_NAMES), ("graph_atoms", _ATOM_NAMES), ("graph_paths", _PATH_NAMES)):
-    _graph_query(_name, _names)
-_graph_oracles()
-
-
-def _tables() -> str:
-    """Elements, atoms, bonds and the steps around rings of the molecules as SQL; what SQL computes from them is independent of the formulas."""
-    sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    given = lambda rows: ", ".join("(" + ", ".join(map(sql, r)) + ")" for r in rows)
-    scales = (elements.MASS, elements.PAULING, elements.COVALENT_RADIUS, elements.VDW_RADIUS, elements.POLARIZABILITY, elements.IONIZATION)
-    known = sorted({z for t in scales for z in t} | elements.HALOGENS)
-    element = [(z, *(float(t.get(z, 0.0)) for t in scales), elements.group(z), elements.period(z), z in elements.HALOGENS, z in elements.NON_METALS) for z in known]
-    atoms, bonds, around = [], [], []
-    for k, s in enumerate(SMILES, 1):
-        try:
-            m = Molecule(s)
-        except SmilesError:
-            continue
-        atoms += [(k, i, a.z, a.degree, a.in_ring, a.aromatic, a.charge, a.hybrid, a.valence, a.hydrogens, a.chiral) for i, a in enumerate(m.atoms)]
-        bonds += [(k, b.a, b.b, b.order, b.rings, m.rotatable(b)) for b in m.bonds]
-        around += [(k, r, ring[j - 1], ring[j]) for r, ring in enumerate(m.rings) for j in range(len(ring))]
-    return f"""elements(z, mass, pauling, r_cov, r_vdw, pol, ion, grp, period, halogen, non_metal) AS (VALUES {given(element)}),
-        plain(mol_id, i, z, degree, in_ring, aromatic, charge, hybrid, valence, hydrogens, chiral) AS (VALUES {given(atoms)}),
-        bonds(mol_id, a, b, ord, rings, rotatable) AS (SELECT col0, col1, col2, col3::DOUBLE, col4, col5 FROM (VALUES {given(bonds)})),
-        around(mol_id, ring, a, b) AS (VALUES {given(around)}),
-        atoms AS (SELECT plain.*, coalesce(mass, 0) AS mass, coalesce(pauling, 0) AS en, coalesce(r_cov, 0) AS r_cov, coalesce(r_vdw, 0) AS r_vdw, coalesce(pol, 0) AS pol, coalesce(ion, 0) AS ion,
-                  coalesce(grp, 0) AS grp, coalesce(period, 0) AS period, coalesce(halogen, false) AS halogen, coalesce(non_metal, plain.z IN (51, 52, 53, 54)) AS non_metal FROM plain LEFT JOIN elements USING (z)),
-        molecules AS (SELECT * FROM {_MOLECULE_SQL}), good AS (SELECT DISTINCT mol_id FROM atoms)"""
-
-
-def _molecule_oracle(family: str, steps: str, by_name: dict[str, str], source: str) -> None:
-    """SQL of a family: expressions over the rows of each molecule; texts that are no molecule have nulls."""
-    names = molecules.NAMES[family]
-    assert set(names) == set(by_name), set(names) ^ set(by_name)
-    values = ", ".join(f"({by_name[n]})::DOUBLE AS {n}" for n in names)
-    body = f"WITH RECURSIVE {_tables()}{steps}, v AS (SELECT mol_id, {values} FROM {source} GROUP BY mol_id) SELECT mol_id, good.mol_id IS NOT NULL AS parse_ok, {', '.join(names)} FROM molecules LEFT JOIN good USING (mol_id) LEFT JOIN v USING (mol_id)"
-    ORACLES[f"molecule_{family}"] = _rounded_sql(body, ["mol_id", "parse_ok"], names)
-
-
-_RATIO = "CASE WHEN ({1}) = 0 THEN 0 ELSE ({0}) / ({1}) END"
-#: Pairs of atoms and the number of bonds between them.
-_WALKS = """, step AS (SELECT mol_id, a, b FROM bonds UNION ALL SELECT mol_id, b, a FROM bonds),
-    walk(mol_id, i, j, d) AS (SELECT mol_id, i, i, 0 FROM atoms UNION SELECT w.mol_id, i, s.b, d + 1 FROM walk w JOIN step s ON s.mol_id = w.mol_id AND s.a = w.j WHERE d < 14),
-    near AS (SELECT mol_id, i, j, min(d) AS d FROM walk GROUP BY ALL)"""
-
-
-def _bond_oracle() -> None:
-    count, share = (lambda c: f"count(*) FILTER (WHERE {c})"), (lambda c: _RATIO.format(f"count(*) FILTER (WHERE {c})", "count(ord)"))
-    either, both = (lambda c: f"({c.format('x')} OR {c.format('y')})"), (lambda c: f"({c.format('x')} AND {c.format('y')})")
-    order = {"Single": 1, "Double": 2, "Triple": 3, "Aromatic": 1.5}
-    out = {f"{k}BondCount": count(f"ord = {v}") for k, v in order.items()} | {"BondCount": "count(ord)", "RotatableBondCount": count("rotatable"), "FractionRotatableBonds": share("rotatable"), "AromaticBondFraction": share("ord = 1.5")}
-    out |= {"DoubleToSingleBondRatio": _RATIO.format(count("ord = 2"), count("ord = 1")), "TripleToSingleBondRatio": _RATIO.format(count("ord = 3"), count("ord = 1"))}
-    out |= {"MaxBondPolarity": "coalesce(max(pol), 0)", "MinBondPolarity": "coalesce(min(pol), 0)", "MaxBondOrder": "coalesce(max(ord), 0)", "MinBondOrder": "coalesce(min(ord), 0)"}
-    out |= {"UniqueBondOrderCount": "count(DISTINCT ord)", "UniqueBondPolarityCount": "count(DISTINCT tenth)", "MostCommonBondOrder": "coalesce(max(common), 0)", "MostCommonBondPolarity": "coalesce(max(common_tenth), 0)"}
-    hetero = "({0}z NOT IN (1, 6))"
-    out |= {"FractionBondsToHeteroatoms": share(either(hetero)), "FractionBondsBetweenHeteroatoms": share(both(hetero)), "FractionCCBonds": share("xz = 6 AND yz = 6")}
-    out |= {"FractionRingBonds": share("rings > 0"), "FractionSingleRingBonds": share("rings > 0 AND ord = 1"), "FractionDoubleRingBonds": share("rings > 0 AND ord = 2")}
-    out |= {"FractionBondsWithAromaticAtom": share("xar OR yar"), "FractionBondsBothAromaticAtoms": share("xar AND yar"), "FractionBondsWithRingAtom": share("xring OR yring"), "FractionBondsBothRingAtoms": share("xring AND yring"), "FractionBondsRingToNonRing": share("xring <> yring"), "FractionBondsWithHalogen": share("xhal OR yhal")}
-    for name, h in (("Sp3", "sp3"), ("Sp2", "sp2"), ("Sp", "sp")):
-        out |= {f"FractionBondsWith{name}Atom": share(f"xh = '{h}' OR yh = '{h}'"), f"FractionBondsBoth{name}Atoms": share(f"xh = '{h}' AND yh = '{h}'")}
-    steps = """, j AS (SELECT good.mol_id, ord, rings, rotatable, x.z AS xz, y.z AS yz, x.aromatic AS xar, y.aromatic AS yar, x.in_ring AS xring, y.in_ring AS yring, x.halogen AS xhal, y.halogen AS yhal, x.hybrid AS xh, y.hybrid AS yh,
-            abs(x.en - y.en) AS pol, trunc(abs(x.en - y.en) * 10 + 0.5) / 10 AS tenth
-            FROM good LEFT JOIN bonds USING (mol_id) LEFT JOIN atoms x ON x.mol_id = good.mol_id AND x.i = a LEFT JOIN atoms y ON y.mol_id = good.mol_id AND y.i = b),
-        o AS (SELECT mol_id, arg_min(ord, (-c) * 1000 + ord) AS common FROM (SELECT mol_id, ord, count(*) AS c FROM j WHERE ord IS NOT NULL GROUP BY ALL) GROUP BY mol_id),
-        t AS (SELECT mol_id, arg_min(tenth, (-c) * 1000 + tenth) AS common_tenth FROM (SELECT mol_id, tenth, count(*) AS c FROM j WHERE ord IS NOT NULL GROUP BY ALL) GROUP BY mol_id),
-        wide AS (SELECT * FROM j LEFT JOIN o USING (mol_id) LEFT JOIN t USING (mol_id))"""
-    _molecule_oracle("bonds", steps, out, "wide")
-
-
-def _radius_oracle() -> None:
-    part = lambda c: _RATIO.format(f"coalesce(sum(r_cov) FILTER (WHERE {c}), 0)", "sum(r_cov)")
-    out = {"SumHeteroCovalentRadii": "coalesce(sum(r_cov) FILTER (WHERE z NOT IN (1, 6)), 0)", "BondingToAtomicRadiusRatio": _RATIO.format("0.85 * sum(r_cov)", "sum(mass / 10)")}
-    for name, c in (("Hetero", "z NOT IN (1, 6)"), ("Aromatic", "aromatic"), ("Ring", "in_ring")):
-        out |= {f"Fraction{name}VdwRadii": part(c), f"Fraction{name}CovalentRadii": part(c)}
-    _molecule_oracle("radius", "", out, "atoms")
-
-
-def _autocorrelation_oracle() -> None:
-    value = {"d": "degree", "e": "en", "m": "mass * 6.022e26", "p": "pol", "i": "ion * 1e18", "r": "r_cov * 1e10", "s": "valence", "v": "4.0 / 3 * pi() * (r_vdw * 1e10) ** 3", "z": "z"}
-    steps = f"""{_WALKS}, p AS (SELECT mol_id, i, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in value.items() if k not in ('i',))}, (ion * 1e18)::DOUBLE AS io FROM atoms AS t(mol_id, i, z, degree, in_ring, aromatic, charge, hybrid, valence, hydrogens, chiral, mass, en, r_cov, r_vdw, pol, ion, grp, period, halogen, non_metal)),
-        mean AS (SELECT mol_id, {', '.join(f'avg({"io" if k == "i" else k}) AS m{k}' for k in value)} FROM p GROUP BY mol_id),
-        pairs AS (SELECT mean.*, near.d AS lag, {', '.join(f'(x.{"io" if k == "i" else k} - m{k}) * (y.{"io" if k == "i" else k} - m{k}) AS q{k}' for k in value)}
-                  FROM mean LEFT JOIN near ON near.mol_id = mean.mol_id AND near.i < near.j LEFT JOIN p x ON x.mol_id = mean.mol_id AND x.i = near.i LEFT JOIN p y ON y.mol_id = mean.mol_id AND y.i = near.j)"""
-    _molecule_oracle("autocorrelation", steps, {f"ATSd{k}{lag}": f"coalesce(avg(q{k}) FILTER (WHERE lag = {lag}), 0)" for k in value for lag in range(1, 9)}, "pairs")
-
-
-def _weight_oracle() -> None:
-    flags = {
-        "HeavyAtom": "z > 1", "Carbon": "z = 6", "Hydrogen": "z = 1", "Nitrogen": "z = 7", "Oxygen": "z = 8", "Sulfur": "z = 16", "Phosphorus": "z = 15", "Boron": "z = 5", "Silicon": "z = 14", "Halogen": "halogen", "Fluorine": "z = 9", "Chlorine": "z = 17", "Bromine": "z = 35",
-        "Iodine": "z = 53", "Metal": "z > 0 AND NOT non_metal", "Aromatic": "aromatic", "Aliphatic": "NOT aromatic", "Ring": "in_ring", "NonRing": "NOT in_ring", "Heteroatom": "z NOT IN (1, 6)", "MainGroup": "grp IN (1, 2, 13, 14, 15, 16, 17, 18)",
-        "TransitionMetal": "period >= 4 AND grp BETWEEN 3 AND 12", "Sp3": "hybrid = 'sp3'", "Sp2": "hybrid = 'sp2'", "Sp": "hybrid = 'sp'", "PositiveCharge": "charge > 0", "NegativeCharge": "charge < 0", "Polar": "en > 2.5", "NonPolar": "en <= 2.5",
-        "AlkaliMetal": "grp = 1 AND z > 2", "AlkalineEarth": "grp = 2 AND z > 2", "NobleGas": "grp = 18", "BasicNitrogen": "z = 7 AND NOT aromatic AND charge = 0 AND valence = 3", "AcidicOxygen": "acid",
-    }
-    f = {k: _RATIO.format(f"coalesce(sum(w) FILTER (WHERE {c}), 0)", "sum(w)") for k, c in flags.items()}
-    c = {k: f"(count(*) FILTER (WHERE {v}) / count(*))" for k, v in flags.items()}
-    over = lambda a, b: f"(({a}) / (({b}) + 1e-6))"
-    spread = lambda *ks: f"list_stddev_pop([{', '.join(f[k] for k in ks)}])"
-    out = {f"{k}WeightFraction": v for k, v in f.items()}
-    out |= {
-        "WeightFractionDiversity": spread("Carbon", "Hydrogen", "Nitrogen", "Oxygen", "Sulfur", "Phosphorus"), "HeavyToLightWeightRatio": over(f["HeavyAtom"], f"1 - {f['HeavyAtom']}"), "AromaticToAliphaticWeightRatio": over(f["Aromatic"], f["Aliphatic"]),
-        "MetalToNonMetalWeightRatio": over(f["Metal"], f"1 - {f['Metal']}"), "PolarToNonPolarWeightRatio": over(f["Polar"], f["NonPolar"]), "SpHybridizationWeightRatio": over(f["Sp"], f"{f['Sp2']} + {f['Sp3']}"), "BasicToAcidicWeightRatio": over(f["BasicNitrogen"], f["AcidicOxygen"]),
-        "HalogenWeightDiversity": spread("Fluorine", "Chlorine", "Bromine", "Iodine"), "NonMetalToMetalWeightRatio": over(f"1 - {f['Metal']}", f["Metal"]), "SpHybridizationDominance": over(f"{f['Sp3']} + {f['Sp2']}", f["Sp"]), "RingAtomWeightRatio": over(f["Ring"], f["NonRing"]),
-        "HeteroToCarbonWeightRatio": over(f["Heteroatom"], f["Carbon"]), "MainGroupDominanceCount": over(c["MainGroup"], c["TransitionMetal"]), "PolarAtomCountRatio": over(c["Polar"], c["NonPolar"]), "ChargedAtomImbalance": f"{c['PositiveCharge']} - {c['NegativeCharge']}",
-        "SpHybridizationCountBalance": over(c["Sp"], f"{c['Sp2']} + {c['Sp3']}"), "ChargeImbalanceWeightRatio": over(f"{f['PositiveCharge']} - {f['NegativeCharge']}", f"{f['PositiveCharge']} + {f['NegativeCharge']}"),
-    }
-    steps = """, ends AS (SELECT mol_id, a, b, ord FROM bonds UNION ALL SELECT mol_id, b, a, ord FROM bonds),
-        acids AS (SELECT DISTINCT e.mol_id, e.a AS i FROM ends e JOIN atoms o ON o.mol_id = e.mol_id AND o.i = e.a AND o.z = 8 AND o.degree = 1 JOIN atoms c ON c.mol_id = e.mol_id AND c.i = e.b AND c.z = 6
-                  WHERE e.ord = 2 AND (SELECT count(*) FROM ends f JOIN atoms p ON p.mol_id = f.mol_id AND p.i = f.b WHERE f.mol_id = e.mol_id AND f.a = e.b AND p.z = 8) > 1),
-        weighed AS (SELECT atoms.*, acids.i IS NOT NULL AS acid, CASE WHEN atoms.z = 53 THEN 126.904 ELSE mass * 6.022e26 END AS w FROM atoms LEFT JOIN acids USING (mol_id, i))"""
-    _molecule_oracle("weight", steps, out, "weighed")
-
-
-def _graph_oracle() -> None:
-    """Degrees, paths and rings of each molecule, one row each, from joins and groupings of atoms, bonds and rings."""
-    r = lambda a, b: _RATIO.format(a, b)
-    out = {"NumAtoms": "n", "NumBonds": "nb", "NumHeavyAtomsGraph": "heavy", "EdgeNodeRatio": r("nb", "n"), "GraphDensity": r("2.0 * nb", "n * (n - 1)"), "WienerIndex": "wiener", "MeanWienerIndex": r("wiener", "n * (n - 1) / 2"), "HararyIndex": "harary"}
-    out |= {"GraphDiameter": "diameter", "MaxAtomEccentricity": "diameter", "GraphRadius": "radius", "MinAtomEccentricity": "radius", "MeanAtomEccentricity": "mean_ecc", "VarianceAtomEccentricity": "var_ecc", "PetitjeanIndex": r("diameter - radius", "radius")}
-    out["BalabanJIndex"] = "CASE WHEN n > 2 AND nb - n + 1 > 0 THEN (nb + 0.5) * coalesce(reach, 0) / (nb - n + 1) ELSE 0 END"
-    out |= {"MinAtomDegree": "min_d", "MaxAtomDegree": "max_d", "MeanAtomDegree": "mean_d", "VarianceAtomDegree": "var_d"}
-    for k, name in enumerate(("Zero", "One", "Two", "Three", "Four", "FivePlus")):
-        out |= {f"NumDegree{name}Atoms": f"d{k}", f"FractionDegree{name}Atoms": f"d{k} / n"}
-    out |= {"PlattIndex": "m1", "QuadraticIndex": "m1", "ZagrebIndexM1": "m1", "ZagrebIndexM2": "m2", "MeanZagrebIndexM1": "m1 / n", "MeanZagrebIndexM2": "m2 / n", "MeanBondDegreeSum": "mean_sum", "VarianceBondDegreeSum": "var_sum", "RandicIndex": "randic"}
-    kappa = lambda k: f"(CASE WHEN n > {k} THEN s * s / (n * (n - {k})) ELSE 0 END)"
-    out |= {f"KierKappa{k}": kappa(k) for k in (1, 2, 3)} | {"KierAlpha": "alpha", "KierPhi": r(f"{kappa(1)} * {kappa(3)}", f"{kappa(2)} * {kappa(2)}")}
-    out |= {"CyclomaticNumber": "nb - n + 1", "NumRings": "rings", "NumFusedRingsEstimate": "fused", "NumAromaticRings": "aromatic_rings", "NumSpiroAtoms": "spiro", "NumBridgeheadAtoms": "heads"}
-    out |= {"NumAliphaticRings": "rings - aromatic_rings", "NumAliphaticCarbocycles": "ali_c", "NumAliphaticHeterocycles": "rings - aromatic_rings - ali_c", "NumAromaticCarbocycles": "aro_c", "NumAromaticHeterocycles": "aromatic_rings - aro_c"}
-    out |= {"NumSaturatedRings": "sat", "NumSaturatedCarbocycles": "sat_c", "NumSaturatedHeterocycles": "sat - sat_c", "FractionAtomsInRings": "ring_atoms / n", "FractionBondsInRings": r("ring_bonds", "nb")}
-    out |= {"MinRingSize": "min_ring", "MaxRingSize": "max_ring", "MeanRingSize": "mean_ring", "NumTerminalNodes": "terminal", "FractionTerminalNodes": r("terminal", "heavy"), "NumBranchingNodes": "forks", "FractionBranchingNodes": r("forks", "heavy")}
-    for k in range(3, 9):
-        name = f"{k}Plus" if k == 8 else str(k)
-        out |= {f"NumRingSize{name}": f"r{k}", f"FractionRingSize{name}": r(f"r{k}", "rings")}
-    out["BertzCT"] = "(n * h_atoms + nb * h_bonds) * ln(n + 1)"
-    steps = f"""{_WALKS}, far AS (SELECT mol_id, i, max(d) AS e, sum(d) AS total FROM near GROUP BY ALL),
-        pairs AS (SELECT near.mol_id, sum(d) AS wiener, sum(1.0 / d) AS harary, sum(1 / sqrt(x.total * y.total)) AS reach FROM near JOIN far x ON x.mol_id = near.mol_id AND x.i = near.i JOIN far y ON y.mol_id = near.mol_id AND y.i = near.j WHERE near.i < near.j GROUP BY near.mol_id),
-        ecc AS (SELECT mol_id, max(e) AS diameter, coalesce(min(e) FILTER (WHERE e > 0), 0) AS radius, avg(e) AS mean_ecc, var_pop(e) AS var_ecc FROM far GROUP BY mol_id),
-        per_atom AS (SELECT mol_id, count(*) AS n, count(*) FILTER (WHERE z > 1) AS heavy, min(degree) AS min_d, max(degree) AS max_d, avg(degree) AS mean_d, var_pop(degree) AS var_d, sum(degree * degree) AS m1, {', '.join(f'count(*) FILTER (WHERE least(degree, 5) = {k}) AS d{k}' for k in range(6))},
-            coalesce(sum(1 / sqrt(nullif(degree, 0))), 0) AS s, sum(CASE z WHEN 6 THEN 0.05 WHEN 7 THEN 0.15 WHEN 8 THEN 0.2 WHEN 16 THEN 0.25 ELSE 0.1 END) AS alpha, count(*) FILTER (WHERE in_ring) AS ring_atoms,
-            count(*) FILTER (WHERE z > 1 AND degree = 1) AS terminal, count(*) FILTER (WHERE z > 1 AND degree > 2) AS forks, entropy(z * 1000 + degree * 100 + 10 * aromatic::INT + charge + 5) AS h_atoms FROM atoms GROUP BY mol_id),
-        per_bond AS (SELECT bonds.mol_id, count(*) AS nb, sum(x.degree * y.degree) AS m2, avg(x.degree + y.degree) AS mean_sum, var_pop(x.degree + y.degree) AS var_sum, sum(1 / sqrt(x.degree * y.degree)) AS randic, count(*) FILTER (WHERE bonds.rings > 0) AS ring_bonds,
-            sum(greatest(0, bonds.rings - 1)) AS fused, entropy(ord) AS h_bonds FROM bonds JOIN atoms x ON x.mol_id = bonds.mol_id AND x.i = a JOIN atoms y ON y.mol_id = bonds.mol_id AND y.i = b GROUP BY bonds.mol_id),
-        ring AS (SELECT around.mol_id, ring, count(*) AS size, bool_and(o.ord = 1.5) AS aro, bool_and(t.z = 6) AS carbon, bool_and(o.ord = 1) AS saturated FROM around JOIN bonds o ON o.mol_id = around.mol_id AND ((o.a = around.a AND o.b = around.b) OR (o.a = around.b AND o.b = around.a))
-            JOIN atoms t ON t.mol_id = around.mol_id AND t.i = around.a GROUP BY around.mol_id, ring),
-        per_ring AS (SELECT mol_id, count(*) AS rings, count(*) FILTER (WHERE aro) AS aromatic_rings, count(*) FILTER (WHERE NOT aro AND carbon) AS ali_c, count(*) FILTER (WHERE aro AND carbon) AS aro_c, count(*) FILTER (WHERE saturated) AS sat, count(*) FILTER (WHERE saturated AND carbon) AS sat_c,
-            min(size) AS min_ring, max(size) AS max_ring, avg(size) AS mean_ring, {', '.join(f'count(*) FILTER (WHERE least(size, 8) = {k}) AS r{k}' for k in range(3, 9))} FROM ring GROUP BY mol_id),
-        shared AS (SELECT x.mol_id, x.ring AS one, y.ring AS other, x.a AS i, count(*) OVER (PARTITION BY x.mol_id, x.ring, y.ring) AS c FROM around x JOIN around y ON x.mol_id = y.mol_id AND x.ring < y.ring AND x.a = y.a),
-        corners AS (SELECT mol_id, count(DISTINCT i) FILTER (WHERE c = 1) AS spiro, count(DISTINCT i) FILTER (WHERE c > 2 AND (SELECT count(*) FROM step JOIN shared q ON q.mol_id = step.mol_id AND q.i = step.b WHERE step.mol_id = shared.mol_id AND step.a = shared.i AND q.one = shared.one AND q.other = shared.other) = 1) AS heads FROM shared GROUP BY mol_id),
-        per_molecule AS (SELECT per_atom.*, coalesce(nb, 0) AS nb, coalesce(m2, 0) AS m2, coalesce(mean_sum, 0) AS mean_sum, coalesce(var_sum, 0) AS var_sum, coalesce(randic, 0) AS randic, coalesce(ring_bonds, 0) AS ring_bonds, coalesce(fused, 0) AS fused, coalesce(h_bonds, 0) AS h_bonds,
-            coalesce(wiener, 0) AS wiener, coalesce(harary, 0) AS harary, reach, diameter, radius, mean_ecc, var_ecc, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('rings', 'aromatic_rings', 'ali_c', 'aro_c', 'sat', 'sat_c', 'min_ring', 'max_ring', 'mean_ring', *(f'r{k}' for k in range(3, 9)), 'spiro', 'heads'))}
-            FROM per_atom LEFT JOIN per_bond USING (mol_id) LEFT JOIN pairs USING (mol_id) LEFT JOIN ecc USING (mol_id) LEFT JOIN per_ring USING (mol_id) LEFT JOIN corners USING (mol_id))"""
-    _molecule_oracle("graph", steps, {n: f"any_value({e})" if e.isidentifier() else f"max({e})" for n, e in out.items()}, "per_molecule")
-
-
-for _oracle in (_bond_oracle, _graph_oracle, _radius_oracle, _autocorrelation_oracle, _weight_oracle):
-    _oracle()
-
-
 @query
 def bit_kernels_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("__text"))
@@ -341,10 +96,10 @@ _BYTE_SQL = {
 @query
 def byte_values_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
-    return _rounded(bits.add_bits(rows, F.col("__text"), tuple(_BYTE_SQL)).drop("__text"), tuple(_BYTE_SQL))
+    return rounded(bits.add_bits(rows, F.col("__text"), tuple(_BYTE_SQL)).drop("__text"), tuple(_BYTE_SQL))
 
 
-ORACLES["byte_values_part"] = _rounded_sql(
+ORACLES["byte_values_part"] = rounded_sql(
     f"""WITH bytes AS MATERIALIZED (SELECT p_partkey, list_transform(list_filter(string_split(p_type, ''), lambda c: c <> ''), lambda c: ord(c)) AS b FROM part),
         more AS MATERIALIZED (SELECT p_partkey, b, flatten(list_transform(b, lambda v: list_transform(range(7, -1, -1), lambda k: (v >> k::INT) & 1))) AS x, flatten(list_transform(b, lambda v: [v // 16, v % 16])) AS nib, list_transform(list_zip(b[:-2], b[2:]), lambda p: xor(p[1], p[2])) AS f FROM bytes),
         all_ AS MATERIALIZED (SELECT *, list_transform(list_zip(x[:-2], x[2:]), lambda p: (p[1] <> p[2])::INT) AS t FROM more)
@@ -403,37 +158,16 @@ ORACLES["windowed_events"] = f"""
 
 
 @query
-def element_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element properties as a table to join by atomic number."""
-    tables = {"mass_kg": elements.MASS, "pauling": elements.PAULING, "allred_rochow": elements.ALLRED_ROCHOW, "ionization": elements.IONIZATION, "affinity": elements.AFFINITY, "r_cov": elements.COVALENT_RADIUS, "r_vdw": elements.VDW_RADIUS, "polarizability": elements.POLARIZABILITY, "density": elements.DENSITY, "thermal": elements.THERMAL_CONDUCTIVITY, "specific_heat": elements.SPECIFIC_HEAT, "molar_volume": elements.MOLAR_VOLUME}
-    flags = {"main_group": elements.is_main_group, "transition_metal": elements.is_transition_metal, "alkali": elements.is_alkali_metal, "alkaline_earth": elements.is_alkaline_earth, "noble_gas": elements.is_noble_gas, "metal": elements.is_metal}
-    rows = [(z, s, elements.group(z), elements.period(z), *(float(t.get(z, 0.0)) for t in tables.values()), z in elements.HALOGENS, *(f(z) for f in flags.values())) for s, z in elements.ATOMIC_NUMBER.items()]
-    schema = "z int, symbol string, grp int, period int, " + ", ".join(f"{n} double" for n in tables) + ", halogen boolean, " + ", ".join(f"{n} boolean" for n in flags)
-    return spark.createDataFrame(rows, schema)
-
-
-def _element_oracle() -> None:
-    names = {"mass_kg": elements.MASS, "pauling": elements.PAULING, "allred_rochow": elements.ALLRED_ROCHOW, "ionization": elements.IONIZATION, "affinity": elements.AFFINITY, "r_cov": elements.COVALENT_RADIUS, "r_vdw": elements.VDW_RADIUS, "polarizability": elements.POLARIZABILITY, "density": elements.DENSITY, "thermal": elements.THERMAL_CONDUCTIVITY, "specific_heat": elements.SPECIFIC_HEAT, "molar_volume": elements.MOLAR_VOLUME}
-    given = ", ".join("(" + ", ".join([str(z), f"'{s}'", *(f"{float(t.get(z, 0.0))!r}::DOUBLE" for t in names.values())]) + ")" for s, z in elements.ATOMIC_NUMBER.items())
-    # Periods end with the noble gases; the places in a period, and the gap after the second one of a short period, give the group.
-    ORACLES["element_table"] = f"""
-        WITH e(z, symbol, {', '.join(names)}) AS (VALUES {given}),
-        p AS (SELECT *, CASE WHEN z <= 2 THEN 1 WHEN z <= 10 THEN 2 WHEN z <= 18 THEN 3 WHEN z <= 36 THEN 4 ELSE 5 END AS period FROM e),
-        g AS (SELECT *, z - ([0, 2, 10, 18, 36])[period] AS place FROM p),
-        k AS (SELECT *, CASE WHEN period = 1 THEN (CASE z WHEN 1 THEN 1 ELSE 18 END) WHEN place <= 2 OR period > 3 THEN place ELSE place + 10 END AS grp FROM g)
-        SELECT z::INT AS z, symbol, grp::INT AS grp, period::INT AS period, {', '.join(names)}, z IN (9, 17, 35, 53, 85) AS halogen, grp <= 2 OR grp >= 13 AS main_group, period >= 4 AND grp BETWEEN 3 AND 12 AS transition_metal,
-               grp = 1 AND z > 2 AS alkali, grp = 2 AND z > 2 AS alkaline_earth, grp = 18 AS noble_gas, symbol NOT IN ('H', 'He', 'B', 'C', 'N', 'O', 'F', 'Ne', 'Si', 'P', 'S', 'Cl', 'Ar', 'Ge', 'As', 'Se', 'Br', 'Kr') AS metal FROM k"""
-
-
-_element_oracle()
+def describe_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descriptor of every family in one plan."""
+    return catalog.describe(molecule_table(spark, sf_dir), F.col("smiles"))
 
 
 @query
 def descriptor_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.listing(spark)
-
-
-@query
-def describe_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every descriptor of every family in one plan."""
-    return catalog.describe(molecule_table(spark), F.col("smiles"))
+    """The catalog, with how many of the molecules have a value other than 0 of each descriptor."""
+    names = [e.name for e in catalog.entries().values() if e.needs == "text"]
+    values = catalog.describe(molecule_table(spark, sf_dir), F.col("smiles"), names)
+    counts = values.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.count_if(F.col(n) != 0).alias("n")) for n in names]).alias("c"))
+    found = counts.select(F.explode("c").alias("c")).select("c.*")
+    return catalog.listing(spark).join(F.broadcast(found), "name", "left")
