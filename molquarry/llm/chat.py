@@ -42,15 +42,15 @@ def chat_format(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     n_snapshots counts the distinct shorter conversations that a kept one begins with and that were logged.
 
     Null roles and texts are empty, a null turn number comes first; a turn without a conversation id is a
-    conversation of its own, whose id is null and larger than any other. Turns may be very long, but a
+    conversation of its own, whose id is null and larger than any other; only equal rows are one. Turns may be very long, but a
     conversation has to fit one row. An empty table gives no rows; other columns, whatever their names, are
     dropped.
     """
     last = (1 << 63) - 1
     empty = lambda c: F.coalesce(turns[c].cast("string"), F.lit(""))
     named = turns.select(F.coalesce(turns[id_col].cast("long"), F.lit(last)).alias("key"), turns[turn_col].cast("long").alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
-    # Turns without an id are told apart by their contents.
-    rows = named.withColumn("alone", F.when(F.col("key") == last, F.xxhash64("role", "text")).otherwise(0))
+    # Turns without an id are told apart by their numbers and contents.
+    rows = named.withColumn("alone", F.when(F.col("key") == last, F.xxhash64("turn", "role", "text")).otherwise(0))
     gather = lambda some: some.groupBy("key", "alone").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     rolled = durable(gather(rows).mapInArrow(_rolled, "key long, alone long, hashes array<binary>"))
     whole = rolled.select("key", "alone", F.element_at("hashes", -1).alias("hash"))

@@ -64,8 +64,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     no rows; other columns, whatever their names, are not looked at.
     """
     norm = docs.select(docs[id_col].cast("long").alias("id"), F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE, " ").alias("norm"))
-    keys = [F.col("head"), F.col("h"), F.col("id").asc_nulls_last()]
-    ranges = norm.select("id", "norm", F.substring("norm", 1, SPLITTER_CHARS).alias("head"), F.xxhash64("norm").alias("h")).repartitionByRange(*keys)
+    keys = [F.col("head"), F.col("h"), F.col("id").asc_nulls_last(), F.col("place")]
+    # Copies without an id are dealt out by their place in the input.
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    ranges = norm.select("id", "norm", F.substring("norm", 1, SPLITTER_CHARS).alias("head"), F.xxhash64("norm").alias("h"), place.alias("place")).repartitionByRange(*keys)
     ordered = ranges.sortWithinPartitions(*keys[:2], "norm", keys[2]).select("id", "norm")
     runs = durable(ordered.mapInArrow(_runs, _RUNS))
     # Two runs a range at most, so this table is bounded by the number of partitions.

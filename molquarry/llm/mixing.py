@@ -100,15 +100,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
     dom = source_domain(docs[source_col]) if domain is None else domain
     told = ["text_hash"] if with_hash else []
-    hashed = [F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias(c) for c in told]
-    rows = durable(docs.select(docs[id_col].alias("id"), F.coalesce(dom.cast("string"), F.lit("")).alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *hashed))
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    hashed = [text_hash.alias(c) for c in told]
+    # Rows without an id get their places by their texts.
+    rows = durable(docs.select(docs[id_col].alias("id"), F.when(docs[id_col].isNull(), text_hash).alias("apart"), F.coalesce(dom.cast("string"), F.lit("")).alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), *hashed))
     leaves = durable(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     total = leaves.agg(F.sum("tokens").alias("t"))
     wanted = F.lit(budget).cast("double") if budget is not None else F.coalesce(total.select(F.col("t") * fraction).scalar(), F.lit(0.0))
     plan = budgets(leaves, wanted, epochs, weights)
     empty = F.col("tokens") == 0
     plan = durable(plan.select(*LEVELS, F.when(empty, 0).otherwise(F.floor(F.col("given") / F.greatest(F.col("tokens"), F.lit(1)))).cast("int").alias("whole"), F.when(empty, 0).otherwise(F.col("given") % F.greatest(F.col("tokens"), F.lit(1))).cast("long").alias("rest")))
-    order = joined_back(rows, plan, list(LEVELS), "inner").withColumn("h", F.xxhash64(F.lit(seed), F.col("whole"), F.col("id"))).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+    order = joined_back(rows, plan, list(LEVELS), "inner").withColumn("h", F.xxhash64(F.lit(seed), F.col("whole"), F.col("id"), F.col("apart"))).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
     keys = [*LEVELS, "bucket"]
     sums = durable(order.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).withColumn("ten", F.shiftright("bucket", BUCKET_BITS // 2)))
     # Running sums in two steps, over 2 ** (BUCKET_BITS / 2) rows at most in each.
@@ -118,6 +120,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     inside = sums.select(*keys, "ten", running([*LEVELS, "ten"], "bucket").alias("of_buckets"))
     before = inside.join(whole, [*LEVELS, "ten"]).select(*keys, (F.col("of_tens") + F.col("of_buckets")).alias("tokens_before"))
     placed = order.join(before, keys)
-    upto = F.col("tokens_before") + F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("h", "id", "n_tokens", *told).rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.col("tokens_before") + F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("h", "id", "apart", "n_tokens", *told).rowsBetween(Window.unboundedPreceding, 0))
     copies = F.col("whole") + (upto <= F.col("rest")).cast("int")
     return placed.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", copies.alias("n_copies"), F.col("whole").alias("epoch"), *told).where("n_copies > 0")

@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], size: int = 1024,
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     buckets = max(BUCKETS, -(-sum(histogram.values()) // BUCKET_ROWS))
     place = slots(patterns(histogram, size))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most ``size`` times ``buckets`` rows.
     before = durable(counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before")))

@@ -48,29 +48,55 @@ def _position(key: Column, level: int, k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(k)), F.lit(bits))
 
 
-def _level(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row: the level's bits as an array of 64-bit words, put together block by block."""
+def _level(keys: DataFrame, level: int, bits: int, parts: int) -> DataFrame:
+    """A row for each part: the level's bits as an array of 64-bit words, put together block by block."""
     n = bits // 64
-    at = keys.select(F.explode(F.array(*[_position(F.col("key"), level, k, bits) for k in range(HASHES)])).alias("p"))
-    some = at.select(F.floor(F.col("p") / 64).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("v"))
-    every = some.union(keys.sparkSession.range(n).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v")))
-    dense = every.groupBy("w").agg(F.bit_or("v").alias("v"))
-    blocks = dense.groupBy(F.floor(F.col("w") / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "v"))).alias("ws")).select("b", F.col("ws.v").alias("vs"))
-    return blocks.agg(F.sort_array(F.collect_list(F.struct("b", "vs"))).alias("bs")).select(F.flatten(F.col("bs.vs")).alias("words"))
+    at = keys.select("part", F.explode(F.array(*[_position(F.col("key"), level, k, bits) for k in range(HASHES)])).alias("p"))
+    some = at.select("part", F.floor(F.col("p") / 64).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("v"))
+    every = some.union(keys.sparkSession.range(parts * n).select(F.expr(f"id div {n}").alias("part"), (F.col("id") % n).alias("w"), F.lit(0).cast("long").alias("v")))
+    dense = every.groupBy("part", "w").agg(F.bit_or("v").alias("v"))
+    blocks = dense.groupBy("part", F.floor(F.col("w") / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "v"))).alias("ws")).select("part", "b", F.col("ws.v").alias("vs"))
+    return blocks.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("b", "vs"))).alias("bs")).select("part", F.flatten(F.col("bs.vs")).alias(f"words{level}"))
+
+
+def _passes(key: Column, words: Column, level: int, bits: int) -> Column:
+    passes = F.lit(True)
+    for k in range(HASHES):
+        p = _position(key, level, k, bits)
+        passes &= F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
+    return passes
 
 
 class Cascade:
     """Exact membership of ``listed`` keys (a column ``key``) over a universe of keys.
 
-    A list whose first level would need over ``max_bits`` is dealt by hash into as many parts as keep a level
-    below that, each with a cascade of its own, so the bits that a task holds are about those of one level.
+    While all levels together take up to ``max_bits``, they are scalar subqueries of the rows' own stage and no
+    row is moved. A larger cascade is dealt by a hash of the key into parts of at most about ``max_bits``, all levels of all
+    parts built together, and rows are joined to their part's row of bits by a merge join on the part: sorted
+    by part, a task holds the bits of one part at a time, and adaptive execution splits a part that many rows meet.
     """
 
     def __init__(self, universe: DataFrame, max_bits: int = 1 << 28):
         """universe: columns key (string) and listed (boolean); repeated keys are listed if any is."""
-        keys = durable(universe.groupBy("key").agg(F.max("listed").alias("listed")))
-        self.parts = max(1, math.ceil(1.1 * self._bits(keys.where("listed").count()) / max_bits))
-        self.levels = [self._built(keys.where(self._part(F.col("key")) == part)) for part in range(self.parts)]
+        known = durable(universe.groupBy("key").agg(F.max("listed").alias("listed")))
+        sizes = known.agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).first()
+        # A level encodes what passes the one before it, and a key passes with a chance of 2 ** -HASHES.
+        expected = self._bits(sizes["inside"] + (sizes["outside"] >> HASHES)) * (1 + 2 ** (1 - HASHES))
+        self.parts = 1 if not sizes["inside"] else max(1, math.ceil(expected / max_bits))
+        #: One row for each part, with its words of every level.
+        self.table: DataFrame | None = None
+        self.bits: list[int] = []
+        keys = known.withColumn("part", self._part(F.col("key")))
+        inside, outside = keys.where("listed").select("part", "key"), keys.where("not listed").select("part", "key")
+        while n := inside.groupBy("part").count().agg(F.max("count")).first()[0]:
+            level, bits = len(self.bits) + 1, self._bits(n)
+            built = durable(_level(inside, level, bits, self.parts))
+            met, words = self._met(outside, built, f"words{level}")
+            inside, outside = durable(met.where(_passes(F.col("key"), words, level, bits)).select("part", "key")), inside
+            self.table = built if self.table is None else self.table.join(built, "part")
+            self.bits.append(bits)
+        if self.table is not None:
+            self.table = durable(self.table)
 
     @staticmethod
     def _bits(n: int) -> int:
@@ -79,38 +105,28 @@ class Cascade:
     def _part(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.parts))
 
-    def _built(self, keys: DataFrame) -> list[tuple[DataFrame, int]]:
-        levels: list[tuple[DataFrame, int]] = []
-        inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
-        while n := inside.count():
-            levels.append((durable(_level(inside, len(levels) + 1, self._bits(n))), self._bits(n)))
-            inside, outside = durable(outside.where(self._passes(F.col("key"), levels, len(levels)))), inside
-        return levels
-
-    @staticmethod
-    def _passes(key: Column, levels: list[tuple[DataFrame, int]], level: int) -> Column:
-        frame, bits = levels[level - 1]
-        words = frame.select("words").scalar()
-        passes = F.lit(True)
-        for k in range(HASHES):
-            p = _position(key, level, k, bits)
-            passes &= F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
-        return passes
+    def _met(self, rows: DataFrame, table: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        """Rows beside the words ``name`` of their part."""
+        if self.parts == 1:
+            return rows, table.select(name).scalar()
+        return rows.join(table.select("part", name).hint("merge"), "part"), F.col(name)
 
     def marked(self, rows: DataFrame, key_col: str, name: str) -> DataFrame:
         """``rows`` with a boolean column telling whether the key is listed; null keys aren't."""
-        key = F.coalesce(rows[key_col], F.lit(""))
-
-        def answer(levels: list[tuple[DataFrame, int]]) -> Column:
-            out = F.lit(len(levels) % 2 == 1)
-            for level in range(len(levels), 0, -1):
-                out = F.when(self._passes(key, levels, level), out).otherwise(F.lit(level % 2 == 0))
-            return out
-
-        told = answer(self.levels[-1])
-        for part in range(self.parts - 1):
-            told = F.when(self._part(key) == part, answer(self.levels[part])).otherwise(told)
-        return rows.withColumn(name, told)
+        if self.table is None:
+            return rows.withColumn(name, F.lit(False))
+        key = F.coalesce(F.col(key_col), F.lit(""))
+        levels = [f"words{k}" for k in range(1, len(self.bits) + 1)]
+        if self.parts > 1:
+            whole = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), F.coalesce(rows[key_col], F.lit("")).alias("key"), self._part(F.coalesce(rows[key_col], F.lit(""))).alias("part"))
+            beside, key = whole.join(self.table.hint("merge"), "part"), F.col("key")
+            words = [F.col(c) for c in levels]
+        else:
+            beside, words = rows, [self.table.select(c).scalar() for c in levels]
+        told = F.lit(len(levels) % 2 == 1)
+        for level in range(len(levels), 0, -1):
+            told = F.when(_passes(key, words[level - 1], level, self.bits[level - 1]), told).otherwise(F.lit(level % 2 == 0))
+        return beside.withColumn(name, told) if self.parts == 1 else beside.select("row.*", told.alias(name))
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, max_bits: int = 1 << 28) -> DataFrame:
