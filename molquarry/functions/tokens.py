@@ -2,7 +2,7 @@
 
 A SMILES text of N tokens spans an N x N grid with four planes: equal token texts, atom beside bond, equal
 ring-closure texts, and distance |i - j| / (N - 1). Most statistics have closed forms in the token
-histogram; those run in Catalyst. The others are taken from the planes in NumPy, text by text.
+histogram; those run in Catalyst. The others are worked out from classes of equal tokens in NumPy, text by text.
 """
 
 from __future__ import annotations
@@ -136,19 +136,54 @@ _KINDS = [(k, re.compile(p)) for k, p in TYPES]
 def tokenize(s: str) -> tuple[list[str], np.ndarray]:
     """The tokens of a text and their types."""
     tokens = _TOKEN.findall(s)
-    return tokens, np.array([next((k for k, p in _KINDS if p.search(t)), 0) for t in tokens], dtype=np.int64)
-
-
-def planes(s: str) -> tuple[np.ndarray, np.ndarray]:
-    """The four planes of a text (4, N, N) and the types of its tokens."""
-    tokens, types = tokenize(s)
-    n = len(tokens)
-    code = np.unique(np.array(tokens, dtype=object).astype(str), return_inverse=True)[1] if n else np.zeros(0, int)
-    same = code[:, None] == code[None, :]
-    atom, bond, ring = np.isin(types, ATOM_TYPES), types == BOND_TYPE, types == RING_TYPE
-    i = np.arange(n)
-    far = np.abs(i[:, None] - i[None, :]) / max(n - 1, 1)
-    return np.stack([same, (atom[:, None] & bond) | (bond[:, None] & atom), same & ring[:, None] & ring, far]).astype(float), types
+    kinds = {t: next((k for k, p in _KINDS if p.search(t)), 0) for t in set(tokens)}
+    return tokens, np.array([kinds[t] for t in tokens], dtype=np.int64)
+
+
+class Classes:
+    """A text of N tokens as classes of equal tokens, from which sums over the N x N cells follow without the cells."""
+
+    def __init__(self, tokens: Sequence[str], types: np.ndarray):
+        self.n, self.types = len(tokens), types
+        number: dict[str, int] = {}
+        self.code = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, self.n)
+        self.atom, self.bond, self.ring = np.isin(types, ATOM_TYPES), types == BOND_TYPE, types == RING_TYPE
+        self.times = np.bincount(self.code, minlength=len(number))[self.code] if self.n else self.code
+        self.unit = max(self.n - 1, 1)
+
+    def part(self, a: int, b: int) -> float:
+        """Sum of the four planes over the tokens a to b by a to b."""
+        squares = lambda which: int((np.bincount(self.code[a:b][which]) ** 2).sum()) if which.any() else 0
+        n = b - a
+        return squares(np.ones(n, bool)) + 2 * int(self.atom[a:b].sum()) * int(self.bond[a:b].sum()) + squares(self.ring[a:b]) + n * (n * n - 1) / 3 / self.unit
+
+    def spans(self, key: np.ndarray, which: np.ndarray) -> int:
+        """Sum of |i - j| over the ordered pairs of some positions with equal keys."""
+        at = np.flatnonzero(which)
+        at = at[np.argsort(key[at], kind="stable")]
+        if not len(at):
+            return 0
+        first = np.flatnonzero(np.append(True, np.diff(key[at]) != 0))
+        size = np.diff(np.append(first, len(at)))
+        rank = np.arange(len(at)) - np.repeat(first, size)
+        return 2 * int((at * (2 * rank - np.repeat(size, size) + 1)).sum())
+
+    def between(self) -> int:
+        """Sum of |i - j| over the pairs of an atom and a bond, in both orders."""
+        zero = np.zeros(self.n, np.int64)
+        return self.spans(zero, self.atom | self.bond) - self.spans(zero, self.atom) - self.spans(zero, self.bond)
+
+    def rows(self) -> np.ndarray:
+        """Ones of the three planes of ones, and the sums and sums of squares of the distances, of each row."""
+        i, n = np.arange(self.n), self.n
+        a, b = int(self.atom.sum()), int(self.bond.sum())
+        left, right = i * (i + 1) // 2, (n - 1 - i) * (n - i) // 2
+        squares = i * (i + 1) * (2 * i + 1) // 6 + (n - 1 - i) * (n - i) * (2 * (n - i) - 1) // 6
+        return np.stack([self.times, np.where(self.atom, b, np.where(self.bond, a, 0)), np.where(self.ring, self.times, 0), (left + right) / self.unit, squares / self.unit**2])
+
+    def cubes(self) -> float:
+        d = np.arange(1, self.n, dtype=float)
+        return float((2 * (self.n - d) * (d / self.unit) ** 3).sum())
 
 
 def _binary_entropy(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -158,75 +193,119 @@ def _binary_entropy(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
         return np.where(total > 0, -np.where(p > 0, p * np.log2(p), 0) - np.where(q > 0, q * np.log2(q), 0), 0.0)
 
 
-def _asymmetry(t, ty):
-    atoms = np.flatnonzero(np.isin(ty, ATOM_TYPES))
-    left, right = (np.array([t[1, k, part(k)].sum() for k in atoms]) for part in (lambda k: slice(0, k), lambda k: slice(k + 1, None)))
-    return float(np.mean(np.abs(left - right) / np.maximum(left + right, 1))) if len(atoms) else 0.0
+def _connected(t: Classes) -> float:
+    return float(t.rows()[:4].sum(axis=0).max())
 
 
-def _bandwidth(t, ty):
-    n = len(ty)
-    cut = np.sort(t[0], axis=None)[::-1][(n * n + 9) // 10 - 1]
-    i, j = np.nonzero(t[0] >= cut)
-    return float(max(np.ptp(i + j), np.ptp(i - j)))
+def _asymmetry(t: Classes) -> float:
+    before = np.cumsum(t.bond) - t.bond
+    left = before[t.atom]
+    right = int(t.bond.sum()) - left
+    return float(np.mean(np.abs(left - right) / np.maximum(left + right, 1))) if len(left) else 0.0
 
 
-def _skewness(t, ty):
-    d = t - t.mean()
-    m2 = (d**2).mean()
-    return float((d**3).mean() / m2**1.5) if m2 > 1e-12 else 0.0
+def _skewness(t: Classes) -> float:
+    """Of all cells of the four planes, from their sums, squares and cubes."""
+    rows = t.rows()
+    ones, cells = int(rows[:3].sum()), 4 * t.n * t.n
+    m1, m2, m3 = ((ones + x) / cells for x in (rows[3].sum(), rows[4].sum(), t.cubes()))
+    spread = m2 - m1 * m1
+    return float((m3 - 3 * m1 * m2 + 2 * m1**3) / spread**1.5) if spread > 1e-12 else 0.0
 
 
-def _patch(t, ty):
-    n = len(ty)
-    return float(sum(t[0, a : n - 2 + a, b : n - 2 + b] for a in range(3) for b in range(3)).max())
+def _near(t: Classes) -> float:
+    ones = int(t.rows()[:3].sum())
+    far = t.spans(t.code, np.ones(t.n, bool)) + t.between() + t.spans(t.code, t.ring)
+    return (ones - far / t.unit) / (t.n * t.n)
 
 
-def _grid(t, ty):
-    k = len(ty) // 2
-    return float(np.std(t[0, : 2 * k, : 2 * k].reshape(k, 2, k, 2).sum(axis=(1, 3))))
+def _entropy_of_rows(t: Classes) -> float:
+    ones = t.rows()[:3]
+    ends = np.zeros(t.n)
+    ends[[0, -1]] = 1
+    return float((_binary_entropy(t.n - ones, ones).sum() + _binary_entropy(np.ones(t.n), ends).sum()) / (4 * t.n))
 
 
-def _edge(t, ty):
-    cells = t.sum(axis=0)
-    core = cells[1:-1, 1:-1]
-    edge, inner = (cells.sum() - core.sum()) / (cells.size - core.size), core.mean() if core.size else 0.0
-    return float((edge - inner) / (edge + inner)) if edge + inner > 0 else 0.0
+def _stable(t: Classes) -> float:
+    """Tokens whose rows vary little: sample variances of the four planes, averaged."""
+    rows = t.rows()
+    ones, far, squares = rows[:3], rows[3], rows[4]
+    spread = (ones - ones * ones / t.n).sum(axis=0) + squares - far * far / t.n
+    return float((spread / (t.n - 1) / 4 < 0.1).sum())
 
 
-def _quadrants(t, ty):
-    h, cells = len(ty) // 2, t.sum(axis=0)
-    a, b = cells[:h, :h].sum(), cells[h:, h:].sum()
-    return float((a - b) / (a + b)) if a + b > 0 else 0.0
+def _class_share(t: Classes, same: bool) -> float:
+    """Of the sum of all cells off the diagonal, the share of pairs of one type of token, or of two. Equal tokens have one type; atom and bond are two."""
+    rows = t.rows()
+    total = rows[:4].sum() - t.n - t.ring.sum()
+    inside = rows[0].sum() - t.n + rows[2].sum() - t.ring.sum() + t.spans(t.types, np.ones(t.n, bool)) / t.unit
+    return float((inside if same else total - inside) / total) if total > 0 else 0.0
+
+
+def _grid(t: Classes) -> float:
+    """Deviation of the sums of 2 x 2 blocks. The sum of their squares is that of the squared numbers of token pairs in the blocks' sides."""
+    k = t.n // 2
+    x, y = t.code[: 2 * k : 2], t.code[1 : 2 * k : 2]
+    m = int(t.code.max()) + 1
+    mean = float((np.bincount(t.code[: 2 * k]) ** 2).sum()) / (k * k)
+    pairs = np.concatenate([x * m + x, x * m + y, y * m + x, y * m + y])
+    squares = float((np.unique(pairs, return_counts=True)[1].astype(float) ** 2).sum())
+    return float(np.sqrt(max(squares / (k * k) - mean * mean, 0.0)))
+
+
+def _patch(t: Classes) -> float:
+    """The largest sum of a 3 x 3 patch lies on the diagonal: no product of two windows' counts exceeds the larger square."""
+    a, b, c = t.code[:-2], t.code[1:-1], t.code[2:]
+    return float((3 + 2 * ((a == b).astype(int) + (b == c) + (a == c))).max())
+
 
+def _corners(t: Classes) -> float:
+    """Three equal cells in an L: all four tokens are equal."""
+    twice = t.code[:-1][t.code[:-1] == t.code[1:]]
+    return float(2 * (np.bincount(twice).astype(float) ** 2).sum()) if len(twice) else 0.0
 
-def _class_share(t, ty, same: bool):
-    cells = t.sum(axis=0) * ~np.eye(len(ty), dtype=bool)
-    total = cells.sum()
-    return float((cells * ((ty[:, None] == ty) == same)).sum() / total) if total > 0 else 0.0
 
+def _turned(t: Classes) -> float:
+    both = int(t.times[t.code == t.code[::-1]].sum())
+    return 1 - 2 * (int(t.times.sum()) - both) / (t.n * t.n)
 
-def _anti(t, ty):
-    diff, n = np.abs(t[0] - t[0][::-1, ::-1].T), len(ty)
-    return float((diff.sum() - np.trace(diff[:, ::-1])) / (n * n - n)) if n > 1 else 0.0
 
+def _anti(t: Classes) -> float:
+    m = int(t.code.max()) + 1
+    both = int((np.unique(t.code * m + t.code[::-1], return_counts=True)[1] ** 2).sum())
+    return 2 * (int(t.times.sum()) - both) / (t.n * t.n - t.n)
 
-#: Statistics taken from the planes: least number of tokens, function of planes and types.
+
+def _edge(t: Classes) -> float:
+    n = t.n
+    total, core = t.part(0, n), t.part(1, n - 1)
+    edge, inner = (total - core) / (n * n - (n - 2) ** 2), core / (n - 2) ** 2
+    return float((edge - inner) / (edge + inner)) if edge + inner > 0 else 0.0
+
+
+def _quadrants(t: Classes) -> float:
+    h = t.n // 2
+    a, b = t.part(0, h), t.part(h, t.n)
+    return float((a - b) / (a + b)) if a + b > 0 else 0.0
+
+
+#: Statistics of the four planes: least number of tokens, function of the classes. Each takes about as many steps as there are tokens.
 PLANE_STATISTICS = {
-    "SpitMostConnectedTokenScore": (1, lambda t, ty: float(t.sum(axis=(0, 2)).max())),
-    "SpitHighestInteractiveToken": (1, lambda t, ty: float(t.sum(axis=(0, 2)).max())),
+    "SpitMostConnectedTokenScore": (1, _connected),
+    "SpitHighestInteractiveToken": (1, _connected),
     "SpitBondPairAsymmetry": (3, _asymmetry),
-    "SpitBandwidthTop10Activation": (3, _bandwidth),
+    # Whichever cells the largest tenth holds, the diagonal's ends are among them.
+    "SpitBandwidthTop10Activation": (3, lambda t: 2.0 * (t.n - 1)),
     "SpitSkewnessInteractionMatrix": (3, _skewness),
-    "SpitAverageDistanceWeightedActivation": (1, lambda t, ty: float(((1 - t[3]) * t[:3].sum(axis=0)).mean())),
-    "SpitTokenEntropy": (2, lambda t, ty: float(_binary_entropy((t < 1e-9).sum(axis=2), (np.abs(t - 1) < 1e-9).sum(axis=2)).mean())),
-    "SpitPositionallyStableTokens": (2, lambda t, ty: float((t.var(axis=2, ddof=1).mean(axis=0) < 0.1).sum())),
-    "SpitIntraClassInteractionRatio": (2, lambda t, ty: _class_share(t, ty, True)),
-    "SpitInterClassInteractionRatio": (2, lambda t, ty: _class_share(t, ty, False)),
+    "SpitAverageDistanceWeightedActivation": (1, _near),
+    "SpitTokenEntropy": (2, _entropy_of_rows),
+    "SpitPositionallyStableTokens": (2, _stable),
+    "SpitIntraClassInteractionRatio": (2, lambda t: _class_share(t, True)),
+    "SpitInterClassInteractionRatio": (2, lambda t: _class_share(t, False)),
     "SpitGridUniformity": (4, _grid),
     "SpitMax3x3InteractionPatchScore": (3, _patch),
-    "SpitLPatternMotifCount": (3, lambda t, ty: float((t[0, :-1, :-1] * t[0, 1:, 1:] * (t[0, 1:, :-1] + t[0, :-1, 1:])).sum())),
-    "SpitSymmetryUnder90Rotation": (2, lambda t, ty: float(1 - np.abs(t[0] - np.rot90(t[0])).mean())),
+    "SpitLPatternMotifCount": (3, _corners),
+    "SpitSymmetryUnder90Rotation": (2, _turned),
     "SpitAntiDiagonalAsymmetryScore": (2, _anti),
     "SpitTopLeftToBottomRightImbalance": (2, _quadrants),
     "SpitEdgeTokenInteractionBias": (3, _edge),
@@ -234,7 +313,10 @@ PLANE_STATISTICS = {
 
 
 def plane_statistics(df: DataFrame, text: Column, names: Sequence[str] | None = None) -> DataFrame:
-    """``df`` with the statistics that need the planes; a text of N tokens takes N * N cells."""
+    """``df`` with the statistics of the planes; a null text is empty, and too few tokens give 0.
+
+    Texts may be long: no plane is made, and a text of N tokens takes time and memory in proportion to N.
+    """
     wanted = [n for n in (PLANE_STATISTICS if names is None else names) if n in PLANE_STATISTICS]
     schema = ", ".join(f"{n} double" for n in wanted)
 
@@ -243,8 +325,8 @@ def plane_statistics(df: DataFrame, text: Column, names: Sequence[str] | None =
         for series in texts:
             rows = []
             for s in series:
-                t, ty = planes(s)
-                rows.append([PLANE_STATISTICS[n][1](t, ty) if len(ty) >= PLANE_STATISTICS[n][0] else 0.0 for n in wanted])
+                t = Classes(*tokenize(s))
+                rows.append([PLANE_STATISTICS[n][1](t) if t.n >= PLANE_STATISTICS[n][0] else 0.0 for n in wanted])
             yield pd.DataFrame(rows, columns=wanted, dtype=float)
 
     return df.withColumn("__planes", taken(F.coalesce(text, F.lit("")))).select(*df.columns, "__planes.*")

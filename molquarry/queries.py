@@ -12,9 +12,10 @@ from molquarry.functions import bits, strings
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 from molquarry.functions.family import Family
-from molquarry.functions.tokens import TOKEN_CLOSED, plane_statistics
+from molquarry.functions.tokens import PLANE_STATISTICS, TOKEN_CLOSED, plane_statistics
 from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, molecule_table, rounded, rounded_sql
 from molquarry.operators.profile import profile
+from molquarry.plane_sql import plane_sql
 from molquarry.streaming.streams import windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(molecule_queries.QUERIES)
@@ -51,12 +52,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def token_planes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
-    return plane_statistics(rows, F.col("__text")).drop("__text")
+    return rounded(plane_statistics(rows, F.col("__text")).drop("__text"), tuple(PLANE_STATISTICS))
+
+
+ORACLES["token_planes_part"] = rounded_sql(plane_sql("part", "p_partkey", "p_type"), ["p_partkey"], tuple(PLANE_STATISTICS))
 
 
 @query
 def token_planes_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plane_statistics(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles")
+    return rounded(plane_statistics(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles"), tuple(PLANE_STATISTICS))
+
+
+ORACLES["token_planes_molecules"] = rounded_sql(plane_sql(MOLECULE_SQL, "mol_id", "smiles"), ["mol_id"], tuple(PLANE_STATISTICS))
+
+
+@query
+def token_planes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over whole texts of up to 20,000 words; too many cells for SQL."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text"))
+    return plane_statistics(rows, F.col("__text")).drop("__text")
 
 
 @query
