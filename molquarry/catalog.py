@@ -39,16 +39,61 @@ def entries() -> dict[str, Entry]:
             found.setdefault(n, Entry(n, molecules.FAMILIES[f].category, "molecule"))
     for n in (*bits.NAMES, *bits.DOCUMENTED):
         found.setdefault(n, Entry(n, "Bits", "bits"))
-    return found | {n: e for n, (e, _) in _registered.items()}
+    return found | {n: e for n, (e, _, _) in _registered.items()}
 
 
 Builder = Callable[[DataFrame, Column], Column]
-_registered: dict[str, tuple[Entry, Builder]] = {}
+_registered: dict[str, tuple[Entry, Builder, tuple[str, ...]]] = {}
+
+
+def register(name: str, category: str, build: Builder, needs: Sequence[str] = ()) -> None:
+    """Add a descriptor, or replace one: ``build`` makes its column from the table and the text column.
+
+    ``needs`` names other descriptors, given or registered, that the column reads as columns of the table. They
+    are worked out before it, once, whether they are asked for or not. A name that isn't known, and a
+    descriptor that would need itself in the end, are refused.
+    """
+    if not name.isidentifier() or name.startswith("__"):
+        raise ValueError(f"not a name of a descriptor: {name!r}")
+    if not callable(build):
+        raise TypeError("build has to be a function of the table and the text column")
+    known = set(entries()) | {name}
+    if unknown := [n for n in needs if n not in known]:
+        raise ValueError(f"{name} needs unknown descriptors {unknown}")
+    after, seen = list(needs), set()
+    while after:
+        n = after.pop()
+        if n == name:
+            raise ValueError(f"{name} would need itself")
+        if n not in seen:
+            seen.add(n)
+            after += _registered[n][2] if n in _registered else ()
+    _registered[name] = Entry(name, category, "registered"), build, tuple(needs)
+
+
+def unregister(name: str) -> None:
+    """Take a registered descriptor out again; a given one of the same name comes back. One that others need stays."""
+    if users := [n for n, (_, _, needs) in _registered.items() if name in needs]:
+        raise ValueError(f"{name} is needed by {users}")
+    _registered.pop(name, None)
+
+
+def closed(names: Sequence[str]) -> tuple[list[str], list[list[str]]]:
+    """The given descriptors that names need in the end, and the registered ones level by level, each after what it needs."""
+    depth: dict[str, int] = {}
+    given: dict[str, None] = {}
+
+    def level(name: str) -> int:
+        if name not in _registered:
+            given[name] = None
+            return 0
+        if name not in depth:
+            depth[name] = 1 + max((level(n) for n in _registered[name][2]), default=0)
+        return depth[name]
 
-
-def register(name: str, category: str, build: Builder) -> None:
-    """Add a descriptor, or replace one: ``build`` makes its column from the table and the text column."""
-    _registered[name] = Entry(name, category, "registered"), build
+    for n in names:
+        level(n)
+    return list(given), [[n for n, d in depth.items() if d == k] for k in range(1, max(depth.values(), default=0) + 1)]
 
 
 def resolve(names: Sequence[str] | None) -> list[str]:
@@ -68,10 +113,14 @@ def resolve(names: Sequence[str] | None) -> list[str]:
 
 
 def describe(df: DataFrame, smiles: Column, names: Sequence[str] | None = None) -> DataFrame:
-    """``df`` with the descriptors as columns, in the order asked for. Rows are never moved or dropped."""
+    """``df`` with the descriptors as columns, in the order asked for. Rows are never moved or dropped.
+
+    What registered descriptors need is worked out once for all of them, in the same pass.
+    """
     wanted = resolve(names)
     known = entries()
-    of = lambda need: [n for n in wanted if known[n].needs == need]
+    given, levels = closed(wanted)
+    of = lambda need: [n for n in given if known[n].needs == need]
     out = df.withColumn("__smiles", smiles)
     text = F.col("__smiles")
     left = set(of("text"))
@@ -90,8 +139,8 @@ def describe(df: DataFrame, smiles: Column, names: Sequence[str] | None = None)
         out = molecules.add_molecules(out, text, its)
     if its := of("bits"):
         out = bits.add_bits(out, text, its)
-    for n in of("registered"):
-        out = out.withColumn(n, _registered[n][1](out, text))
+    for level in levels:
+        out = out.withColumns({n: _registered[n][1](out, text) for n in level})
     flag = ["parse_ok"] if "parse_ok" in out.columns else []
     return out.select(*df.columns, *flag, *wanted)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from molquarry import catalog
 from molquarry.operators.profile import profile
+from molquarry.sources.csv_ranges import read_csv_ranges
 from molquarry.sources.csv import read_csv, smiles_column, write_csv
 
 
@@ -23,6 +24,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--reference-col")
     parser.add_argument("--delimiter", default=",")
     parser.add_argument("--one-line-rows", action="store_true", help="no field holds a line end, so that large files can be split")
+    parser.add_argument("--ranges", action="store_true", help="read large files by many tasks although fields may hold line ends; rows are not kept in order")
     parser.add_argument("-q", "--quiet", action="store_true")
     a = parser.parse_args(args)
     if a.list_descriptors:
@@ -35,7 +37,7 @@ def main(args: list[str] | None = None) -> int:
     if not a.input or not (a.output or a.profile):
         parser.error("-i and -o are needed")
     spark = SparkSession.builder.getOrCreate()
-    rows = read_csv(spark, a.input, a.delimiter, split=a.one_line_rows)
+    rows = read_csv_ranges(spark, a.input, a.delimiter) if a.ranges else read_csv(spark, a.input, a.delimiter, split=a.one_line_rows)
     if not rows.columns:
         # A file without even a header has no rows to describe.
         if a.output:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,10 @@ from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 from molquarry.functions.family import Family
 from molquarry.functions.tokens import PLANE_STATISTICS, TOKEN_CLOSED, plane_statistics
 from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, molecule_table, rounded, rounded_sql
-from molquarry.operators.profile import profile
+from molquarry.operators.profile import merged_sketches, profile, profile_by, profile_summary, sketch
 from molquarry.plane_sql import plane_sql
-from molquarry.streaming.streams import windowed_profile
+from molquarry.sources.csv_ranges import read_csv_ranges
+from molquarry.streaming.streams import late_table, session_profile, windowed_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(molecule_queries.QUERIES)
 ORACLES: dict[str, str] = dict(molecule_queries.ORACLES)
@@ -135,6 +138,16 @@ def bit_similarity_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.compare_bits(rows, F.col("p_brand"), F.col("p_type")).select("p_partkey", *[F.round(n, DIGITS).alias(n) for n in bits.PAIR_NAMES])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder; a temporary one where none is named and the driver is the only executor."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp()
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 _PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 
 
@@ -160,6 +173,88 @@ ORACLES["profile_orders"] = " UNION ALL ".join(
 )
 
 
+@query
+def profile_summary_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_summary(profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", _PROFILED))
+
+
+ORACLES["profile_summary_lineitem"] = f"""
+    WITH p AS ({ORACLES['profile_lineitem']})
+    SELECT count(*) AS columns, count(*) FILTER (WHERE abs(correlation) > 0.7) AS strong, count(*) FILTER (WHERE abs(correlation) > 0.3 AND abs(correlation) <= 0.7) AS moderate, count(*) FILTER (WHERE abs(correlation) <= 0.3) AS weak,
+           count(*) FILTER (WHERE zero_variance) AS zero_variance, count(*) FILTER (WHERE variance IS NULL) AS no_data FROM p"""
+
+
+@query
+def profile_cube_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles by flag and status with all subtotals."""
+    rows = profile_by(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_returnflag", "l_linestatus"], _PROFILED, "l_extendedprice")
+    return rows.select("l_returnflag", "l_linestatus", "grouping_id", "column_name", "n", F.round("mean", 6).alias("mean"), F.round("variance", 1).alias("variance"), F.round("correlation", 9).alias("correlation"))
+
+
+@query
+def profile_rollup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles by priority and status with the subtotals of each priority and of all."""
+    rows = profile_by(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderpriority", "o_orderstatus"], ["o_totalprice", "o_custkey"], "o_totalprice", "rollup")
+    return rows.select("o_orderpriority", "o_orderstatus", "grouping_id", "column_name", "n", F.round("mean", 6).alias("mean"), F.round("variance", 0).alias("variance"), F.round("correlation", 9).alias("correlation"))
+
+
+def _grouped_profile_sql(table: str, by: str, kind: str, columns: tuple[str, ...], reference: str, digits: int) -> str:
+    one = lambda c: f"SELECT {by}, grouping({by})::INT AS grouping_id, '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(var_pop({c}), {digits}) AS variance, round(corr({c}, {reference}), 9) AS correlation FROM {table} GROUP BY {kind} ({by})"
+    return " UNION ALL ".join(map(one, columns))
+
+
+ORACLES["profile_cube_lineitem"] = _grouped_profile_sql("lineitem", "l_returnflag, l_linestatus", "CUBE", _PROFILED, "l_extendedprice", 1)
+ORACLES["profile_rollup_orders"] = _grouped_profile_sql("orders", "o_orderpriority, o_orderstatus", "ROLLUP", ("o_totalprice", "o_custkey"), "o_totalprice", 0)
+
+
+@query
+def sketches_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values and quartiles of all rows from sketches of each month; approximate, within the bounds that the tests hold them to."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("month", F.trunc("l_shipdate", "month"))
+    return merged_sketches(sketch(rows, ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"], ["month"]))
+
+
+@query
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user over a finished table."""
+    rows = session_profile(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "value", ["user_id"], "2 hours")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return rows.select(stamp("session_start"), stamp("session_end"), "user_id", "rows", "n", F.round("mean", DIGITS).alias("mean"), F.round("variance", 9).alias("variance"))
+
+
+ORACLES["session_events"] = f"""
+    WITH s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k
+               FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL))
+    SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL '2 hours', '%Y-%m-%d %H:%M:%S.%f') AS session_end, user_id, count(*) AS rows, count(value) AS n, round(avg(value), {DIGITS}) AS mean, round(var_pop(value), 9) AS variance
+    FROM s GROUP BY user_id, k"""
+
+
+@query
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the keyed state of a stream ends with: by user, in the order of event_id, rows that are over a minute older than the newest before are late."""
+    rows = late_table(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "value", "event_id", 60.0)
+    return rows.select("key", "n", F.round("mean", DIGITS).alias("mean"), F.round("variance", 9).alias("variance"), "late", F.round("late_sum", 9).alias("late_sum"))
+
+
+ORACLES["late_events"] = f"""
+    WITH e AS (SELECT *, coalesce(epoch_us(ts) / 1e6 < max(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60.0, false) AS late FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL)
+    SELECT user_id::VARCHAR AS key, count(*) FILTER (WHERE NOT late) AS n, round(avg(value) FILTER (WHERE NOT late), {DIGITS}) AS mean, round(var_pop(value) FILTER (WHERE NOT late), 9) AS variance, count(*) FILTER (WHERE late) AS late,
+           round(coalesce(sum(value) FILTER (WHERE late), 0), 9) AS late_sum FROM e GROUP BY user_id"""
+
+
+@query
+def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as CSV and read again range by range, line ends, quotes and all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = scratch(spark) + "/documents.csv"
+    docs.write.csv(path, header=True, escape='"', quote='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = read_csv_ranges(spark, path)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLES["csv_documents"] = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+
 @query
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming profile's plan over a finished table."""

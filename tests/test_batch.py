@@ -12,7 +12,7 @@ from molquarry import catalog
 from molquarry.functions import molecules
 from molquarry.functions.batch import Texts, needed
 from molquarry.functions.bits import documented, kernels, murmur3
-from molquarry.functions.molecules import autocorrelation, property_entropy, vector_statistics, vector_values
+from molquarry.functions import library
 from molquarry.functions.smiles import Molecule
 from molquarry.functions.strings import SCANS, _closures
 from molquarry.functions.tables import PATTERN_FRACTIONS, PATTERNS
@@ -57,20 +57,37 @@ def test_a_large_ring_and_what_is_no_molecule(spark):
     assert got["CCO"]["NumAtoms"] == 3 and got[None]["NumAtoms"] is None and not got[None]["parse_ok"]
 
 
-def test_library_vectors_by_hand():
-    ethanol = Molecule("CCO")
-    v = vector_values(ethanol)
+def test_library_vectors_by_hand(spark):
+    rows = spark.createDataFrame([("CCO",), ("C=Cc1ccccc1",), ("C1CC2CCC1C2",), ("C1CCC2(CC1)CCCC2",), ("c1ccc2ccccc2c1",)], "smiles string")
+    names = ["mol_log_p", "mol_refractivity", "mol_electronegativity_mean", "mol_carbons", "mol_carbon_fraction", "mol_pairs_at_2", "mol_distance_first_last", "NumBridgeheadAtoms", "NumSpiroAtoms", "NumAromaticRings"]
+    got = {r["smiles"]: r for r in molecules.add_molecules(rows, F.col("smiles"), names).collect()}
+    v = got["CCO"]
     assert v["mol_log_p"] == pytest.approx(0.08 * 2 - 0.5) and v["mol_refractivity"] == pytest.approx(2.4 * 2 + 1.3)
     assert v["mol_electronegativity_mean"] == pytest.approx((2.55 * 2 + 3.44) / 3) and v["mol_carbons"] == 2 and v["mol_carbon_fraction"] == pytest.approx(2 / 3)
-    assert autocorrelation(ethanol, lambda a: a.z, 2) == [6 * 6 * 2 + 64, 36 + 48, 48] and v["mol_pairs_at_2"] == 1 and v["mol_distance_first_last"] == 2
-    assert vector_statistics([1, 2, 4])["geometric_mean"] == pytest.approx(2) and vector_statistics([1, 2, 4])["harmonic_mean"] == pytest.approx(3 / 1.75) and vector_statistics([])["mean"] == 0
-    assert property_entropy([0.1, 0.2, 5.0, 6.0], 1.0) == pytest.approx(1.5)
-    assert vector_values(Molecule("C=Cc1ccccc1"))["mol_refractivity"] == pytest.approx(2 * 2.4 + 6 * 3.1 + 1.7)
-
-
-def test_rings_that_share_atoms():
-    g = molecules.graph_values
-    assert (g(Molecule("C1CC2CCC1C2"))["NumBridgeheadAtoms"], g(Molecule("C1CCC2(CC1)CCCC2"))["NumSpiroAtoms"], g(Molecule("c1ccc2ccccc2c1"))["NumAromaticRings"]) == (2, 1, 2)
+    assert v["mol_pairs_at_2"] == 1 and v["mol_distance_first_last"] == 2 and got["C=Cc1ccccc1"]["mol_refractivity"] == pytest.approx(2 * 2.4 + 6 * 3.1 + 1.7)
+    assert (got["C1CC2CCC1C2"]["NumBridgeheadAtoms"], got["C1CCC2(CC1)CCCC2"]["NumSpiroAtoms"], got["c1ccc2ccccc2c1"]["NumAromaticRings"]) == (2, 1, 2)
+
+
+def test_library_functions_with_parameters(spark):
+    m, z = F.col("m"), lambda atom: atom["z"]
+    rows = spark.createDataFrame([("CCO",), ("C.C",), ("C1",)], "s string").select("s", molecules.parsed(F.col("s"), None).alias("m"))
+    told = rows.select("s", library.autocorrelation(m, z, 2).alias("a"), library.pairs_at_distance(m, 1).alias("p"), library.atoms_at_distance(m, 1, 1).alias("n"), library.atom_distance(m, 0, 2).alias("d"), library.atom_distance(m, 1, 0).alias("e"), library.atom_distance(m, 1, 1).alias("f"),
+                       library.count_atoms(m, lambda x: x["z"] == 6).alias("c"), library.bond_fraction(m, lambda x: x["ord"] == 1).alias("b"), library.property_vector(m, library.ELECTRONEGATIVITY).alias("v"))
+    got = {r["s"]: r for r in told.collect()}
+    one = got["CCO"]
+    assert one["a"] == [6 * 6 * 2 + 64, 36 + 48, 48] and [tuple(p) for p in one["p"]] == [(0, 1), (1, 2)] and (one["n"], one["d"], one["e"], one["f"], one["c"], one["b"]) == (2, 2, 1, 0, 2, 1.0)
+    assert one["v"] == [2.55, 2.55, 3.44] and got["C.C"]["e"] == -1 and got["C.C"]["b"] == 0.0 and got["C.C"]["a"] == [72.0, 0.0, 0.0]
+    assert all(x is None for k, x in got["C1"].asDict().items() if k != "s")
+
+
+def test_vectors(spark):
+    v, w = F.col("v"), F.col("w")
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 4.0], [2.0, 3.0]), (2, [], [1.0]), (3, [0.1, 0.2, 5.0, 6.0], [0.0] * 9), (4, None, None), (5, [1e9, 1e9 + 1], [-1.0])], "k int, v array<double>, w array<double>")
+    of = {n: getattr(library, n)(v).alias(n) for n in ("vector_mean", "vector_variance", "vector_std", "vector_min", "vector_max", "vector_range", "harmonic_mean", "geometric_mean")}
+    got = {r["k"]: r for r in rows.select("k", *of.values(), library.combined(v, w, lambda x, y: x * y).alias("both"), library.property_histogram(v, 1.0).alias("h"), library.property_entropy(v, 1.0).alias("e")).collect()}
+    assert got[1]["geometric_mean"] == pytest.approx(2) and got[1]["harmonic_mean"] == pytest.approx(3 / 1.75) and got[1]["both"] == [2.0, 6.0] and got[1]["vector_variance"] == pytest.approx(14 / 9)
+    assert all(got[2][n] == 0 for n in of) and got[2]["both"] == [] and got[2]["h"] == {}
+    assert got[3]["e"] == pytest.approx(1.5) and got[3]["h"] == {0: 2, 5: 1, 6: 1} and all(got[4][n] is None for n in of) and got[5]["vector_variance"] == 0.25
 
 
 def test_documented_values():
