@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry import catalog, molecule_queries
+from molquarry.byte_sql import DOCUMENTED as byte_documented
+from molquarry.byte_sql import KERNELS as byte_kernels
+from molquarry.byte_sql import byte_sql, similarity_sql
 from molquarry.functions import bits, strings
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
@@ -78,19 +81,36 @@ def token_planes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def string_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strings.add_scans(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles")
+    return rounded(strings.add_scans(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles"), tuple(strings.SCANS))
 
 
 @query
 def string_scans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text"))
-    return strings.add_scans(rows, F.col("__text")).drop("__text")
+    return rounded(strings.add_scans(rows, F.col("__text")).drop("__text"), tuple(strings.SCANS))
+
+
+def _scan_sql(table: str, key: str, text: str) -> str:
+    """Characters as rows with the branch depth after them; a carbon before a branch counts if three branches open right above its depth behind it."""
+    sql = f"""WITH t AS (SELECT {key} AS k, regexp_extract_all(coalesce({text}, ''), '(?s:.)') AS cs FROM {table}), c AS (SELECT k, unnest(range(1, len(cs) + 1)) AS pos, unnest(cs) AS ch FROM t),
+        d AS MATERIALIZED (SELECT *, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS depth, lead(ch) OVER w AS after FROM c WINDOW w AS (PARTITION BY k ORDER BY pos)),
+        closing AS (SELECT k, max(pos) AS last FROM d WHERE ch = ')' GROUP BY k), forks AS (SELECT d.k, pos, depth FROM d JOIN closing USING (k) WHERE ch = 'C' AND after = '(' AND last >= pos),
+        three AS (SELECT f.k, f.pos FROM forks f JOIN d ON d.k = f.k AND d.pos > f.pos AND d.ch = '(' AND d.depth = f.depth + 1 GROUP BY ALL HAVING count(*) >= 3), counts AS (SELECT k, count(*) AS n FROM three GROUP BY k),
+        outside AS (SELECT k, avg((ch <> 'C')::INT) AS share FROM d WHERE depth = 0 AND ch BETWEEN 'A' AND 'Z' AND length(ch) = 1 AND ord(ch) < 128 GROUP BY k)
+        SELECT t.k AS {key}, coalesce(n, 0) AS SmilesTertiaryCarbonCount, coalesce(share, 0) AS SmilesNonCarbonBackboneRatio FROM t LEFT JOIN counts USING (k) LEFT JOIN outside USING (k)"""
+    return rounded_sql(sql, [key], tuple(strings.SCANS))
+
+
+ORACLES["string_scans"], ORACLES["string_scans_documents"] = _scan_sql(MOLECULE_SQL, "mol_id", "smiles"), _scan_sql("documents", "doc_id", "text")
 
 
 @query
 def bit_kernels_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("__text"))
-    return bits.add_bits(rows, F.col("__text")).drop("__text")
+    return rounded(bits.add_bits(rows, F.col("__text")).drop("__text"), bits.NAMES)
+
+
+ORACLES["bit_kernels_part"] = rounded_sql(byte_sql("part", "p_partkey", "p_brand", {n: byte_kernels[n] for n in bits.NAMES}), ["p_partkey"], bits.NAMES)
 
 
 #: Values of bytes and bits that SQL gives, over the list of bytes ``b`` and the list of bits ``x`` of an ASCII text.
@@ -129,7 +149,11 @@ ORACLES["byte_values_part"] = rounded_sql(
 def byte_values_documented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documented byte and bit values, those without SQL among them."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
-    return bits.add_bits(rows, F.col("__text"), bits.DOCUMENTED).drop("__text")
+    return rounded(bits.add_bits(rows, F.col("__text"), bits.DOCUMENTED).drop("__text"), bits.DOCUMENTED)
+
+
+_REST = {n: byte_documented[n] for n in bits.DOCUMENTED if n not in _BYTE_SQL}
+ORACLES["byte_values_documented"] = f"SELECT a.*, b.* EXCLUDE (p_partkey) FROM ({ORACLES['byte_values_part']}) a JOIN ({rounded_sql(byte_sql('part', 'p_partkey', 'p_type', _REST), ['p_partkey'], tuple(_REST))}) b USING (p_partkey)"
 
 
 @query
@@ -138,6 +162,9 @@ def bit_similarity_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.compare_bits(rows, F.col("p_brand"), F.col("p_type")).select("p_partkey", *[F.round(n, DIGITS).alias(n) for n in bits.PAIR_NAMES])
 
 
+ORACLES["bit_similarity_part"] = rounded_sql(similarity_sql("part", "p_partkey", "p_brand", "p_type"), ["p_partkey"], bits.PAIR_NAMES)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder; a temporary one where none is named and the driver is the only executor."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
