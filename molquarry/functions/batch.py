@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Between texts; in a text it counts as the replacement character.
 END = "\x00"
+#: Bytes of texts whose characters are counted at once.
+SLICE = 1 << 21
 
 
 @functools.lru_cache(maxsize=None)
@@ -124,8 +126,22 @@ def _past(pattern: str, i: int) -> int:
     return i + 1
 
 
+_CLASS = re.compile(r"\(?(\[[^\^\]\\][^\]\\]*\])(\+?)\)?")
+_BEFORE_DIGIT = re.compile(r"\[a-z\]\*([a-z])\[a-z\]\*\[0-9\]")
+
+
+@functools.lru_cache(maxsize=None)
+def _members(of_class: str) -> np.ndarray:
+    """By code up to 255, which stands for all larger ones, whether a character is of an ASCII class."""
+    found = re.compile(of_class)
+    return np.array([0 < k < 128 and found.fullmatch(chr(k)) is not None for k in range(256)])
+
+
 class Texts:
-    """A batch of texts, joined."""
+    """A batch of texts, joined.
+
+    NUL, which stands between the texts, counts inside a text as U+FFFD: no pattern or literal means either.
+    """
 
     def __init__(self, texts: Sequence[str]):
         self.texts = [t.replace(END, "�") if END in t else t for t in texts]
@@ -134,6 +150,7 @@ class Texts:
         #: Where each text begins in the joined one.
         self.begin = 1 + np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]]) if len(self.texts) else np.zeros(0, np.int64)
         self._histogram: np.ndarray | None = None
+        self._codes: np.ndarray | None = None
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The rows of positions in the joined text."""
@@ -146,11 +163,42 @@ class Texts:
         """How often each ASCII character is found in each text: rows by 128."""
         if self._histogram is None:
             n, codes = len(self.texts), np.frombuffer(self.joined.encode("utf-8"), np.uint8)
-            row = np.cumsum(codes == 0) - 1
-            ascii_ = (codes < 128) & (codes > 0)
-            self._histogram = np.bincount(row[ascii_] * 128 + codes[ascii_], minlength=128 * n).reshape(-1, 128)[:n]
+            ends = np.flatnonzero(codes == 0)
+            counts = np.zeros((n, 128), np.int64)
+            # Some texts at a time, so that what is worked on stays small however large the batch.
+            a = 0
+            while a < n:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, side="right")) - 1)
+                part = codes[ends[a] : ends[b]]
+                row = np.cumsum(part == 0, dtype=np.int32) - 1
+                plain = (part < 128) & (part > 0)
+                counts[a:b] = np.bincount(row[plain].astype(np.int64) * 128 + part[plain], minlength=128 * (b - a)).reshape(-1, 128)
+                a = b
+            self._histogram = counts
         return self._histogram
 
+    def where(self, of_class: str) -> np.ndarray:
+        """Whether each character of the joined texts is of a class of ASCII characters, such as [a-z]."""
+        if self._codes is None:
+            self._codes = np.minimum(np.frombuffer(self.joined.encode("utf-32-le"), np.uint32), 255).astype(np.uint8)
+        return _members(of_class)[self._codes]
+
+    def _counted(self, mask: np.ndarray) -> np.ndarray:
+        """How many characters of each text a mask of the joined texts takes."""
+        upto = np.concatenate([[0], np.cumsum(mask)])
+        return upto[self.begin + self.lengths] - upto[self.begin]
+
+    def _before_digits(self, inside: str) -> np.ndarray:
+        """Runs of small letters, a given one among them, that end at a digit."""
+        small = self.where("[a-z]")
+        step = np.diff(small.astype(np.int8), prepend=0)
+        first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # a text never ends in a run: END follows
+        upto = np.concatenate([[0], np.cumsum(self.where(f"[{inside}]"))])
+        fit = self.where("[0-9]")[end] & (upto[end] > upto[first])
+        mask = np.zeros(len(small), bool)
+        mask[first[fit]] = True
+        return self._counted(mask)
+
     def literal(self, text: str) -> np.ndarray:
         """Occurrences that don't overlap."""
         if len(text) == 1 and ord(text) < 128:
@@ -158,7 +206,12 @@ class Texts:
         return self.pattern(re.escape(text)) if text in self.joined else np.zeros(len(self.texts), np.int64)
 
     def pattern(self, pattern: str) -> np.ndarray:
-        """Matches that don't overlap."""
+        """Matches that don't overlap. Single characters of a class, and runs of them, are taken from masks."""
+        if m := _CLASS.fullmatch(pattern):
+            mask = self.where(m[1])
+            return self._counted(mask & ~np.concatenate([[False], mask[:-1]]) if m[2] else mask)
+        if m := _BEFORE_DIGIT.fullmatch(pattern):
+            return self._before_digits(m[1])
         guards = needed(pattern)
         if guards is not None and not any(g in self.joined for g in guards):
             return np.zeros(len(self.texts), np.int64)
@@ -167,7 +220,7 @@ class Texts:
 
     def positions(self, characters: str) -> tuple[np.ndarray, np.ndarray]:
         """The rows and positions, from 1, at which one of some ASCII characters stands."""
-        at = np.array([m.start() for m in re.finditer("[" + re.escape(characters) + "]", self.joined)], np.int64)
+        at = np.flatnonzero(self.where("[" + re.escape(characters) + "]"))
         row = self.rows(at) if len(at) else at
         return row, at - self.begin[row] + 1 if len(at) else at
 

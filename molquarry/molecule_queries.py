@@ -30,11 +30,22 @@ ENDS = ("", "O", "N", "S", "F", "Cl", "C(=O)O")
 CHAINS = 7
 
 
+#: Bytes for each core up to which a table is dealt out to all cores.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few bytes for each core, dealt out to all cores: it may lie in one file that one task would read. A larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def molecule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mol_id and smiles, one row for each part."""
     pick = lambda texts, at: f"element_at(array({', '.join(map(repr, texts))}), CAST({at} + 1 AS INT))"
     smiles = f"concat({pick(BASES, f'p_partkey % {len(BASES)}')}, repeat('C', CAST(p_partkey DIV {len(BASES)} % {CHAINS} AS INT)), {pick(ENDS, f'p_partkey DIV {len(BASES) * CHAINS} % {len(ENDS)}')})"
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mol_id"), F.expr(smiles).alias("smiles"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mol_id"), F.expr(smiles).alias("smiles")))
 
 
 _PICK = lambda texts, at: f"([{', '.join(map(repr, texts))}])[{at} + 1]"

@@ -18,7 +18,7 @@ from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 from molquarry.functions.family import Family
 from molquarry.functions.tokens import PLANE_STATISTICS, TOKEN_CLOSED, plane_statistics
-from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, molecule_table, rounded, rounded_sql
+from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, molecule_table, rounded, rounded_sql, spread
 from molquarry.operators.profile import merged_sketches, profile, profile_by, profile_summary, sketch
 from molquarry.plane_sql import plane_sql
 from molquarry.sources.csv_ranges import read_csv_ranges
@@ -30,7 +30,7 @@ ORACLES: dict[str, str] = dict(molecule_queries.ORACLES)
 
 def text_query(family: Family, name: str, table: str, key: str, text: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, F.col(text).alias("__text"))
+        rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, F.col(text).alias("__text")))
         return rounded(family.add_to(rows, F.col("__text")).drop("__text"), family.names())
 
     QUERIES[name], ORACLES[name] = query, rounded_sql(family.sql(table, [key], text), [key], family.names())
@@ -57,7 +57,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def token_planes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text")))
     return rounded(plane_statistics(rows, F.col("__text")).drop("__text"), tuple(PLANE_STATISTICS))
 
 
@@ -75,7 +75,7 @@ ORACLES["token_planes_molecules"] = rounded_sql(plane_sql(MOLECULE_SQL, "mol_id"
 @query
 def token_planes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over whole texts of up to 20,000 words; too many cells for SQL."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text")))
     return plane_statistics(rows, F.col("__text")).drop("__text")
 
 
@@ -86,7 +86,7 @@ def string_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def string_scans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__text")))
     return rounded(strings.add_scans(rows, F.col("__text")).drop("__text"), tuple(strings.SCANS))
 
 
@@ -106,7 +106,7 @@ ORACLES["string_scans"], ORACLES["string_scans_documents"] = _scan_sql(MOLECULE_
 
 @query
 def bit_kernels_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("__text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("__text")))
     return rounded(bits.add_bits(rows, F.col("__text")).drop("__text"), bits.NAMES)
 
 
@@ -132,7 +132,7 @@ _BYTE_SQL = {
 
 @query
 def byte_values_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text")))
     return rounded(bits.add_bits(rows, F.col("__text"), tuple(_BYTE_SQL)).drop("__text"), tuple(_BYTE_SQL))
 
 
@@ -148,7 +148,7 @@ ORACLES["byte_values_part"] = rounded_sql(
 @query
 def byte_values_documented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documented byte and bit values, those without SQL among them."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text")))
     return rounded(bits.add_bits(rows, F.col("__text"), bits.DOCUMENTED).drop("__text"), bits.DOCUMENTED)
 
 
