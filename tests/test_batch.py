@@ -1,18 +1,19 @@
 """Counting in whole batches against counting text by text."""
 
+import random
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from molquarry import catalog
-from molquarry.functions import molecules
+from molquarry.functions import library, molecules
 from molquarry.functions.batch import Texts, needed
 from molquarry.functions.bits import documented, kernels, murmur3
-from molquarry.functions import library
 from molquarry.functions.smiles import Molecule
 from molquarry.functions.strings import SCANS, _closures
 from molquarry.functions.tables import PATTERN_FRACTIONS, PATTERNS
@@ -103,3 +104,23 @@ def test_registered_descriptors(spark):
         assert catalog.describe(df, F.col("smiles"), ["TextLength", "NumAtoms"]).first()["TextLength"] == 3
     finally:
         catalog._registered.clear()
+
+
+def test_classes_and_runs_from_masks_are_those_of_the_patterns():
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("CcNnOos123 \n[]()-é日abzABZ\x00") for _ in range(rng.randint(0, 40))) for _ in range(500)] + [""]
+    t = Texts(rows)
+    plain = [s.replace("\x00", "�") for s in rows]
+    for p in ("[a-z]", "[A-Za-z]+", "[0-9]", "([nc])", "[cnospfib]", "[a-z]*n[a-z]*[0-9]", "[a-z]*o[a-z]*[0-9]", "[-=]"):
+        assert t.pattern(p).tolist() == [sum(1 for _ in re.finditer(p, s)) for s in plain], p
+    row, at = t.positions("Nn")
+    assert list(zip(row, at, strict=True)) == [(k, i) for k, s in enumerate(plain) for i, c in enumerate(s, 1) if c in "Nn"]
+    whole = t.characters()
+    monkey = Texts(rows)
+    assert (whole == np.array([[s.count(chr(c)) if c else 0 for c in range(128)] for s in plain])).all() and monkey.characters().shape == (501, 128)
+
+
+def test_characters_are_counted_slice_by_slice(monkeypatch):
+    monkeypatch.setattr("molquarry.functions.batch.SLICE", 16)
+    rows = ["ab" * k for k in range(30)] + ["é" * 40, ""]
+    assert Texts(rows).characters()[:, ord("a")].tolist() == [s.count("a") for s in rows]
