@@ -21,6 +21,7 @@ ATOM = r"\[(?:[0-9]+)?(?:[A-Z][a-z]?|[cnospbih])(?:H[0-9]?)?(?:[+-][0-9]*)?(?::[
 SYMBOL = r"^\[[0-9]*([A-Z][a-z]?|[cnospbih])"
 
 #: Elements of a kind.
+# Elements of each kind.
 KINDS = {
     "Carbon": ("C", "c",),
     "Nitrogen": ("N", "n",),

@@ -79,6 +79,7 @@ PATTERNS: dict[str, str] = {
     "SmilesPhosphateAnionCount": r"P\(=O\)\(\[O-\]\)\(O\)O|P\(=O\)\(O\)\(O\)\[O-\]",
     "SmilesFluorinatedFragmentCount": r"[Cc](F|\[F\])+",
     "SmilesIonizableSulfurCount": r"\[S\+\]|\[S-\]|\[SH\]|S\[H\]",
+    # The longer alternative stands before the one that it begins with: engines that take the first and the longest match then agree.
     "SmilesGeneralAmmoniumCount": r"\[NH4\+\]|\[N\+\]\([^)]*\)|\[N\+\]",
     "SmilesKetoneCount": r"C\(=O\)C",
     "SmilesPrimaryAmineCount": r"\[NH2\]|N\([H]\)\([H]\)",
