@@ -10,12 +10,13 @@ windows have equal minimisers, so
    paths of two documents branch, their edges differ and the path is cut. A minimiser of many paths is dealt
    into shares: what has no smaller document in its share, one document for each edge, is looked at once more
    over all shares;
-3. each edge learns its source, the smallest document it starts in, and the paths of a document are glued by
-   their coordinates to the spans that go.
+3. each edge learns its source, the smallest document it starts in and where, and the paths of a document are
+   glued by both coordinates to the longest spans that repeat one run of words of one source;
+4. the source of each span tells a digest of the words at these coordinates, once for all documents that
+   repeat them, and a span goes only if its own words have the same digest.
 
-Windows are compared by the hashes of the minimiser and of the window, 64 bits each, over keyed hashes of the
-words; source coordinates are ranks of documents, and words are not compared again (the README says at what
-cost).
+Candidates are windows with equal hashes of the minimiser and of the window, 64 bits each, over keyed hashes of
+the words; what goes is verified by 128-bit digests of the words themselves.
 """
 
 from __future__ import annotations
@@ -107,6 +108,69 @@ def _shared_paths(k: int):
     return found
 
 
+_PIECES = {c: pa.int64() if c in ("id", "source") else pa.int32() for c in ("id", "row", "start", "n", "source", "source_row", "source_start")}
+PIECE = "id long, row int, start int, n int, source long, source_row int, source_start int"
+
+
+def _glued(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Pieces (id, row, start, n, source, source_row, source_start) that follow or overlap each other on both sides, as one."""
+    i, row, start, n, source, source_row, source_start = columns
+    shift = source_start - start
+    order = np.lexsort((start, shift, source_row, source, row, i))
+    i, row, start, n, source, source_row, shift = (x[order] for x in (i, row, start, n, source, source_row, shift))
+    new = np.ones(len(i), bool)
+    for x in (i, row, source, source_row, shift):
+        new[1:] &= x[1:] == x[:-1]
+    same, new = new, np.ones(len(i), bool)
+    # Pieces of one shift are sorted; the end so far is the largest, since all are cut from the same windows.
+    end = start.astype(np.int64) + n
+    group = np.cumsum(~np.append(False, same[1:])) if len(i) else np.zeros(0, np.int64)
+    far = np.maximum.accumulate(end + group * (1 << 32)) - group * (1 << 32) if len(i) else end
+    new[1:] = ~same[1:] | (start[1:] > far[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i))[: len(first)] - 1 if len(first) else first
+    return [i[first], row[first], start[first], (far[last] - start[first]).astype(np.int32), source[first], source_row[first], (start[first] + shift[first]).astype(np.int32)]
+
+
+def _edges_to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        i, row, start, source, source_row, source_start = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        out = _glued([i, row, start, np.ones(len(i), np.int32), source, source_row, source_start])
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(out, _PIECES.values(), strict=True)], list(_PIECES))
+
+
+def _pieces_to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each document, a list of structs, as spans."""
+    for batch in batches:
+        lists = batch.column(1)
+        fields = lists.flatten().flatten()
+        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths()))
+        out = _glued([owner, *(c.to_numpy(zero_copy_only=False) for c in fields)])
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(out, _PIECES.values(), strict=True)], list(_PIECES))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+_TOLD = {"source": pa.int64(), "source_row": pa.int32(), "source_start": pa.int32(), "n": pa.int32(), "digest": pa.binary()}
+
+
+def _told(k: int):
+    """What the words of a source are at the places that are asked for."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, text, asked, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                mine = [a for a in asked if a["source_row"] == row]
+                words = text.as_py().encode().split() if mine else []
+                out += [(i, row, a["source_start"], a["n"], _digest(words[a["source_start"] : a["source_start"] + a["n"] + k - 1])) for a in mine]
+            yield record_batch(out, _TOLD)
+
+    return found
+
+
 _KEPT = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "n_spans": pa.int64(), "kept_text": pa.string()}
 
 
@@ -116,18 +180,19 @@ def _removed(k: int, with_text: bool):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, at, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for i, text, spans_of_id, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n, removed, spans = len(words), 0, 0
-                if at.is_valid:
+                if spans_of_id.is_valid:
                     mark = np.zeros(n + 1, np.int32)
-                    coded = at.values.to_numpy(zero_copy_only=False)
-                    starts = np.unique(coded[coded >> 32 == row] & 0xFFFFFFFF)
-                    mark[starts] += 1
-                    np.subtract.at(mark, starts + k, 1)
+                    for x in spans_of_id.as_py():
+                        a, b = x["start"], x["start"] + x["n"] + k - 1
+                        if x["row"] == row and _digest(words[a:b]) == x["digest"]:
+                            mark[a] += 1
+                            mark[b] -= 1
                     gone = np.cumsum(mark[:n]) > 0
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    removed, spans = n - len(words), int(np.sum(gone[1:] & ~gone[:-1]) + gone[0])
+                    removed, spans = n - len(words), int(np.sum(gone[1:] & ~gone[:-1]) + gone[0]) if n else 0
                 kept = b" ".join(words)
                 row = (i, n, removed, hashlib.sha256(kept).hexdigest(), spans)
                 out.append((*row, kept.decode()) if with_text else row)
@@ -164,16 +229,24 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     paths = told.mapInArrow(_shared_paths(k), "gram long, share int, id long, row int, at int, edges array<long>")
     # The paths of one share of a minimiser meet in one task, which sorts them on disk if it has to.
     edges = paths.repartition("gram", "share").select("gram", "share", "id", "row", "at", F.posexplode("edges").alias("step", "edge"))
+    places = edges.withColumn("pos", F.col("at") + F.col("step")).withColumn("here", F.struct("id", "row", "pos"))
     beside = Window.partitionBy("gram", "share", "edge")
     # ``dealt`` is asked of the window, so that both uses read the same exchange.
-    met = edges.withColumn("source", F.min("id").over(beside)).withColumn("dealt", F.max("share").over(beside) >= 0)
-    removable = (F.col("source") < F.col("id")) & (F.col("source") < NAMELESS)
-    place = ("id", F.shiftleft(F.col("row").cast("long"), 32) + F.col("at") + F.col("step"))
-    first = met.where(removable).select(place[0], place[1].alias("at"))
+    met = places.withColumn("source", F.min("here").over(beside)).withColumn("dealt", F.max("share").over(beside) >= 0)
+    removable = (F.col("source.id") < F.col("id")) & (F.col("source.id") < NAMELESS)
+    coordinates = ("id", "row", "pos", "source.id", "source.row", "source.pos")
+    first = met.where(removable).select(*coordinates)
     # The rest of a dealt edge is one document a share, and rows without an id where a share has nothing else.
-    rest = met.where(F.col("dealt") & ~removable).withColumn("source", F.min("id").over(Window.partitionBy("gram", "edge")))
-    gone = first.unionAll(rest.where(removable).select(place[0], place[1].alias("at"))).groupBy("id").agg(F.collect_list("at").alias("ats"))
-    # Rows that share an id are told apart by a hash of their texts, above the position; joined by id alone, the texts are not shuffled again.
-    kept = rows.join(gone, "id", "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "text", "ats", F.hash("text").alias("row"))
+    rest = met.where(F.col("dealt") & ~removable).withColumn("source", F.min("here").over(Window.partitionBy("gram", "edge")))
+    pieces = first.unionAll(rest.where(removable).select(*coordinates)).toDF(*(f"c{j}" for j in range(6))).mapInArrow(_edges_to_pieces, PIECE)
+    # Rows that share an id are told apart by a hash of their texts.
+    spans = pieces.groupBy("id").agg(F.collect_list(F.struct("row", "start", "n", "source", "source_row", "source_start")).alias("pieces")).mapInArrow(_pieces_to_spans, PIECE)
+    # Copies of one source ask for the same words; they are asked for once.
+    at_source = ["source", "source_row", "source_start", "n"]
+    asked = spans.select(*at_source).distinct().groupBy(F.col("source").alias("id")).agg(F.collect_list(F.struct(*at_source[1:])).alias("asked"))
+    sources = rows.join(asked, "id").select("id", "text", "asked", F.hash("text").alias("row"), "nameless").mapInArrow(_told(k), "source long, source_row int, source_start int, n int, digest binary")
+    verified = spans.join(sources, at_source).groupBy("id").agg(F.collect_list(F.struct("row", "start", "n", "digest")).alias("spans"))
+    # Joined by id alone, the texts are not shuffled again.
+    kept = rows.join(verified, "id", "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "text", "spans", F.hash("text").alias("row"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + (", kept_text string" if with_text else "")
     return kept.mapInArrow(_removed(k, with_text), schema).withColumnRenamed("id", id_col)
