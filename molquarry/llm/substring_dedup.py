@@ -4,10 +4,10 @@ The edges of the graph are windows of ``k`` words. Each window has a minimiser,
 shorter grams in it, and consecutive windows with one minimiser are a path that is compacted at once. Equal
 windows have equal minimisers, so
 
-1. the minimisers of all documents are counted, and those of one document only are dropped: no window of
-   theirs is repeated across documents;
+1. the minimisers of all texts are counted, once for each text, and those of one text only are dropped: no
+   window of theirs is repeated across documents;
 2. the compacted paths of the others are joined by minimiser, which brings equal edges together; where the
-   paths of two documents branch, their edges differ and the path is cut. A minimiser of many paths is dealt
+   paths of two documents branch, their edges differ and the path is cut. A minimiser of many texts is dealt
    into shares: what has no smaller document in its share, one document for each edge, is looked at once more
    over all shares;
 3. each edge learns its source, the smallest document it starts in and where, and the paths of a document are
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from molquarry.llm.common import record_batch
 from molquarry.llm.rolling import mixed, slices, sliding_min, windows, words_of
 
-#: Words of the grams that minimisers are taken from; paths of one minimiser that a task takes, on average.
+#: Words of the grams that minimisers are taken from; texts of one minimiser that a task takes, on average.
 GRAM, HOT = 4, 4096
 
 
@@ -65,6 +65,10 @@ def _minimisers(k: int):
             for a, _, data, offsets in slices(texts):
                 least, _, text, at = _edges(data, offsets, k)
                 p = _paths(least, text, at)
+                p = p[np.lexsort((least[p], text[p]))]
+                new = np.ones(len(p), bool)
+                new[1:] = (least[p[1:]] != least[p[:-1]]) | (text[p[1:]] != text[p[:-1]])
+                p = p[new]  # each minimiser of a text once
                 yield pa.record_batch([pa.array(least[p]), pa.array(ids[a + text[p]])], ["gram", "id"])
 
     return found
@@ -212,7 +216,7 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     id (of several sources the smallest counts). Null texts have no words; a null id counts as larger than any
     other, and so do the last 2 ** 30 numbers; rows that share an id, or have none, don't remove each other's
     words, and repeated rows lose the same. Very long texts are worked on whole, one at a time. An empty table
-    gives no rows; other columns, whatever their names, are not looked at. Minimisers of more than ``hot`` paths
+    gives no rows; other columns, whatever their names, are not looked at. Minimisers of more than ``hot`` texts
     are dealt into shares.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -220,8 +224,8 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     rows = docs.select(named.alias("id"), text.alias("text"), docs[id_col].isNull().alias("nameless"))
     # Counting combines on the map side.
     grams = rows.select("id", "text").mapInArrow(_minimisers(k), "gram long, id long")
-    counted = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = counted.where("lo < hi").select("gram", F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).alias("shares"))
+    counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    shared = counted.where("n > 1").select("gram", F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).alias("shares"))
     dealt = F.when(F.col("shares").isNotNull(), F.struct("gram", "shares"))
     lists = grams.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"), F.collect_set(dealt).alias("hot"))
     # The unused last column keeps this exchange of the texts the same as that of the last join, so that it runs once.
