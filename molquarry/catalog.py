@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from molquarry.functions import bits, molecules, strings, tokens
 from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
-from molquarry.functions.family import add_families
+from molquarry.functions.family import extend_families
 
 TEXT_FAMILIES = (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, strings.STRING_DOCUMENTED, ELECTRONEGATIVITY, ACIDITY, tokens.TOKEN_CLOSED)
 
@@ -121,7 +121,8 @@ def describe(df: DataFrame, smiles: Column, names: Sequence[str] | None = None)
     known = entries()
     given, levels = closed(wanted)
     of = lambda need: [n for n in given if known[n].needs == need]
-    out = df.withColumn("__smiles", smiles)
+    # Each family's columns are carried as one struct up to the end: taken out and packed again from step to step, plans grow with the square of all columns.
+    out = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), smiles.alias("__smiles"), F.coalesce(smiles, F.lit("")).alias("s"))
     text = F.col("__smiles")
     left = set(of("text"))
     families = []
@@ -129,16 +130,18 @@ def describe(df: DataFrame, smiles: Column, names: Sequence[str] | None = None)
         if its := [n for n in f.names() if n in left]:
             families.append((f, its))
             left -= set(its)
+    made: dict[str, list[str]] = {}
     if families:
-        out = add_families(out, text, families)
+        out, made = extend_families(out, families)
     if its := of("scan"):
-        out = strings.add_scans(out, text, its)
+        out, made["__scans"] = out.withColumn("__scans", strings.scans(text, its)), its
     if its := of("planes"):
-        out = tokens.plane_statistics(out, text, its)
+        out, made["__planes"] = out.withColumn("__planes", tokens.planes_of(text, its)), its
     if its := of("molecule"):
-        out = molecules.add_molecules(out, text, its)
+        out, made["__mol"] = molecules.extend_molecules(out, text, its, "__mol"), ["parse_ok", *its]
     if its := of("bits"):
-        out = bits.add_bits(out, text, its)
+        out, made["__bits"] = out.withColumn("__bits", bits.bits(text, its)), its
+    out = out.select("__row.*", "__smiles", *[F.col(f"{part}.{n}").alias(n) for part, its in made.items() for n in its])
     for level in levels:
         out = out.withColumns({n: _registered[n][1](out, text) for n in level})
     flag = ["parse_ok"] if "parse_ok" in out.columns else []

@@ -76,10 +76,16 @@ def add_families(df: DataFrame, text: Column, wanted: Sequence[tuple[Family, Seq
     without stages are counted together, in one pass over the texts.
     """
     inner = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.coalesce(text, F.lit("")).alias("s"))
+    inner, made = extend_families(inner, wanted)
+    return inner.select("__row.*", *[f"{out}.*" for out in made])
+
+
+def extend_families(inner: DataFrame, wanted: Sequence[tuple[Family, Sequence[str]]]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """``inner``, which has the text as ``s``, with struct columns of descriptors of several families, and what each of them holds."""
     flat = [(f, names) for f, names in wanted if not f.stages and not f.values]
     parts = [(f, list(names)) for f, names in wanted if f.stages or f.values]
     if flat:
         parts.append((Family("flat", "", lambda d: {n: e for f, _ in flat for n, e in f.outputs(d).items()}), [n for _, names in flat for n in names]))
     for k, (f, names) in enumerate(parts):
         inner = f.extend(inner, names, f"__out{k}")
-    return inner.select("__row.*", *[f"__out{k}.*" for k in range(len(parts))])
+    return inner, {f"__out{k}": names for k, (_, names) in enumerate(parts)}

@@ -457,6 +457,12 @@ def add_molecules(df: DataFrame, smiles: Column, names: Sequence[str] | None = N
     Texts are parsed once, and only the paths, pairs and stages that the names need are worked out.
     """
     wanted = [n for f in NAMES.values() for n in f] if names is None else list(names)
+    inner = extend_molecules(df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), smiles.alias("__smiles")), F.col("__smiles"), wanted, "__mol")
+    return inner.select("__row.*", "__mol.*")
+
+
+def extend_molecules(inner: DataFrame, smiles: Column, wanted: Sequence[str], out: str) -> DataFrame:
+    """``inner``, which has no columns of the stages' names, with a struct column ``out`` of parse_ok and the descriptors."""
     families = [d for d in FAMILIES.values() if set(d.values) & set(wanted)]
     values = {n: e for d in families for n, e in d.values.items()}
     stages = STAGES | {n: e for d in families for n, e in d.stages.items()}
@@ -464,9 +470,9 @@ def add_molecules(df: DataFrame, smiles: Column, names: Sequence[str] | None = N
     text = " ".join([*(values[n] for n in wanted), *(stages[n] for level in levels for n in level)])
     lists = [d.listed for d in families if set(d.values) & set(wanted) and "m.pairs" in text]
     listed = None if None in lists else max(lists, default=0)
-    inner = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), parsed(smiles, listed, any(p in text for p in _PATHS)).alias("m"))
+    columns = inner.columns
+    inner = inner.select("*", parsed(smiles, listed, any(p in text for p in _PATHS)).alias("m"))
     for level in levels:
         inner = inner.select("*", *[F.expr(stages[n]).alias(n) for n in level])
     ok = F.col("m").isNotNull()
-    out = inner.select("__row", F.struct(ok.alias("parse_ok"), *[F.when(ok, F.expr(values[n]).cast("double")).alias(n) for n in wanted]).alias("__mol"))
-    return out.select("__row.*", "__mol.*")
+    return inner.select(*columns, F.struct(ok.alias("parse_ok"), *[F.when(ok, F.expr(values[n]).cast("double")).alias(n) for n in wanted]).alias(out))

@@ -220,10 +220,15 @@ SCANS: dict[str, Callable[[str], float]] = {"SmilesTertiaryCarbonCount": _forked
 
 def add_scans(df: DataFrame, text: Column, names: Sequence[str] = tuple(SCANS)) -> DataFrame:
     """``df`` with the descriptors that follow the depth of branches."""
+    return df.withColumn("__scans", scans(text, names)).select(*df.columns, "__scans.*")
+
+
+def scans(text: Column, names: Sequence[str]) -> Column:
+    """A struct of the descriptors that follow the depth of branches; a null text is empty."""
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
             yield pd.DataFrame([[SCANS[n](s) for n in names] for s in series], columns=list(names), dtype=float)
 
-    return df.withColumn("__scans", scanned(F.coalesce(text, F.lit("")))).select(*df.columns, "__scans.*")
+    return scanned(F.coalesce(text, F.lit("")))

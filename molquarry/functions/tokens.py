@@ -140,6 +140,18 @@ def tokenize(s: str) -> tuple[list[str], np.ndarray]:
     return tokens, np.array([kinds[t] for t in tokens], dtype=np.int64)
 
 
+def planes(s: str) -> tuple[np.ndarray, np.ndarray]:
+    """The four planes of a short text (4, N, N) and the types of its tokens, cell by cell."""
+    tokens, types = tokenize(s)
+    n = len(tokens)
+    text = np.array(tokens, dtype=object)
+    same = text[:, None] == text[None, :]
+    atom, bond, ring = np.isin(types, ATOM_TYPES), types == BOND_TYPE, types == RING_TYPE
+    i = np.arange(n)
+    far = np.abs(i[:, None] - i[None, :]) / max(n - 1, 1)
+    return np.stack([same, (atom[:, None] & bond) | (bond[:, None] & atom), same & ring[:, None] & ring, far]).astype(float), types
+
+
 class Classes:
     """A text of N tokens as classes of equal tokens, from which sums over the N x N cells follow without the cells."""
 
@@ -318,15 +330,21 @@ def plane_statistics(df: DataFrame, text: Column, names: Sequence[str] | None =
     Texts may be long: no plane is made, and a text of N tokens takes time and memory in proportion to N.
     """
     wanted = [n for n in (PLANE_STATISTICS if names is None else names) if n in PLANE_STATISTICS]
+    return df.withColumn("__planes", planes_of(text, wanted)).select(*df.columns, "__planes.*")
+
+
+def planes_of(text: Column, wanted: Sequence[str]) -> Column:
+    """A struct of statistics of the planes. Of equal texts in a batch one is worked out."""
     schema = ", ".join(f"{n} double" for n in wanted)
 
     @F.pandas_udf(schema)
     def taken(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            rows = []
+            found: dict[str, list[float]] = {}
             for s in series:
-                t = Classes(*tokenize(s))
-                rows.append([PLANE_STATISTICS[n][1](t) if t.n >= PLANE_STATISTICS[n][0] else 0.0 for n in wanted])
-            yield pd.DataFrame(rows, columns=wanted, dtype=float)
+                if s not in found:
+                    t = Classes(*tokenize(s))
+                    found[s] = [PLANE_STATISTICS[n][1](t) if t.n >= PLANE_STATISTICS[n][0] else 0.0 for n in wanted]
+            yield pd.DataFrame([found[s] for s in series], columns=list(wanted), dtype=float)
 
-    return df.withColumn("__planes", taken(F.coalesce(text, F.lit("")))).select(*df.columns, "__planes.*")
+    return taken(F.coalesce(text, F.lit("")))
