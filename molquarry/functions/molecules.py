@@ -128,7 +128,8 @@ def parsed(smiles: Column, listed: int | None = 8, with_paths: bool = True) -> C
             parts = [parsed_batch(batch.slice(a, SLICE).to_pylist(), listed, with_paths) for a in range(0, len(batch), SLICE)]
             yield pa.concat_arrays(parts or [parsed_batch([], listed, with_paths)])
 
-    return run(F.coalesce(smiles, F.lit("")))
+    # A filter on what is parsed would else be pushed down with a second run of the function, below distinct() over all rows.
+    return run.asNondeterministic()(F.coalesce(smiles, F.lit("")))
 
 
 def _given(table: Mapping[int, float], factor: str = "1D") -> str:

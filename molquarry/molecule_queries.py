@@ -41,6 +41,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL * cores else df
 
 
+def by_text(rows: DataFrame, text: str, described: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``described`` adds to the table of their different texts, joined back by text; a null text is empty.
+
+    Columns whose texts repeat, as types, brands and generated molecules do, are worked out once for each text. Where
+    all texts differ this costs a shuffle of keys and texts.
+    """
+    texts = rows.select(F.coalesce(text, F.lit("")).alias(text)).distinct()
+    found = described(dealt(texts)).withColumnRenamed(text, "__key")
+    return rows.withColumn("__key", F.coalesce(text, F.lit(""))).join(found, "__key").drop("__key")
+
+
+def dealt(texts: DataFrame) -> DataFrame:
+    """Different texts dealt out to all cores: working them out takes longer than their few bytes tell."""
+    spark = texts.sparkSession
+    return texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def molecule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mol_id and smiles, one row for each part."""
     pick = lambda texts, at: f"element_at(array({', '.join(map(repr, texts))}), CAST({at} + 1 AS INT))"
@@ -64,7 +81,7 @@ def rounded_sql(sql: str, keys: Sequence[str], names: Sequence[str]) -> str:
 def _family_query(family: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = molecules.NAMES[family]
-        return rounded(molecules.add_molecules(molecule_table(spark, sf_dir), F.col("smiles"), names).drop("smiles"), names)
+        return by_text(molecule_table(spark, sf_dir), "smiles", lambda t: rounded(molecules.add_molecules(t, F.col("smiles"), names), names)).drop("smiles")
 
     QUERIES[f"molecule_{family}"] = run
 
@@ -354,8 +371,8 @@ _NUMBERED = f"SELECT mol_id, dense_rank() OVER (ORDER BY smiles) AS t FROM {MOLE
 
 def _graph_query(name: str, names: tuple[str, ...]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = molecules.add_molecules(molecule_table(spark, sf_dir), F.col("smiles"), names).where("parse_ok")
-        return rounded(rows.select("mol_id", *names), names)
+        described = lambda t: rounded(molecules.add_molecules(t, F.col("smiles"), names).where("parse_ok").drop("parse_ok"), names)
+        return by_text(molecule_table(spark, sf_dir), "smiles", described).drop("smiles")
 
     QUERIES[name] = run
 
@@ -399,7 +416,9 @@ _TABLES = {"mass_kg": elements.MASS, "pauling": elements.PAULING, "allred_rochow
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return molecule_table(spark, sf_dir).select(molecules.parsed(F.col("smiles"), 0, False).alias("m"))
+    """The different molecules, parsed, and how often each is found."""
+    texts = molecule_table(spark, sf_dir).groupBy("smiles").agg(F.count(F.lit(1)).alias("times"))
+    return dealt(texts).select("times", molecules.parsed(F.col("smiles"), 0, False).alias("m"))
 
 
 def element_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,14 +426,14 @@ def element_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"main_group": elements.is_main_group, "transition_metal": elements.is_transition_metal, "alkali": elements.is_alkali_metal, "alkaline_earth": elements.is_alkaline_earth, "noble_gas": elements.is_noble_gas, "metal": elements.is_metal}
     rows = [(z, s, elements.group(z), elements.period(z), *(float(t.get(z, 0.0)) for t in _TABLES.values()), z in elements.HALOGENS, *(f(z) for f in flags.values())) for s, z in elements.ATOMIC_NUMBER.items()]
     schema = "z int, symbol string, grp int, period int, " + ", ".join(f"{n} double" for n in _TABLES) + ", halogen boolean, " + ", ".join(f"{n} boolean" for n in flags)
-    counts = _parsed(spark, sf_dir).select(F.explode(molecules.element_counts(F.col("m"))).alias("z", "c")).groupBy("z").agg(F.sum("c").alias("atoms"), F.count(F.lit(1)).alias("molecules"))
+    counts = _parsed(spark, sf_dir).select("times", F.explode(molecules.element_counts(F.col("m"))).alias("z", "c")).groupBy("z").agg(F.sum(F.col("c") * F.col("times")).alias("atoms"), F.sum("times").alias("molecules"))
     found = spark.createDataFrame(rows, schema).join(F.broadcast(counts), "z", "left")
     return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("atoms", "molecules")})
 
 
 def ring_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each ring size: rings, molecules that have one, and most in one molecule, from the molecules' maps."""
-    return _parsed(spark, sf_dir).select(F.explode(molecules.ring_sizes(F.col("m"))).alias("size", "c")).groupBy("size").agg(F.sum("c").alias("rings"), F.count(F.lit(1)).alias("molecules"), F.max("c").alias("most"))
+    return _parsed(spark, sf_dir).select("times", F.explode(molecules.ring_sizes(F.col("m"))).alias("size", "c")).groupBy("size").agg(F.sum(F.col("c") * F.col("times")).alias("rings"), F.sum("times").alias("molecules"), F.max("c").alias("most"))
 
 
 QUERIES["element_table"], QUERIES["ring_sizes"] = element_table, ring_sizes

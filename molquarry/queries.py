@@ -18,7 +18,7 @@ from molquarry.functions.acidity import ACIDITY
 from molquarry.functions.electronegativity import ELECTRONEGATIVITY
 from molquarry.functions.family import Family
 from molquarry.functions.tokens import PLANE_STATISTICS, TOKEN_CLOSED, plane_statistics
-from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, molecule_table, rounded, rounded_sql, spread
+from molquarry.molecule_queries import DIGITS, MOLECULE_SQL, by_text, dealt, molecule_table, rounded, rounded_sql, spread
 from molquarry.operators.profile import merged_sketches, profile, profile_by, profile_summary, sketch
 from molquarry.plane_sql import plane_sql
 from molquarry.sources.csv_ranges import read_csv_ranges
@@ -36,9 +36,13 @@ def text_query(family: Family, name: str, table: str, key: str, text: str) -> No
     QUERIES[name], ORACLES[name] = query, rounded_sql(family.sql(table, [key], text), [key], family.names())
 
 
+def part_texts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col(text).alias("__text")))
+
+
 def molecule_text_query(family: Family) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(family.add_to(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles"), family.names())
+        return by_text(molecule_table(spark, sf_dir), "smiles", lambda t: rounded(family.add_to(t, F.col("smiles")), family.names())).drop("smiles")
 
     QUERIES[f"{family.name}_molecules"], ORACLES[f"{family.name}_molecules"] = query, rounded_sql(family.sql(MOLECULE_SQL, ["mol_id"], "smiles"), ["mol_id"], family.names())
 
@@ -46,7 +50,8 @@ def molecule_text_query(family: Family) -> None:
 for _family in (strings.STRING_COUNTS, strings.STRING_PATTERNS, strings.STRING_RATIOS, strings.CHAR_FRACTIONS, strings.PATTERN_SHARES, strings.STRING_DOCUMENTED, ELECTRONEGATIVITY, ACIDITY):
     text_query(_family, _family.name, "documents", "doc_id", "text")
     molecule_text_query(_family)
-text_query(TOKEN_CLOSED, "token_closed_part", "part", "p_partkey", "p_type")
+QUERIES["token_closed_part"] = lambda spark, sf_dir: by_text(part_texts(spark, sf_dir, "p_type"), "__text", lambda t: rounded(TOKEN_CLOSED.add_to(t, F.col("__text")), TOKEN_CLOSED.names())).drop("__text")
+ORACLES["token_closed_part"] = rounded_sql(TOKEN_CLOSED.sql("part", ["p_partkey"], "p_type"), ["p_partkey"], TOKEN_CLOSED.names())
 molecule_text_query(TOKEN_CLOSED)
 
 
@@ -57,8 +62,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def token_planes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text")))
-    return rounded(plane_statistics(rows, F.col("__text")).drop("__text"), tuple(PLANE_STATISTICS))
+    return by_text(part_texts(spark, sf_dir, "p_type"), "__text", lambda t: rounded(plane_statistics(t, F.col("__text")), tuple(PLANE_STATISTICS))).drop("__text")
 
 
 ORACLES["token_planes_part"] = rounded_sql(plane_sql("part", "p_partkey", "p_type"), ["p_partkey"], tuple(PLANE_STATISTICS))
@@ -66,7 +70,7 @@ ORACLES["token_planes_part"] = rounded_sql(plane_sql("part", "p_partkey", "p_typ
 
 @query
 def token_planes_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(plane_statistics(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles"), tuple(PLANE_STATISTICS))
+    return by_text(molecule_table(spark, sf_dir), "smiles", lambda t: rounded(plane_statistics(t, F.col("smiles")), tuple(PLANE_STATISTICS))).drop("smiles")
 
 
 ORACLES["token_planes_molecules"] = rounded_sql(plane_sql(MOLECULE_SQL, "mol_id", "smiles"), ["mol_id"], tuple(PLANE_STATISTICS))
@@ -81,7 +85,7 @@ def token_planes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def string_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(strings.add_scans(molecule_table(spark, sf_dir), F.col("smiles")).drop("smiles"), tuple(strings.SCANS))
+    return by_text(molecule_table(spark, sf_dir), "smiles", lambda t: rounded(strings.add_scans(t, F.col("smiles")), tuple(strings.SCANS))).drop("smiles")
 
 
 @query
@@ -106,8 +110,7 @@ ORACLES["string_scans"], ORACLES["string_scans_documents"] = _scan_sql(MOLECULE_
 
 @query
 def bit_kernels_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("__text")))
-    return rounded(bits.add_bits(rows, F.col("__text")).drop("__text"), bits.NAMES)
+    return by_text(part_texts(spark, sf_dir, "p_brand"), "__text", lambda t: rounded(bits.add_bits(t, F.col("__text")), bits.NAMES)).drop("__text")
 
 
 ORACLES["bit_kernels_part"] = rounded_sql(byte_sql("part", "p_partkey", "p_brand", {n: byte_kernels[n] for n in bits.NAMES}), ["p_partkey"], bits.NAMES)
@@ -132,8 +135,7 @@ _BYTE_SQL = {
 
 @query
 def byte_values_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text")))
-    return rounded(bits.add_bits(rows, F.col("__text"), tuple(_BYTE_SQL)).drop("__text"), tuple(_BYTE_SQL))
+    return by_text(part_texts(spark, sf_dir, "p_type"), "__text", lambda t: rounded(bits.add_bits(t, F.col("__text"), tuple(_BYTE_SQL)), tuple(_BYTE_SQL))).drop("__text")
 
 
 ORACLES["byte_values_part"] = rounded_sql(
@@ -148,8 +150,7 @@ ORACLES["byte_values_part"] = rounded_sql(
 @query
 def byte_values_documented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documented byte and bit values, those without SQL among them."""
-    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("__text")))
-    return rounded(bits.add_bits(rows, F.col("__text"), bits.DOCUMENTED).drop("__text"), bits.DOCUMENTED)
+    return by_text(part_texts(spark, sf_dir, "p_type"), "__text", lambda t: rounded(bits.add_bits(t, F.col("__text"), bits.DOCUMENTED), bits.DOCUMENTED)).drop("__text")
 
 
 _REST = {n: byte_documented[n] for n in bits.DOCUMENTED if n not in _BYTE_SQL}
@@ -296,14 +297,16 @@ ORACLES["windowed_events"] = f"""
 @query
 def describe_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every descriptor of every family in one plan."""
-    return catalog.describe(molecule_table(spark, sf_dir), F.col("smiles"))
+    rows = molecule_table(spark, sf_dir)
+    return by_text(rows, "smiles", lambda t: catalog.describe(t, F.col("smiles")))
 
 
 @query
 def descriptor_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog, with how many of the molecules have a value other than 0 of each descriptor."""
     names = [e.name for e in catalog.entries().values() if e.needs == "text"]
-    values = catalog.describe(molecule_table(spark, sf_dir), F.col("smiles"), names)
-    counts = values.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.count_if(F.col(n) != 0).alias("n")) for n in names]).alias("c"))
+    texts = molecule_table(spark, sf_dir).groupBy("smiles").agg(F.count(F.lit(1)).alias("__times"))
+    values = catalog.describe(dealt(texts), F.col("smiles"), names)
+    counts = values.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.sum(F.when(F.col(n) != 0, F.col("__times")).otherwise(0)), F.lit(0)).alias("n")) for n in names]).alias("c"))
     found = counts.select(F.explode("c").alias("c")).select("c.*")
     return catalog.listing(spark).join(F.broadcast(found), "name", "left")
