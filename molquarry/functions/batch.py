@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 END = "\x00"
 #: Bytes of texts whose characters are counted at once.
 SLICE = 1 << 21
+#: Bytes of texts that are joined; a longer text stands alone. Masks and positions take tens of bytes for each.
+JOINED = 1 << 20
 
 
 @functools.lru_cache(maxsize=None)
@@ -126,6 +129,12 @@ def _past(pattern: str, i: int) -> int:
     return i + 1
 
 
+@functools.lru_cache(maxsize=None)
+def in_arrow(pattern: str) -> bool:
+    """Whether Arrow counts a pattern's matches alike: it looks neither around nor back, as it goes on behind each match on its own, and has ASCII classes only."""
+    return not re.search(r"\(\?|\\[A-Za-z0-9]", pattern) and "^" not in pattern.replace("[^", "[") and not re.compile(pattern).match("")
+
+
 _CLASS = re.compile(r"\(?(\[[^\^\]\\][^\]\\]*\])(\+?)\)?")
 _BEFORE_DIGIT = re.compile(r"\[a-z\]\*([a-z])\[a-z\]\*\[0-9\]")
 
@@ -151,6 +160,7 @@ class Texts:
         self.begin = 1 + np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]]) if len(self.texts) else np.zeros(0, np.int64)
         self._histogram: np.ndarray | None = None
         self._codes: np.ndarray | None = None
+        self._arrow: pa.Array | None = None
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The rows of positions in the joined text."""
@@ -206,7 +216,7 @@ class Texts:
         return self.pattern(re.escape(text)) if text in self.joined else np.zeros(len(self.texts), np.int64)
 
     def pattern(self, pattern: str) -> np.ndarray:
-        """Matches that don't overlap. Single characters of a class, and runs of them, are taken from masks."""
+        """Matches that don't overlap. Single characters of a class, and runs of them, are taken from masks; most patterns are counted by Arrow."""
         if m := _CLASS.fullmatch(pattern):
             mask = self.where(m[1])
             return self._counted(mask & ~np.concatenate([[False], mask[:-1]]) if m[2] else mask)
@@ -215,9 +225,12 @@ class Texts:
         guards = needed(pattern)
         if guards is not None and not any(g in self.joined for g in guards):
             return np.zeros(len(self.texts), np.int64)
+        if in_arrow(pattern):
+            if self._arrow is None:
+                self._arrow = pa.array(self.texts, pa.large_string())
+            return pc.count_substring_regex(self._arrow, pattern).to_numpy(zero_copy_only=False)
         return self._per_row([m.start() for m in bounded(pattern).finditer(self.joined)])
 
-
     def positions(self, characters: str) -> tuple[np.ndarray, np.ndarray]:
         """The rows and positions, from 1, at which one of some ASCII characters stands."""
         at = np.flatnonzero(self.where("[" + re.escape(characters) + "]"))
@@ -237,6 +250,16 @@ class Texts:
         return out
 
 
+def joined(batch: pa.Array) -> Iterator[Texts]:
+    """The texts of a batch some at a time, so that memory follows neither the rows of a batch nor their lengths together."""
+    upto = np.cumsum(pc.binary_length(batch).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + JOINED, side="right")))
+        yield Texts(batch.slice(a, b - a).to_pylist())
+        a = b
+
+
 def add_counts(df: DataFrame, text: Column, wanted: Sequence[tuple[str, str]], name: str) -> DataFrame:
     """``df`` with an array column of whole numbers, one for each (kind, what); a null text is empty.
 
@@ -247,10 +270,12 @@ def add_counts(df: DataFrame, text: Column, wanted: Sequence[tuple[str, str]], n
     @F.arrow_udf("array<bigint>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = Texts(batch.to_pylist())
-            table = np.empty((len(batch), len(wanted)), np.int64)
-            for k, (kind, what) in enumerate(wanted):
-                table[:, k] = texts.literal(what) if kind == "literal" else texts.pattern(what) if kind == "pattern" else texts.over_positions(kind, what)
+            table, at = np.empty((len(batch), len(wanted)), np.int64), 0
+            for texts in joined(batch):
+                rows = slice(at, at + len(texts.texts))
+                for k, (kind, what) in enumerate(wanted):
+                    table[rows, k] = texts.literal(what) if kind == "literal" else texts.pattern(what) if kind == "pattern" else texts.over_positions(kind, what)
+                at = rows.stop
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(wanted), pa.int32()), pa.array(table.ravel()))
 
     return df.withColumn(name, counted(F.coalesce(text, F.lit(""))))
@@ -262,7 +287,7 @@ def add_values(df: DataFrame, text: Column, names: Sequence[str], of: Callable[[
     @F.arrow_udf(", ".join(f"{n} double" for n in names))
     def valued(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            values = of(Texts(batch.to_pylist()), names)
-            yield pa.StructArray.from_arrays([pa.array(np.asarray(values[n], float)) for n in names], list(names))
+            parts = [of(texts, names) for texts in joined(batch)]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.asarray(v[n], float) for v in parts] or [np.zeros(0)])) for n in names], list(names))
 
     return df.withColumn(name, valued(F.coalesce(text, F.lit(""))))
