@@ -7,6 +7,7 @@ histogram; those run in Catalyst. The others are worked out from classes of equa
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -136,8 +137,13 @@ _KINDS = [(k, re.compile(p)) for k, p in TYPES]
 def tokenize(s: str) -> tuple[list[str], np.ndarray]:
     """The tokens of a text and their types."""
     tokens = _TOKEN.findall(s)
-    kinds = {t: next((k for k, p in _KINDS if p.search(t)), 0) for t in set(tokens)}
-    return tokens, np.array([kinds[t] for t in tokens], dtype=np.int64)
+    kinds = {t: _kind(t) for t in set(tokens)}
+    return tokens, np.array(list(map(kinds.__getitem__, tokens)), dtype=np.int64)
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _kind(token: str) -> int:
+    return next((k for k, p in _KINDS if p.search(token)), 0)
 
 
 def planes(s: str) -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +163,12 @@ class Classes:
 
     def __init__(self, tokens: Sequence[str], types: np.ndarray):
         self.n, self.types = len(tokens), types
-        number: dict[str, int] = {}
-        self.code = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, self.n)
+        number = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
+        self.code = np.array(list(map(number.__getitem__, tokens)), np.int64)
         self.atom, self.bond, self.ring = np.isin(types, ATOM_TYPES), types == BOND_TYPE, types == RING_TYPE
         self.times = np.bincount(self.code, minlength=len(number))[self.code] if self.n else self.code
         self.unit = max(self.n - 1, 1)
+        self._rows: np.ndarray | None = None
 
     def part(self, a: int, b: int) -> float:
         """Sum of the four planes over the tokens a to b by a to b."""
@@ -187,11 +194,14 @@ class Classes:
 
     def rows(self) -> np.ndarray:
         """Ones of the three planes of ones, and the sums and sums of squares of the distances, of each row."""
+        if self._rows is not None:
+            return self._rows
         i, n = np.arange(self.n), self.n
         a, b = int(self.atom.sum()), int(self.bond.sum())
         left, right = i * (i + 1) // 2, (n - 1 - i) * (n - i) // 2
         squares = i * (i + 1) * (2 * i + 1) // 6 + (n - 1 - i) * (n - i) * (2 * (n - i) - 1) // 6
-        return np.stack([self.times, np.where(self.atom, b, np.where(self.bond, a, 0)), np.where(self.ring, self.times, 0), (left + right) / self.unit, squares / self.unit**2])
+        self._rows = np.stack([self.times, np.where(self.atom, b, np.where(self.bond, a, 0)), np.where(self.ring, self.times, 0), (left + right) / self.unit, squares / self.unit**2])
+        return self._rows
 
     def cubes(self) -> float:
         d = np.arange(1, self.n, dtype=float)
@@ -344,7 +354,9 @@ def planes_of(text: Column, wanted: Sequence[str]) -> Column:
             for s in series:
                 if s not in found:
                     t = Classes(*tokenize(s))
-                    found[s] = [PLANE_STATISTICS[n][1](t) if t.n >= PLANE_STATISTICS[n][0] else 0.0 for n in wanted]
+                    # Names that share a function share its value.
+                    values = {f: f(t) if t.n >= least else 0.0 for least, f in {PLANE_STATISTICS[n] for n in wanted}}
+                    found[s] = [values[PLANE_STATISTICS[n][1]] for n in wanted]
             yield pd.DataFrame([found[s] for s in series], columns=list(wanted), dtype=float)
 
     return taken(F.coalesce(text, F.lit("")))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from molquarry.functions import molecules
+from molquarry.functions import molecules, tokens
 from molquarry.molecule_queries import by_text
 
 
@@ -28,3 +28,15 @@ def test_null_texts_stay_null(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "CC")], "id int, t string")
     found = by_text(rows, "t", lambda x: x.withColumn("n", F.length("t")))
     assert sorted(map(tuple, found.collect())) == [(1, None, 0), (2, "", 0), (3, "CC", 2)]
+
+
+def test_rows_of_planes_are_summed_once(spark, monkeypatch):
+    """All statistics of a text read the same sums of rows, and values of several texts stay apart."""
+    made = []
+    stack = tokens.np.stack
+    monkeypatch.setattr(tokens.np, "stack", lambda parts: made.append(1) or stack(parts))
+    for text in ("CC(=O)Nc1ccc(O)cc1", "CCO"):
+        t = tokens.Classes(*tokens.tokenize(text))
+        before = [tokens._connected(t), tokens._skewness(t), tokens._near(t), tokens._stable(t)]
+        assert before == [f(tokens.Classes(*tokens.tokenize(text))) for f in (tokens._connected, tokens._skewness, tokens._near, tokens._stable)]
+    assert len(made) == 10
