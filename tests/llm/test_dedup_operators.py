@@ -119,6 +119,33 @@ def test_suffixes_of_hot_minimisers(spark, monkeypatch):
         assert sorted(map(tuple, suffix_dedup(frame(spark, rows), width, hot=hot).collect())) == want
 
 
+def test_windows_of_hot_minimisers_are_not_listed(spark, monkeypatch):
+    """Where many texts share a line or a passage, the sorted shards don't tell each window of each text."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, passage, width, n = some(60), some(150), 100, 300
+    lines = [(k, some(80) + line + some(80)) for k in range(n)]
+    passages = [(k, some(90) + passage + some(90)) for k in range(n)]
+    told = spark.sparkContext.accumulator(0)
+
+    def counted(self, f, schema, as_it_is=type(frame(spark, lines)).mapInArrow):
+        def found(batches):
+            for batch in f(batches):
+                told.add(batch.num_rows)
+                yield batch
+
+        return as_it_is(self, found if "window" in schema else f, schema)
+
+    monkeypatch.setattr(type(frame(spark, lines)), "mapInArrow", counted)
+    assert {(r["n_removed"], r["n_spans"]) for r in suffix_dedup(frame(spark, lines), width, hot=50).collect()} == {(0, 0)}
+    assert told.value <= n
+    before = told.value
+    got = suffix_dedup(frame(spark, passages), width, hot=50).collect()
+    # Next to the passage a byte or two may agree as well.
+    assert all(len(passage) <= r["n_removed"] <= len(passage) + 12 and r["n_spans"] == 1 for r in got)
+    assert told.value - before <= 30 * n
+
+
 def test_suffix_arrays():
     import numpy as np
 
