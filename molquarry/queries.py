@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from molquarry import catalog, molecule_queries
 from molquarry.byte_sql import DOCUMENTED as byte_documented
@@ -303,10 +305,19 @@ def describe_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def descriptor_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog, with how many of the molecules have a value other than 0 of each descriptor."""
-    names = [e.name for e in catalog.entries().values() if e.needs == "text"]
-    texts = molecule_table(spark, sf_dir).groupBy("smiles").agg(F.count(F.lit(1)).alias("__times"))
-    values = catalog.describe(dealt(texts), F.col("smiles"), names)
-    counts = values.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.sum(F.when(F.col(n) != 0, F.col("__times")).otherwise(0)), F.lit(0)).alias("n")) for n in names]).alias("c"))
-    found = counts.select(F.explode("c").alias("c")).select("c.*")
+    """The catalog, with how many of the molecules have a value other than 0 of each descriptor, of every kind; a null is no value, and what is no number is other than 0."""
+    texts = dealt(molecule_table(spark, sf_dir).groupBy("smiles").agg(F.count(F.lit(1)).alias("__times")))
+    kinds: dict[str, list[str]] = {}
+    for e in catalog.entries().values():
+        kinds.setdefault(e.needs, []).append(e.name)
+
+    def counted(names: list[str]) -> DataFrame:
+        values = catalog.describe(texts, F.col("smiles"), names)
+        numbers = {f.name for f in values.schema if isinstance(f.dataType, NumericType | BooleanType)}
+        other = lambda n: F.col(n).cast("double") != 0 if n in numbers else F.col(n).isNotNull()
+        counts = values.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.sum(F.when(other(n), F.col("__times")).otherwise(0)), F.lit(0)).alias("n")) for n in names]).alias("c"))
+        return counts.select(F.explode("c").alias("c")).select("c.*")
+
+    # Kind by kind, as one plan of all kinds has all their Python workers at once in each task.
+    found = reduce(DataFrame.unionAll, map(counted, kinds.values()))
     return catalog.listing(spark).join(F.broadcast(found), "name", "left")
