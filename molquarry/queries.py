@@ -305,16 +305,21 @@ def describe_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def descriptor_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog, with how many of the molecules have a value other than 0 of each descriptor, of every kind; a null is no value, and what is no number is other than 0."""
+    """The catalog, with how many of the molecules have a value other than 0 of each descriptor, of every kind.
+
+    Given descriptors are looked at with DIGITS decimals, as their queries return them: what sums leave over is 0.
+    Registered ones are taken as they are. A null is no value, and what is no number is other than 0.
+    """
     texts = dealt(molecule_table(spark, sf_dir).groupBy("smiles").agg(F.count(F.lit(1)).alias("__times")))
-    kinds: dict[str, list[str]] = {}
-    for e in catalog.entries().values():
+    known, kinds = catalog.entries(), dict[str, list[str]]()
+    for e in known.values():
         kinds.setdefault(e.needs, []).append(e.name)
 
     def counted(names: list[str]) -> DataFrame:
         values = catalog.describe(texts, F.col("smiles"), names)
         numbers = {f.name for f in values.schema if isinstance(f.dataType, NumericType | BooleanType)}
-        other = lambda n: F.col(n).cast("double") != 0 if n in numbers else F.col(n).isNotNull()
+        value = lambda n: F.col(n).cast("double") if known[n].needs == "registered" else F.round(n, DIGITS)
+        other = lambda n: value(n) != 0 if n in numbers else F.col(n).isNotNull()
         counts = values.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.sum(F.when(other(n), F.col("__times")).otherwise(0)), F.lit(0)).alias("n")) for n in names]).alias("c"))
         return counts.select(F.explode("c").alias("c")).select("c.*")
 
